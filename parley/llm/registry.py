@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .language_id import op2_language_id
 from .substring_dedup import op1_substring_dedup
+from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
