@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op2_language_id
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op6_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
