@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from .chat_format import OP9_SQL, op9_chat_format
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op2_language_id
+from .near_vectors import op8_embedding_near_dedup
+from .packing import op4_lexical_packing
 from .substring_dedup import op1_substring_dedup
+from .topk_search import OP7_SQL, op7_topk_search
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op6_ngram_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_language_id, op3_toxicity, op4_lexical_packing, op6_ngram_jaccard_join,
+        op7_topk_search, op8_embedding_near_dedup, op9_chat_format,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_topk_search": OP7_SQL, "op9_chat_format": OP9_SQL}
