@@ -7,15 +7,17 @@ from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op2_language_id
 from .near_vectors import op8_embedding_near_dedup
 from .packing import op4_lexical_packing
+from .sentencepiece_codec import op5_sentencepiece
 from .substring_dedup import op1_substring_dedup
 from .topk_search import OP7_SQL, op7_topk_search
 from .toxicity import op3_toxicity
+from .warc_index import op10_warc_index
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_language_id, op3_toxicity, op4_lexical_packing, op6_ngram_jaccard_join,
-        op7_topk_search, op8_embedding_near_dedup, op9_chat_format,
+        op1_substring_dedup, op2_language_id, op3_toxicity, op4_lexical_packing, op5_sentencepiece, op6_ngram_jaccard_join,
+        op7_topk_search, op8_embedding_near_dedup, op9_chat_format, op10_warc_index,
     )
 }
 
