@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BYTES, SECOND, Words, fold, lists, sliced, spans_hash, table, text_rows
 
@@ -96,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 3000, least_
         return machine
     share = F.when(F.col("toxic") == 1, min(1.0, sample_per_class / sizes.get(1, 1))).otherwise(min(1.0, sample_per_class / sizes.get(0, 1)))
     dice = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) / (1 << 30)
-    rows = text_rows(docs, "doc_id", "text").join(labels.where(dice < share), "doc_id").mapInArrow(_features, "doc_id long, toxic int, at array<int>").toPandas().sort_values("doc_id")
+    # the sample's ids are bounded by its size, so they are sent to the texts, not the texts to them
+    rows = text_rows(docs, "doc_id", "text").join(F.broadcast(labels.where(dice < share)), "doc_id").mapInArrow(_features, "doc_id long, toxic int, at array<int>").toPandas().sort_values("doc_id")
     data = list({(np.asarray(at).tobytes(), int(y)): (np.asarray(at, np.int64), int(y)) for at, y in zip(rows["at"], rows["toxic"])}.values())
     machine.known = likelihood_ratio(data) >= least_ratio
     machine.learn(data)
@@ -125,19 +127,21 @@ def _score(model):
             at, sizes = terms(batch.column("text"))
             ends = np.cumsum(sizes)
             raw = np.array([machine.raw(at[e - n : e]) for e, n in zip(ends, sizes)])
-            yield table({"doc_id": batch.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))})
+            score = pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, SCORE])
 
     return run
 
 
+SCORE = "toxicity_score"
 #: From this score on a document counts as toxic.
 REJECT = 0.7
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
+    """docs with the column toxicity_score, in one pass and without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    docs = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_score(shared), "doc_id long, score double")
+    return docs.mapInArrow(_score(shared), T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held: int = 1, **options) -> DataFrame:
@@ -148,14 +152,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held: i
     A null id is never held out.
     """
     machine = fit(docs, labels.where(fold(F.col("doc_id"), fold_of) != held), **options)
-    return score(docs, machine).select("doc_id", F.coalesce(fold(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+    docs = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return score(docs, machine).withColumnRenamed(SCORE, "score").select("doc_id", F.coalesce(fold(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not predicted toxic, columns as given. Rows with a null id stay."""
-    bad = score_toxicity(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_id"], "left_anti")
+def without_toxic(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held: int = 1, **options) -> DataFrame:
+    """The documents that are not predicted toxic, columns as given."""
+    machine = fit(docs, labels.where(fold(F.col("doc_id"), fold_of) != held), **options)
+    return score(docs, machine).where(F.col(SCORE) < REJECT).drop(SCORE)
