@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, lists, sliced, table, text_rows
 
@@ -142,17 +143,18 @@ def _predict(model):
                 best = int(p.argmax())
                 names.append(langs[best])
                 scores.append(float(p[best]))
-            rest = [c for c in batch.schema.names if c != "text"]
-            yield table({c: batch.column(c) for c in rest} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, LANG, SCORE])
 
     return run
 
 
+LANG, SCORE = "language_predicted", "language_score"
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score for every row. `und` with score 0 if there is no letter or no model."""
+    """docs with language_predicted and language_score, in one pass. `und` with score 0 if there is no letter or no model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(_predict(shared), T.StructType([*docs.schema.fields, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType())]))
 
 
 def identify_languages(docs: DataFrame, fold_of: int = 5, held: int = 0, **options) -> DataFrame:
@@ -163,7 +165,8 @@ def identify_languages(docs: DataFrame, fold_of: int = 5, held: int = 0, **optio
     """
     part = fold(F.col("doc_id"), fold_of)
     model = fit(docs.where(part != held), **options)
-    return predict(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    docs = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return predict(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), F.col(LANG).alias("lang_pred"), F.col(SCORE).alias("score"))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
@@ -174,7 +177,7 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 LEAST_SCORE = 0.3
 
 
-def with_known_language(docs: DataFrame, least: float = LEAST_SCORE, **options) -> DataFrame:
+def with_known_language(docs: DataFrame, least: float = LEAST_SCORE, fold_of: int = 5, held: int = 0, **options) -> DataFrame:
     """The documents with a recognised language, columns as given. `und` and unsure ones go."""
-    good = identify_languages(docs, **options).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"] == good["_id"], "left_semi")
+    model = fit(docs.where(fold(F.col("doc_id"), fold_of) != held), **options)
+    return predict(docs, model).where((F.col(LANG) != "und") & (F.col(SCORE) >= least)).drop(LANG, SCORE)
