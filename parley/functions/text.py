@@ -70,7 +70,7 @@ def safe_href(url: str | Column) -> Column:
 def format_size(size: str | Column) -> Column:
     """B, KB, MB or GB with one decimal from KB on."""
     s = _c(size)
-    part = lambda unit, name: F.concat(F.format_number(s / unit, "0.0"), F.lit(f" {name}"))
+    part = lambda unit, name: F.concat(F.format_string("%.1f", s / unit), F.lit(f" {name}"))
     return F.when(s < 1024, F.concat(s.cast("string"), F.lit(" B"))).when(s < 1 << 20, part(1 << 10, "KB")).when(s < 1 << 30, part(1 << 20, "MB")).otherwise(part(1 << 30, "GB"))
 
 

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from . import changes, conversation, integrity, relational, retrieval  # noqa: E402, F401  they register themselves
+from . import changes, conversation, feeds, integrity, relational, retrieval  # noqa: E402, F401  they register themselves
