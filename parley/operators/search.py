@@ -10,11 +10,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_diacritics(text: pd.Series) -> pd.Series:
     """Lower case without combining marks."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.aggregates import shard_stats
 from ..operators.search import prefix_index
+from .schemas import ARCHIVE
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
@@ -24,6 +26,14 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     store.rename(draft, target)
 
 
+def _declared(name: str, table: DataFrame) -> DataFrame:
+    """The table with its declared types; columns of its own stay as they are."""
+    if name not in ARCHIVE:
+        return table
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(ARCHIVE[name]).fields}
+    return table.select(*(F.col(c).cast(types[c]) if c in types else F.col(c) for c in table.columns))
+
+
 def write_archive(tables: dict[str, DataFrame], folder: str, batch_id: str | None = None) -> str:
     """A new version of the archive; readers see it when all its tables are there. The version's name.
 
@@ -33,6 +43,7 @@ def write_archive(tables: dict[str, DataFrame], folder: str, batch_id: str | Non
     spark = None
     for name, table in tables.items():
         spark = table.sparkSession
+        table = _declared(name, table)
         rows = table.repartitionByRange("peer_id", *(["message_id"] if "message_id" in table.columns else [])).sortWithinPartitions("peer_id") if "peer_id" in table.columns else table
         rows.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
     if spark is not None:
