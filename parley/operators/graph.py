@@ -63,7 +63,7 @@ def reply_depth(found: DataFrame, most_hops: int = 1024) -> DataFrame:
 
 
 def reply_cycles(found: DataFrame, messages: DataFrame, most_hops: int = 1024, folder: str | None = None) -> DataFrame:
-    """True cycles: their least member, number of members, and of tails that lead into them.
+    """True cycles of at most most_hops members: their least member, number of members, and of tails that lead into them.
 
     A walk as long as the limit is in or before a cycle (or a deeper chain). After that many
     hops it stands on a cycle's node, whose own walk comes back to it: those nodes are the members.
@@ -72,8 +72,11 @@ def reply_cycles(found: DataFrame, messages: DataFrame, most_hops: int = 1024, f
     edges = reply_edges(messages).where("status = 'resolved'").select(_node("source_peer_id", "source_message_id").alias("node"), _node("target_peer_id", "target_message_id").alias("next"))
     inside = endless.select(F.col("to").alias("node")).distinct()
     # a cycle's members are the nodes on which endless walks stand, closed under one more step
-    members = inside.join(edges, "node").select("node", "next").join(endless.select("node", "least"), "node").select("node", "least")
-    cycles = members.groupBy("least").agg(F.count("*").alias("n_members"))
+    members = inside.join(edges, "node").select("node", "next").join(endless.select("node", "least"), "node").select("node", "next", "least")
+    members = _checkpointed(members, folder, "members")
+    # a stretch of a chain longer than twice the limit looks alike, but isn't closed under its links
+    closed = members.join(members.select(F.col("node").alias("next"), F.col("least").alias("_l")), "next").where("least = _l").groupBy("least").agg(F.count("*").alias("n_closed"))
+    cycles = members.groupBy("least").agg(F.count("*").alias("n_members")).join(closed, "least").where("n_members = n_closed").drop("n_closed")
     walkers = endless.join(members.select(F.col("node").alias("to"), F.col("least").alias("cycle")), "to").groupBy("cycle").agg(F.count("*").alias("n_walkers"))
     rows = cycles.join(walkers, cycles["least"] == walkers["cycle"])
     return rows.select("least.peer_id", "least.message_id", "n_members", (F.col("n_walkers") - F.col("n_members")).alias("tail_count"))

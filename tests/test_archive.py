@@ -51,6 +51,7 @@ def test_cycles_tails_and_chains(spark):
     found = graph.walks(rows, 64)
     assert [tuple(r) for r in graph.reply_cycles(found, rows, 64).collect()] == [(2, 1, 33, 1)]
     assert max(r.depth for r in graph.deep_chains(found, 30, 64).collect()) == 38
+    assert graph.reply_cycles(graph.walks(rows.where("peer_id = 1"), 8), rows.where("peer_id = 1"), 8).count() == 0
     assert [tuple(r) for r in graph.self_replies(rows).collect()] == [(2, 200)]
 
 
