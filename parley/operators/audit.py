@@ -48,6 +48,8 @@ class Tables:
     manifest: DataFrame | None = None
     shards: DataFrame | None = None
     prefixes: DataFrame | None = None
+    export_manifest: DataFrame | None = None
+    fingerprints: DataFrame | None = None
     now: int = 0
     present: dict[str, list[str]] = field(default_factory=dict)
 
@@ -248,6 +250,18 @@ def _(t):
     ]
 
 
+@rule("export", "export", "export_manifest", "fingerprints")
+def _(t):
+    """export_manifest (peer_id, source_fingerprint, config_fingerprint) against the chats' current fingerprints."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rows = t.export_manifest.join(t.fingerprints.select("peer_id", F.col("fingerprint").alias("_now")), "peer_id", "left")
+    return [
+        finding(rows.where(blank("source_fingerprint")), "HTML_MANIFEST_EMPTY_SOURCE_FINGERPRINT", "export", "error", "peer_id"),
+        finding(rows.where(blank("config_fingerprint")), "HTML_MANIFEST_EMPTY_CONFIG_FINGERPRINT", "export", "warning", "peer_id"),
+        finding(rows.where(~blank("source_fingerprint") & ~F.col("source_fingerprint").eqNullSafe(F.col("_now"))), "HTML_SOURCE_FINGERPRINT_MISMATCH", "export", "warning", "peer_id"),
+    ]
+
+
 def audit(tables: Tables, scopes: tuple[str, ...] | None = None, fast: bool = False) -> DataFrame:
     """All findings of the rules whose tables are given. fast leaves out what reads files and walks."""
     found = None

@@ -26,6 +26,11 @@ def list_message_dates(messages: DataFrame, peer_id: int) -> DataFrame:
     return messages.where(F.col("peer_id") == peer_id).select("message_id", "date").orderBy("message_id")
 
 
+def list_revisions(revisions: DataFrame, peer_id: int, message_id: int) -> DataFrame:
+    """A message's history, oldest first."""
+    return get_rows(revisions, peer_id=peer_id, message_id=message_id).orderBy("revision_no")
+
+
 def list_peers(peers: DataFrame, peer_type: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest first; ties by id."""
     rows = peers if peer_type is None else peers.where(F.col("peer_type") == peer_type)

@@ -5,6 +5,7 @@ Two tokenizers on purpose: the inverted index drops diacritics, the entry index
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -87,6 +88,63 @@ def phrase_matches(postings: DataFrame, phrase: str, keys: tuple[str, ...] = ("p
     return postings.select(*keys).limit(0) if found is None else found.select(*keys).distinct()
 
 
+def parse_query(query: str) -> list[tuple[list[list[str]], bool]]:
+    """Clauses that must all hold: (alternatives, negated). An alternative is a word, a prefix (`word*`) or a phrase's words.
+
+    Words stand side by side for AND; OR joins the ones beside it; NOT excludes the next; quotes make a phrase.
+    """
+    found, joined, negated = [], False, False
+    for quoted, word in re.findall(r'"([^"]*)"|(\S+)', query):
+        if word in ("OR", "NOT", "AND"):
+            joined, negated = joined or word == "OR", negated or word == "NOT"
+            continue
+        terms = query_terms(quoted or word)
+        if not terms:
+            continue
+        alternative = [w for w, _ in terms] if quoted or len(terms) > 1 else [terms[0][0] + "*" * terms[0][1]]
+        if joined and found and not negated:
+            found[-1][0].append(alternative)
+        else:
+            found.append(([alternative], negated))
+        joined = negated = False
+    return found
+
+
+def match_query(postings: DataFrame, query: str, keys: tuple[str, ...] = ("peer_id", "message_id")) -> DataFrame:
+    """Keys of the documents that match a query with AND, OR, NOT, phrases and prefixes. Something must be wanted, not only excluded."""
+    clauses = parse_query(query)
+    nothing = postings.select(*keys).limit(0)
+
+    def one(alternative: list[str]) -> DataFrame:
+        if len(alternative) > 1:
+            return phrase_matches(postings, " ".join(alternative), keys)
+        word = alternative[0]
+        rule = F.col("token").startswith(word[:-1]) if word.endswith("*") else F.col("token") == word
+        return postings.where(rule).select(*keys).distinct()
+
+    found = None
+    for alternatives, negated in sorted(clauses, key=lambda c: c[1]):
+        rows = one(alternatives[0])
+        for more in alternatives[1:]:
+            rows = rows.union(one(more)).distinct()
+        if negated:
+            found = nothing if found is None else found.join(rows, list(keys), "left_anti")
+        else:
+            found = rows if found is None else found.join(rows, list(keys), "left_semi")
+    return nothing if found is None else found
+
+
+def search_messages(messages: DataFrame, postings: DataFrame, query: str, peer: int | None = None, sender: int | None = None, start: int | None = None, end: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The best messages for a query of plain words and prefixes, within a chat, sender and dates; newest first among equals."""
+    rows = messages.select("peer_id", "message_id", "sender_id", "date", "text")
+    for column, rule in (("peer_id", peer), ("sender_id", sender)):
+        rows = rows if rule is None else rows.where(F.col(column) == rule)
+    rows = rows if start is None else rows.where(F.col("date") >= start)
+    rows = rows if end is None else rows.where(F.col("date") <= end)
+    found = rows.join(search(postings, query), ["peer_id", "message_id"]).orderBy(F.desc("rank"), F.desc("date"), "peer_id", "message_id")
+    return (found.offset(offset) if offset else found).limit(limit)
+
+
 def snippet(text: str | Column, words: list[str], size: int = 32) -> Column:
     """`size` words around the first hit, hits in <b>, cut ends as `...`."""
     text = F.col(text) if isinstance(text, str) else text
