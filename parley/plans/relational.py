@@ -94,7 +94,7 @@ def _(a):
 
 @query("t5_best_photo_size", """
 SELECT l_orderkey AS photo_id, l_linenumber AS ordinal, l_partkey % 97 AS width, l_suppkey % 89 AS height, l_partkey % 5 AS bytes FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey % 97) * (l_suppkey % 89) DESC, l_partkey % 5 DESC, l_linenumber) AS k FROM lineitem) WHERE k = 1
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey % 97) * (l_suppkey % 89) DESC, l_partkey % 5 DESC, l_linenumber, l_partkey % 97 DESC) AS k FROM lineitem) WHERE k = 1
 """)
 def _(a):
     sizes = a.table("lineitem").selectExpr("l_orderkey AS photo_id", "l_linenumber AS ordinal", "l_partkey % 97 AS width", "l_suppkey % 89 AS height", "l_partkey % 5 AS bytes")
