@@ -40,6 +40,8 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write df below folder and read it back: lineage ends at files that survive an executor."""
     path = f"{folder}/{name}"
     df.write.parquet(path)
+    # the finished job's shuffle files go as soon as the driver forgets its plan
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

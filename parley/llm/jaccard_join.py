@@ -5,7 +5,8 @@ of n tokens can miss at most m = n - ceil(t n) tokens of a partner, so two linke
 one of their first m + 1 tokens under any fixed order.
 
 1. Equal sets become one class, known by its smallest id. Nothing below sees copies.
-2. Prefixes under hash order leave the candidates: sets that share a prefix token.
+2. Prefixes under hash order leave the candidates. Long shingles are rare: sets that share a prefix
+   token. Short ones recur by chance: sets that share a combination, as in 3.
 3. Candidates' tokens are counted and put in the order (count, hash), rarest first. A set with
    more than m tokens of its own drops out. Prefix tokens of the rare class (at most `frequent`
    sets) are indexed one by one. Where a prefix reaches the frequent class it is extended
@@ -56,19 +57,31 @@ def _missing(n, num: int, den: int):
     return n - -(-n * num // den)
 
 
-def _scan(k: int, num: int, den: int):
+def _differ(n, num: int, den: int):
+    """In how many tokens, of either, a set of n and a partner can differ."""
+    return n * (den - num) // num
+
+
+def _pairs(tokens: np.ndarray, following: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return signed(mix(tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + following.view(np.uint64)))
+
+
+def _scan(k: int, num: int, den: int, combine: bool):
     def run(batches):
         for batch in sliced(batches):
             tokens, sizes = _sets(batch.column("text"), k)
             ends = np.cumsum(sizes)
             begins = ends - sizes
-            take = np.minimum(sizes, _missing(sizes, num, den) + 1)
+            wanted = _missing(sizes, num, den) + 1 + combine * _differ(sizes, num, den)
+            take = np.minimum(np.maximum(sizes - combine, 0), wanted)
             at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(begins, take)
             seen = tokens.view(np.uint64)
+            keys = _pairs(tokens[at], tokens[at + 1]) if combine else tokens[at]
             yield table({
                 "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()),
                 "s1": pa.array(signed(spans_hash(seen, begins, ends, FIRST))), "s2": pa.array(signed(spans_hash(seen, begins, ends, SECOND))),
-                "prefix": lists(tokens[at], take, pa.int64()),
+                "prefix": lists(keys, take, pa.int64()),
             })
 
     return run
@@ -93,11 +106,8 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, num: int, den: in
     prefix = most + 1 - own
     keys = tokens[:prefix][~often[:prefix]]
     if often[:prefix].any():
-        differ = n * (den - num) // num
-        part = tokens[often][: max(0, most + differ + 2 - own - int((~often).sum()))]
-        with np.errstate(over="ignore"):
-            pairs = mix(part[:-1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part[1:].view(np.uint64))
-        keys = np.concatenate([keys, signed(pairs)])
+        part = tokens[often][: max(0, most + _differ(n, num, den) + 2 - own - int((~often).sum()))]
+        keys = np.concatenate([keys, _pairs(part[:-1], part[1:])])
     return np.unique(keys), own
 
 
@@ -125,7 +135,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, frequent: int = 16) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, frequent: int = 16, combine: bool | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Documents link when den * intersection >= num * union of their sets of k-word shingles;
@@ -133,15 +143,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     set and link with nothing. component_id is the smallest id reachable by links. Rows that share
     an id are one node with each of their sets. A row with a null id links with nothing.
     """
+    # d + 2 common tokens are only sure from here on; below, tokens are indexed one by one
+    combinable = num >= 3 * (den - num)
+    combine = combinable and (k < 5 if combine is None else combine)
+    frequent = frequent if combinable else 1 << 60
     spark = docs.sparkSession
     folder = scratch(spark)
     docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    scan = staged(docs.mapInArrow(_scan(k, num, den), "doc_id long, n long, s1 long, s2 long, prefix array<long>"), folder, "scan")
+    scan = staged(docs.mapInArrow(_scan(k, num, den, combine), "doc_id long, n long, s1 long, s2 long, prefix array<long>"), folder, "scan")
     classes = staged(scan.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), folder, "classes")
 
-    prefix = scan.join(classes, (scan.doc_id == classes.rep) & (scan.s1 == classes.s1) & (scan.s2 == classes.s2), "left_semi").select("doc_id", F.explode("prefix").alias("token"))
-    shared = prefix.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    candidates = prefix.join(shared, "token").select("doc_id").distinct()
+    prefix = scan.select("s1", F.explode("prefix").alias("key"))
+    shared = prefix.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
+    candidates = prefix.join(shared, "key").select("s1").distinct().join(classes, "s1").select(F.col("rep").alias("doc_id")).distinct()
+    candidates = staged(candidates, folder, "candidates")
     sets = staged(docs.join(candidates, "doc_id").mapInArrow(_whole_sets(k), "doc_id long, n long, tokens array<long>"), folder, "sets")
 
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
