@@ -5,7 +5,9 @@ of n tokens can miss at most m = n - ceil(t n) tokens of a partner, so two linke
 one of their first m + 1 tokens under any fixed order.
 
 1. Equal sets become one class, known by its smallest id. Nothing below sees copies.
-2. Prefixes under hash order leave the candidates. Long shingles are rare: sets that share a prefix
+2. Tokens that recur in a bounded sample of documents are the frequent class for a start and come
+   last in the order. (Any order is exact; the sample only decides how few candidates are
+   left.) Prefixes under it leave the candidates. Long shingles are rare: sets that share a prefix
    token. Short ones recur by chance: sets that share a combination, as in 3.
 3. Candidates' tokens are counted and put in the order (count, hash), rarest first. A set with
    more than m tokens of its own drops out. Prefix tokens of the rare class (at most `frequent`
@@ -67,17 +69,29 @@ def _pairs(tokens: np.ndarray, following: np.ndarray) -> np.ndarray:
         return signed(mix(tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + following.view(np.uint64)))
 
 
-def _scan(k: int, num: int, den: int, combine: bool):
+def _common(docs: DataFrame, k: int, sample: int, least: int = 3, most: int = 200_000) -> np.ndarray:
+    """Tokens of `least` or more documents of a sample of about `sample`: sorted, at most `most`."""
+    share = min(1.0, sample / max(1, docs.count()))
+    dice = F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1 << 30)) / (1 << 30)
+    tokens = docs.where(dice < share).mapInArrow(_whole_sets(k), "doc_id long, n long, tokens array<long>").select(F.explode("tokens").alias("token"))
+    found = tokens.groupBy("token").count().where(f"count >= {least}").orderBy(F.desc("count"), "token").limit(most).toPandas()
+    return np.sort(found["token"].to_numpy(np.int64))
+
+
+def _scan(k: int, num: int, den: int, combine: bool, common):
     def run(batches):
+        often = common.value
         for batch in sliced(batches):
             tokens, sizes = _sets(batch.column("text"), k)
             ends = np.cumsum(sizes)
             begins = ends - sizes
+            seen = tokens.view(np.uint64)
+            late = often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] == tokens if len(often) else np.zeros(len(tokens), bool)
+            ordered = tokens[np.lexsort((late, np.repeat(np.arange(len(sizes)), sizes)))]
             wanted = _missing(sizes, num, den) + 1 + combine * _differ(sizes, num, den)
             take = np.minimum(np.maximum(sizes - combine, 0), wanted)
             at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(begins, take)
-            seen = tokens.view(np.uint64)
-            keys = _pairs(tokens[at], tokens[at + 1]) if combine else tokens[at]
+            keys = _pairs(ordered[at], ordered[at + 1]) if combine else ordered[at]
             yield table({
                 "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()),
                 "s1": pa.array(signed(spans_hash(seen, begins, ends, FIRST))), "s2": pa.array(signed(spans_hash(seen, begins, ends, SECOND))),
@@ -135,7 +149,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, frequent: int = 16, combine: bool | None = None) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, frequent: int = 16, combine: bool = True, sample: int = 3000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Documents link when den * intersection >= num * union of their sets of k-word shingles;
@@ -145,12 +159,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     # d + 2 common tokens are only sure from here on; below, tokens are indexed one by one
     combinable = num >= 3 * (den - num)
-    combine = combinable and (k < 5 if combine is None else combine)
+    combine = combinable and combine
     frequent = frequent if combinable else 1 << 60
     spark = docs.sparkSession
     folder = scratch(spark)
     docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    scan = staged(docs.mapInArrow(_scan(k, num, den, combine), "doc_id long, n long, s1 long, s2 long, prefix array<long>"), folder, "scan")
+    common = spark.sparkContext.broadcast(_common(docs, k, sample))
+    scan = staged(docs.mapInArrow(_scan(k, num, den, combine, common), "doc_id long, n long, s1 long, s2 long, prefix array<long>"), folder, "scan")
     classes = staged(scan.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), folder, "classes")
 
     prefix = scan.select("s1", F.explode("prefix").alias("key"))
