@@ -170,12 +170,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     prefix = scan.select("s1", F.explode("prefix").alias("key"))
     shared = prefix.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
+    shared = staged(shared, folder, "shared")
     candidates = prefix.join(shared, "key").select("s1").distinct().join(classes, "s1").select(F.col("rep").alias("doc_id")).distinct()
     candidates = staged(candidates, folder, "candidates")
     sets = staged(docs.join(candidates, "doc_id").mapInArrow(_whole_sets(k), "doc_id long, n long, tokens array<long>"), folder, "sets")
 
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("count")).where("count > 1")
+    counts = staged(tokens.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), folder, "counts")
     listed = tokens.join(counts, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("token", "count")).alias("l"))
     listed = listed.select("doc_id", "n", F.col("l.token").alias("tokens"), F.col("l.count").alias("counts"))
     index = staged(listed.mapInArrow(_index(num, den, frequent), "key long, doc_id long, n long, own long"), folder, "index")
@@ -189,7 +190,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     index = index.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = index.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     index = staged(index.join(mixed, "key"), folder, "mixed")
-    rest = index.alias("x").join(index.alias("y"), "key").where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y", num, den))
+    # a pair is made under its first common key alone, not once for each of them
+    keys = index.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    index = staged(index.join(keys, "doc_id"), folder, "keyed")
+    first_common = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    pairs = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y", num, den)
+    rest = index.alias("x").join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & pairs & first_common)
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     links = links.union(staged(_verified(rest, sets, num, den), folder, "more"))
 
