@@ -78,25 +78,37 @@ def _common(docs: DataFrame, k: int, sample: int, least: int = 3, most: int = 20
     return np.sort(found["token"].to_numpy(np.int64))
 
 
-def _scan(k: int, num: int, den: int, combine: bool, common):
+def _scan(k: int):
+    def run(batches):
+        for batch in sliced(batches):
+            tokens, sizes = _sets(batch.column("text"), k)
+            seen, ends = tokens.view(np.uint64), np.cumsum(sizes)
+            yield table({
+                "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()),
+                "s1": pa.array(signed(spans_hash(seen, ends - sizes, ends, FIRST))), "s2": pa.array(signed(spans_hash(seen, ends - sizes, ends, SECOND))),
+            })
+
+    return run
+
+
+def _prefixes(k: int, num: int, den: int, combine: bool, common):
+    """(s1, key): the keys of each set's prefix."""
+
     def run(batches):
         often = common.value
         for batch in sliced(batches):
             tokens, sizes = _sets(batch.column("text"), k)
             ends = np.cumsum(sizes)
             begins = ends - sizes
-            seen = tokens.view(np.uint64)
             late = often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] == tokens if len(often) else np.zeros(len(tokens), bool)
             ordered = tokens[np.lexsort((late, np.repeat(np.arange(len(sizes)), sizes)))]
             wanted = _missing(sizes, num, den) + 1 + combine * _differ(sizes, num, den)
             take = np.minimum(np.maximum(sizes - combine, 0), wanted)
             at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(begins, take)
             keys = _pairs(ordered[at], ordered[at + 1]) if combine else ordered[at]
-            yield table({
-                "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()),
-                "s1": pa.array(signed(spans_hash(seen, begins, ends, FIRST))), "s2": pa.array(signed(spans_hash(seen, begins, ends, SECOND))),
-                "prefix": lists(keys, take, pa.int64()),
-            })
+            s1 = np.repeat(signed(spans_hash(tokens.view(np.uint64), begins, ends, FIRST)), take)
+            for a in range(0, max(1, len(keys)), 100_000):
+                yield table({"s1": pa.array(s1[a : a + 100_000]), "key": pa.array(keys[a : a + 100_000])})
 
     return run
 
@@ -165,10 +177,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     folder = scratch(spark)
     docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     common = spark.sparkContext.broadcast(_common(docs, k, sample))
-    scan = staged(docs.mapInArrow(_scan(k, num, den, combine, common), "doc_id long, n long, s1 long, s2 long, prefix array<long>"), folder, "scan")
+    scan = staged(docs.mapInArrow(_scan(k), "doc_id long, n long, s1 long, s2 long"), folder, "scan")
     classes = staged(scan.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), folder, "classes")
 
-    prefix = scan.select("s1", F.explode("prefix").alias("key"))
+    # made twice rather than kept: prefixes are a large part of the input's size
+    prefix = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, num, den, combine, common), "s1 long, key long")
     shared = prefix.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
     shared = staged(shared, folder, "shared")
     candidates = prefix.join(shared, "key").select("s1").distinct().join(classes, "s1").select(F.col("rep").alias("doc_id")).distinct()
