@@ -122,19 +122,22 @@ def _whole_sets(k: int):
     return run
 
 
-def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, num: int, den: int, frequent: int) -> tuple[np.ndarray, int]:
-    """Index keys of a set, and how many of its n tokens no other set has. tokens: those that others have."""
-    own, most = n - len(tokens), _missing(n, num, den)
+def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, num: int, den: int, frequent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Index keys of a set, single tokens and combinations apart; how many of its n tokens no other set has, and how many are frequent.
+
+    tokens: those that other sets have.
+    """
+    own, most, none = n - len(tokens), _missing(n, num, den), np.zeros(0, np.int64)
     if own > most:
-        return np.zeros(0, np.int64), own
+        return none, none, own, 0
     order = np.lexsort((tokens, counts))
     tokens, often = tokens[order], counts[order] > frequent
     prefix = most + 1 - own
-    keys = tokens[:prefix][~often[:prefix]]
+    singles, pairs = tokens[:prefix][~often[:prefix]], none
     if often[:prefix].any():
         part = tokens[often][: max(0, most + _differ(n, num, den) + 2 - own - int((~often).sum()))]
-        keys = np.concatenate([keys, _pairs(part[:-1], part[1:])])
-    return np.unique(keys), own
+        pairs = _pairs(part[:-1], part[1:])
+    return np.unique(singles), np.unique(pairs), own, int(often.sum())
 
 
 def _index(num: int, den: int, frequent: int):
@@ -142,16 +145,24 @@ def _index(num: int, den: int, frequent: int):
         for batch in batches:
             for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
                 out = [signatures(n, t.values.to_numpy(), c.values.to_numpy(), num, den, frequent) for n, t, c in zip(part.column("n").to_pylist(), part.column("tokens"), part.column("counts"))]
-                sizes = [len(keys) for keys, _ in out]
-                again = lambda v: pa.array(np.repeat(np.array(v, np.int64), sizes))
-                yield table({"key": pa.array(np.concatenate([keys for keys, _ in out])), "doc_id": again(part.column("doc_id").to_pylist()), "n": again(part.column("n").to_pylist()), "own": again([own for _, own in out])})
+                for single, rows in ((True, [(o[0], o[2], n - o[2]) for o, n in zip(out, part.column("n").to_pylist())]), (False, [(o[1], o[2], o[3]) for o in out])):
+                    sizes = [len(keys) for keys, *_ in rows]
+                    again = lambda v: pa.array(np.repeat(np.array(v, np.int64), sizes))  # noqa: E731, B023
+                    yield table({
+                        "key": pa.array(np.concatenate([keys for keys, *_ in rows])), "single": pa.array([single] * sum(sizes), pa.bool_()), "doc_id": again(part.column("doc_id").to_pylist()), "n": again(part.column("n").to_pylist()),
+                        "own": again([own for _, own, _ in rows]), "most": again([most for *_, most in rows]),
+                    })
 
     return run
 
 
 def _possible(a: str, b: str, num: int, den: int):
-    """Whether sizes and tokens of their own let the two sets link."""
-    return F.expr(f"{num + den} * least({a}.n - {a}.own, {b}.n - {b}.own) >= {num} * ({a}.n + {b}.n)")
+    """Whether sizes and the tokens that can be common let the two sets link.
+
+    Under a single token those are all but a set's own. Sets that only meet under combinations share
+    no rarer token, so there only the frequent ones count.
+    """
+    return F.expr(f"{num + den} * least({a}.most, {b}.most) >= {num} * ({a}.n + {b}.n)")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -192,23 +203,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = staged(tokens.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), folder, "counts")
     listed = tokens.join(counts, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("token", "count")).alias("l"))
     listed = listed.select("doc_id", "n", F.col("l.token").alias("tokens"), F.col("l.count").alias("counts"))
-    index = staged(listed.mapInArrow(_index(num, den, frequent), "key long, doc_id long, n long, own long"), folder, "index")
+    index = staged(listed.mapInArrow(_index(num, den, frequent), "key long, single boolean, doc_id long, n long, own long, most long"), folder, "index")
 
-    centres = index.groupBy("key").agg(F.min(F.struct("own", "doc_id", "n")).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "c.*")
-    star = index.alias("x").join(centres.alias("y"), "key").where((F.col("x.doc_id") != F.col("y.doc_id")) & _possible("x", "y", num, den))
+    centres = index.groupBy("key", "single").agg(F.min(F.struct("own", "doc_id", "n", "most")).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "single", "c.*")
+    star = index.alias("x").join(centres.alias("y"), ["key", "single"]).where((F.col("x.doc_id") != F.col("y.doc_id")) & _possible("x", "y", num, den))
     star = staged(star.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), folder, "star")
     links = staged(_verified(star, sets, num, den), folder, "links")
 
     part = components(links, folder, "part")
     index = index.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = index.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    index = staged(index.join(mixed, "key"), folder, "mixed")
-    # a pair is made under its first common key alone, not once for each of them
-    keys = index.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    index = staged(index.join(keys, "doc_id"), folder, "keyed")
+    mixed = index.groupBy("key", "single").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "single")
+    index = staged(index.join(mixed, ["key", "single"]), folder, "mixed")
+    # a pair is made under its first common key of either kind alone, not once for each of them
+    keys = index.groupBy("doc_id", "single").agg(F.collect_set("key").alias("keys"))
+    index = staged(index.join(keys, ["doc_id", "single"]), folder, "keyed")
     first_common = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     pairs = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y", num, den)
-    rest = index.alias("x").join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & pairs & first_common)
+    rest = index.alias("x").join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.single") == F.col("y.single")) & pairs & first_common)
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     links = links.union(staged(_verified(rest, sets, num, den), folder, "more"))
 
