@@ -25,7 +25,7 @@ END_ID = 1
 
 
 #: The pattern of the vocabulary for texts where Python's own classes agree with Unicode's letters and numbers.
-PLAIN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PLAIN = re.compile(r" ?[^\W\d_]+|'(?:[sdmt]|ll|ve|re)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 
 
@@ -36,7 +36,7 @@ class WordTokenizer:
     `most` words lasts.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str, pattern: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,7 +50,7 @@ class WordTokenizer:
         split = [self.split(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        new = list({w for words in split for w in words}.difference(self.known))
+        new = list(set().union(*split).difference(self.known))
         for a in range(0, len(new), 8192):
             part = new[a : a + 8192]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
