@@ -10,8 +10,10 @@ sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,19 +96,33 @@ class Index:
         self.ends = np.cumsum(np.bincount(self.rows, minlength=len(documents)))
         self.df, self.n = df, len(documents)
 
-    def neighbours(self, row: int, used: np.ndarray, query_terms: int) -> np.ndarray:
-        """Unused documents that share a query term with the row's, best first."""
+    def steps(self, row: int, used: np.ndarray, query_terms: int) -> Iterator[np.ndarray]:
+        """Unused documents that share a term with the row's, best first, as further terms find them.
+
+        The row's `query_terms` most telling terms ask first, then four times as many, up to all.
+        `used` is looked at anew in each step.
+        """
         own = self.term_of[self.ends[row - 1] if row else 0 : self.ends[row]]
         own = own[self.df[own] > 1]
-        if len(own) > query_terms:
-            own = own[np.argpartition(-self.idf[own], query_terms)[:query_terms]]
-        if not len(own):
-            return own
-        at = np.concatenate([np.arange(a, b) for a, b in zip(self.first[own], self.last[own])])
-        score = np.bincount(self.rows[at], self.weights[at], self.n)
-        score[used] = 0
-        found = np.flatnonzero(score > 0)
-        return found[np.lexsort((found, -score[found]))]
+        own = own[np.argsort(-self.idf[own], kind="stable")]
+        while len(own):
+            asked = own[:query_terms]
+            at = np.concatenate([np.arange(a, b) for a, b in zip(self.first[asked], self.last[asked])])
+            score = np.bincount(self.rows[at], self.weights[at], self.n)
+            score[used] = 0
+            found = np.flatnonzero(score > 0)
+            yield found[np.lexsort((found, -score[found]))]
+            if query_terms >= len(own):
+                return
+            query_terms *= 4
+
+    def neighbours(self, row: int, used: np.ndarray, query_terms: int) -> np.ndarray:
+        """All unused documents that share a term with the row's, in the order in which the steps find them."""
+        used, out = used.copy(), [np.zeros(0, np.int64)]
+        for found in self.steps(row, used, query_terms):
+            used[found] = True
+            out.append(found)
+        return np.concatenate(out)
 
 
 def chain(documents: list[np.ndarray], window: int, query_terms: int) -> list[int]:
@@ -121,7 +137,7 @@ def chain(documents: list[np.ndarray], window: int, query_terms: int) -> list[in
             used[seed] = True
             order.append(seed)
             filled = (filled + sizes[seed]) % window
-        near, seed = index.neighbours(seed, used, query_terms), None
+        near, seed = itertools.chain.from_iterable(index.steps(seed, used, query_terms)), None
         for row in near:
             used[row] = True
             order.append(int(row))

@@ -185,6 +185,15 @@ def test_index_finds_the_lexical_neighbour():
     assert packing.chain([a, c, b], 8, 24)[:2] == [0, 2]
 
 
+def test_further_terms_fill_the_window():
+    """The seed's rarest terms lead to a used document only; the rest of its terms lead to a late one."""
+    rare, common = np.arange(100, 124), np.arange(200, 260)
+    documents = [np.array(x, np.uint32) for x in ([*rare, *common], rare, [1, 2], [3, 4], [*common, 5], [*common, 6])]
+    index, used = packing.Index(documents), np.array([True, True, False, False, False, False])
+    assert index.neighbours(0, used, 24).tolist() == [4, 5]
+    assert packing.chain(documents, 1000, 24) == [0, 1, 4, 5, 2, 3]
+
+
 def test_sentencepiece_parity_on_whole_texts(spark):
     import public_tokenizers
     import sentencepiece
