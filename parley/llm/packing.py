@@ -1,11 +1,15 @@
 """Packing of documents into fixed windows by lexical retrieval.
 
-Documents are dealt by a hash of the id over shards of about `shard_docs`. A shard tokenizes
-its documents and builds a BM25 inverted index of them over token ids. A seed document
-asks the index with its most telling tokens for unused neighbours, which greedily fill its
-window; the one that crosses the window's end is cut there, and its rest opens the next
-window as the next seed. So every window but a shard's last is full. The last is cut into
+The corpus is tokenized once. A BM25 inverted index of all documents over token ids, with the
+document frequencies and the mean length of the whole corpus, is kept in shards. Chains of
+documents grow side by side, one for about 32 documents. A seed document asks all shards with its
+most telling tokens for unused neighbours, which greedily fill its window; while it isn't full,
+further tokens ask, up to all of the seed's. The one that crosses the window's end is cut there,
+and its rest opens the next window as the next seed. So every window but a chain's last is full.
+The rests of neighbouring chains are put together, and what is less than a window then is cut into
 sequences whose lengths are powers of two, which need no padding.
+
+`chain` is the same for one chain in memory; tests compare the two.
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import scratch, sliced, staged, text_rows
 
 END_ID = 1
 
@@ -76,6 +80,11 @@ def tokenizer(path: str, pattern: str) -> WordTokenizer:
     return _LOADED[path]
 
 
+def _best(score, gid, seed, n: int, most: int) -> np.ndarray:
+    """The best `most`; equals in the order of gids from the seed's on, so that seeds alike don't all want the same ones."""
+    return np.lexsort(((gid - seed) % n, -score))[:most]
+
+
 class Index:
     """A BM25 inverted index: for each term the documents that have it, with their weights."""
 
@@ -111,7 +120,7 @@ class Index:
             score = np.bincount(self.rows[at], self.weights[at], self.n)
             score[used] = 0
             found = np.flatnonzero(score > 0)
-            yield found[np.lexsort((found, -score[found]))]
+            yield found[_best(score[found], found, row, self.n, len(found))]
             if query_terms >= len(own):
                 return
             query_terms *= 4
@@ -157,31 +166,199 @@ def cuts(total: int, window: int) -> np.ndarray:
 
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+ENCODED = "key long, doc_id long, size int, ids binary, terms binary, counts binary"
+SHARD = "first_gid long, n int, terms binary, first binary, rows binary, weights binary"
 
 
-def _pack(path: str, pattern: str, window: int, query_terms: int):
-    def run(rows: pa.Table) -> pa.Table:
-        shard, ids = rows.column("shard")[0].as_py(), rows.column("doc_id").to_pylist()
-        texts = rows.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
-        ids = [ids[i] for i in order]
+def _encode(path: str, pattern: str):
+    """Each document's token ids, and its distinct ones with their counts."""
+
+    def run(batches):
         encoder = tokenizer(path, pattern)
-        documents = []
-        for a in range(0, len(order), 250):
-            documents += [np.append(e, np.uint32(END_ID)) for e in encoder.encode([texts[i] or "" for i in order[a : a + 250]])]
-        edges = cuts(sum(map(len, documents)), window)
-        out = {c.split()[0]: [] for c in FIELDS.split(", ")}
-        at, k = 0, 0
-        for row in chain(documents, window, query_terms):
-            tokens, start = documents[row], 0
-            while start < len(tokens):
-                length = min(len(tokens) - start, int(edges[k + 1]) - at)
-                piece = tokens[start : start + length]
-                for name, value in zip(out, (ids[row], start, length, zlib.crc32(piece.astype("<u4").tobytes()), len(tokens), (shard << 32) + k, at - int(edges[k]))):
+        for batch in sliced(batches):
+            out = {c.split()[0]: [] for c in ENCODED.split(", ")[2:]}
+            for e in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
+                ids = np.append(e, np.uint32(END_ID)).astype("<u4")
+                terms, counts = np.unique(ids, return_counts=True)
+                for name, value in zip(out, (len(ids), ids.tobytes(), terms.astype("<u4").tobytes(), counts.astype("<u4").tobytes())):
                     out[name].append(value)
-                start, at = start + length, at + length
-                k += at == edges[k + 1]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "doc_id": batch.column("doc_id"), "size": pa.array(out.pop("size"), pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+    return run
+
+
+def _frequencies(batches):
+    """How many documents of the partition have each term."""
+    df = np.zeros(0, np.int64)
+    for batch in batches:
+        found = np.bincount(np.frombuffer(b"".join(batch.column("terms").to_pylist()), "<u4"), minlength=len(df))
+        found[: len(df)] += df
+        df = found
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.int64()), "n": pa.array(df[terms], pa.int64())})
+
+
+def _postings(shared, shards: int, k1: float = 1.2, b: float = 0.75):
+    """A shard's postings, weighted by the frequencies and the mean length of the whole corpus. Its gids are `shards` apart."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        df, n, mean = shared.value
+        gid = rows.column("gid").to_numpy()
+        first_gid = int(gid.min()) % shards
+        at = (gid - first_gid) // shards
+        term = [np.frombuffer(t, "<u4") for t in rows.column("terms").to_pylist()]
+        row = np.repeat(at, [len(t) for t in term]).astype(np.int32)
+        term, counts = np.concatenate(term), np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
+        length = np.zeros(int(at.max()) + 1)
+        length[at] = k1 * (1 - b + b * rows.column("size").to_numpy() / mean)
+        order = np.lexsort((row, term))
+        term, row, counts = term[order], row[order], counts[order]
+        weights = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * counts * (k1 + 1) / (counts + length[row])
+        terms, first = np.unique(term, return_index=True)
+        return pa.table({"first_gid": pa.array([first_gid], pa.int64()), "n": pa.array([len(length)], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("terms", terms), ("first", first.astype(np.int64)), ("rows", row), ("weights", weights))}})
+
+    return run
+
+
+def _own_terms(shared):
+    """A seed's most telling terms, as many as it asks with, and how many it has."""
+
+    def run(batches):
+        df = shared.value[0]
+        for batch in batches:
+            found, have = [], []
+            for raw, width in zip(batch.column("terms").to_pylist(), batch.column("width").to_pylist()):
+                own = np.frombuffer(raw, "<u4")
+                own = own[df[own] > 1]
+                found.append(own[np.argsort(df[own], kind="stable")][:width].tobytes())
+                have.append(len(own))
+            yield pa.RecordBatch.from_pydict({"chain": batch.column("chain"), "terms": pa.array(found, pa.binary()), "have": pa.array(have, pa.int32())})
+
+    return run
+
+
+def _search(asked, shards: int):
+    """Each seed's best unused documents of a task's shards."""
+
+    def run(batches):
+        chains, seeds, most, ends, terms, used, n, vocabulary = asked.value
+        used = np.unpackbits(used, count=n).astype(bool)
+        starts, best, floor = np.append(0, ends[:-1]), {}, np.zeros(len(chains))
+        for batch in batches:
+            for shard in batch.to_pylist():
+                gid = shard["first_gid"] + shards * np.arange(shard["n"], dtype=np.int64)
+                free = ~used[gid]
+                row, weights = np.frombuffer(shard["rows"], np.int32), np.frombuffer(shard["weights"], np.float64)
+                # used documents leave the postings first
+                keep = free[row]
+                before = np.append(0, np.cumsum(keep))
+                edges = before[np.append(np.frombuffer(shard["first"], np.int64), len(row))]
+                row, weights, gid = (np.cumsum(free) - 1)[row[keep]], weights[keep], gid[free]
+                place = np.full(vocabulary, -1)
+                place[np.frombuffer(shard["terms"], np.uint32)] = np.arange(len(edges) - 1)
+                lo, hi = (np.where(place >= 0, e[place], 0)[terms].tolist() for e in (edges[:-1], edges[1:]))
+                for q in range(len(chains)) if len(gid) else ():
+                    parts = [slice(lo[t], hi[t]) for t in range(starts[q], ends[q]) if hi[t] > lo[t]]
+                    if not parts:
+                        continue
+                    score = np.bincount(np.concatenate([row[p] for p in parts]), np.concatenate([weights[p] for p in parts]), len(gid))
+                    found = np.flatnonzero(score >= floor[q] if floor[q] else score)
+                    if len(found) > most[q]:
+                        found = found[score[found] >= np.partition(score[found], -most[q])[-most[q]]]
+                    if not len(found):
+                        continue
+                    s, g = score[found], gid[found]
+                    if q in best:
+                        s, g = np.append(best[q][0], s), np.append(best[q][1], g)
+                    top = _best(s, g, seeds[q], n, most[q])
+                    best[q] = s[top], g[top]
+                    floor[q] = s[top[-1]] if len(top) == most[q] else 0
+        for part in np.array_split(np.array(list(best), np.int64), max(1, len(best) // 1000)):
+            sizes = [len(best[q][0]) for q in part]
+            join = lambda k: np.concatenate([np.zeros(0), *(best[q][k] for q in part)])
+            gid = join(1).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"chain": pa.array(np.repeat(chains[part], sizes), pa.int64()), "most": pa.array(np.repeat(most[part], sizes), pa.int64()), "gid": pa.array(gid), "score": pa.array(join(0)), "tie": pa.array((gid - np.repeat(seeds[part], sizes)) % n)})
+
+    return run
+
+
+def _fill(ask, sizes: np.ndarray, chains: int, window: int, query_terms: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every document's chain and its place in it, and the chains' lengths.
+
+    All chains grow side by side. In a round each asks for its seed's best unused documents; a
+    document that several want goes where it scores best. A chain whose list had nothing left for it
+    asks for a longer one, one whose list was short of documents asks with more terms, and one
+    that is out of terms takes the next unused document.
+    """
+    n, fresh, left = len(sizes), 0, len(sizes) - chains
+    chain_of, start, length, used = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(chains, np.int64), np.zeros(n, bool)
+    seed, room = np.arange(chains) * n // chains, np.zeros(chains, np.int64)
+    width, longest = np.full(chains, query_terms), np.full(chains, most)
+
+    def take(c, g):
+        used[g], chain_of[g], start[g] = True, c, length[c]
+        length[c] += sizes[g]
+
+    def open_with(c, g):
+        seed[c], room[c], width[c], longest[c] = g, window - length[c] % window, query_terms, most
+
+    for c in range(chains):
+        take(c, seed[c])
+        open_with(c, seed[c])
+    while left:
+        found, have = ask(seed, width, longest, used)
+        for c, g in zip(found["chain"].tolist(), found["gid"].tolist()):
+            if not used[g] and room[c] > 0:
+                take(c, g)
+                left -= 1
+                room[c] -= sizes[g]
+                if room[c] <= 0:
+                    seed[c] = g
+        told = np.bincount(found["chain"], minlength=chains)
+        for c in range(chains):
+            if room[c] <= 0:
+                open_with(c, seed[c])
+            elif told[c] >= longest[c]:
+                longest[c] *= 4
+            elif width[c] < have[c]:
+                width[c] *= 4
+            elif left:
+                while used[fresh]:
+                    fresh += 1
+                take(c, fresh)
+                left -= 1
+                open_with(c, fresh)
+    return chain_of, start, length
+
+
+def _pieces(shared, window: int, together: int):
+    """The pieces of placed documents. `together` chains share a stream: their full windows, then the rests one after another."""
+
+    def run(batches):
+        length = shared.value
+        group = np.arange(len(length)) // together
+        full, rest = length // window * window, length % window
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        within = lambda v: np.cumsum(v) - v - (np.cumsum(v) - v)[first][group]
+        full_at, rest_at = within(full), within(rest) + np.add.reduceat(full, first)[group]
+        total, known = np.add.reduceat(length, first), {}
+        for batch in batches:
+            out = {c.split()[0]: [] for c in FIELDS.split(", ")}
+            for doc, raw, c, at in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "ids", "chain", "at"))):
+                tokens, start, g = np.frombuffer(raw, "<u4"), 0, int(group[c])
+                if g not in known:
+                    known = {g: cuts(int(total[g]), window)}
+                edges = known[g]
+                while start < len(tokens):
+                    x = at + start
+                    y = int(full_at[c] + x if x < full[c] else rest_at[c] + x - full[c])
+                    k = int(np.searchsorted(edges, y, "right")) - 1
+                    size = min(len(tokens) - start, int(edges[k + 1]) - y)
+                    piece = tokens[start : start + size]
+                    for name, value in zip(out, (doc, start, size, zlib.crc32(piece.tobytes()), len(tokens), (g << 32) + k, y - int(edges[k]))):
+                        out[name].append(value)
+                    start += size
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     return run
 
@@ -191,12 +368,46 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     Every token of every document, with the end token after each, lies in exactly one piece. A null
     text counts as empty and is the end token alone. Rows that share an id, or have none, are
-    documents of their own. Sequences are `window` tokens or a power of two long.
+    documents of their own. Sequences are `window` tokens or a power of two long, and only one in
+    about `shard_docs` documents is less than `window`.
     """
-    docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_pack(path, pattern, window, query_terms), FIELDS)
+    spark = docs.sparkSession
+    folder = scratch(spark)
+    docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long"), "text")
+    encoded = staged(docs.mapInArrow(_encode(path, pattern), ENCODED), folder, "encoded")
+    known = encoded.select("key", "size").toPandas().sort_values("key")
+    n, sizes, part = len(known), known["size"].to_numpy(), known["key"].to_numpy() >> 33
+    if not n:
+        return spark.createDataFrame([], FIELDS)
+    # documents are numbered from 0 on: the rows of all partitions before, and those before in its own
+    parts, before = np.unique(part, return_index=True)
+    offsets = spark.createDataFrame([(int(p), int(b)) for p, b in zip(parts, before)], "part long, before long")
+    encoded = encoded.join(F.broadcast(offsets), F.shiftright("key", 33) == F.col("part")).withColumn("gid", F.col("before") + F.col("key").bitwiseAND(F.lit((1 << 33) - 1)))
+    counted = encoded.select("terms").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(int(counted["term"].max()) + 1, np.int64)
+    df[counted["term"]] = counted["n"]
+    corpus = spark.sparkContext.broadcast((df, n, float(sizes.mean())))
+    shards = -(-n // (16 * shard_docs))
+    index = staged(encoded.select((F.col("gid") % shards).alias("shard"), "gid", "size", "terms", "counts").groupBy("shard").applyInArrow(_postings(corpus, shards), SHARD), folder, "index")
+
+    def ask(seed, width, longest, used):
+        asking = spark.createDataFrame(pa.table({"gid": seed, "chain": np.arange(len(seed)), "width": width}))
+        own = encoded.select("gid", "terms").join(F.broadcast(asking), "gid").select("chain", "terms", "width").mapInArrow(_own_terms(corpus), "chain long, terms binary, have int").toPandas().sort_values("chain")
+        terms = [np.frombuffer(t, np.uint32) for t in own["terms"]]
+        query = spark.sparkContext.broadcast((np.arange(len(seed)), seed, longest, np.cumsum([len(t) for t in terms]), np.concatenate(terms), np.packbits(used), n, len(df)))
+        best = index.mapInArrow(_search(query, shards), "chain long, most long, gid long, score double, tie long")
+        best = best.withColumn("_n", F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("score"), "tie"))).where("_n <= most").select("chain", "gid", "score", "tie").toPandas()
+        query.destroy()
+        return best.sort_values(["score", "tie", "chain"], ascending=[False, True, True]), own["have"].to_numpy()
+
+    chains = -(-n // 32)
+    chain_of, start, length = _fill(ask, sizes, chains, window, query_terms, 16)
+    for a in range(0, n, 1 << 20):
+        b = min(n, a + (1 << 20))
+        spark.createDataFrame(pa.table({"gid": np.arange(a, b), "chain": chain_of[a:b].astype(np.int64), "at": start[a:b]})).write.mode("append").parquet(f"{folder}/placed")
+    placed = spark.read.schema("gid long, chain long, at long").parquet(f"{folder}/placed")
+    rows = encoded.select("gid", "doc_id", "ids").join(placed, "gid")
+    return rows.mapInArrow(_pieces(spark.sparkContext.broadcast(length), window, max(1, shard_docs // 32)), FIELDS)
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:

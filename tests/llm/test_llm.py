@@ -185,6 +185,31 @@ def test_index_finds_the_lexical_neighbour():
     assert packing.chain([a, c, b], 8, 24)[:2] == [0, 2]
 
 
+def first_words(rows):
+    """The documents in the order in which they are packed."""
+    return [int(i) for i in rows[rows.start == 0].sort_values(["sequence_id", "offset"]).doc_id]
+
+
+@data
+def test_packing_is_greedy_over_the_whole_corpus(spark):
+    import public_tokenizers
+
+    texts = [" ".join(words(60, k, 40)) for k in range(30)]
+    encoder = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    documents = [np.append(e, np.uint32(packing.END_ID)) for e in encoder.encode(texts)]
+    rows = packing.pack_documents(docs(spark, *texts), shard_docs=1, window=512, query_terms=2).toPandas()
+    assert first_words(rows) == packing.chain(documents, 512, 2)
+
+
+@data
+def test_packing_reaches_neighbours_in_all_shards(spark):
+    """Partners of a topic of their own are spread over a corpus of many shards, and meet nonetheless."""
+    alone = [" ".join(words(150, k, 60).copy() + [f"zq{k}topic{j}" for j in range(40)]) for k in range(100)]
+    rows = packing.pack_documents(docs(spark, *alone, *alone), shard_docs=10).toPandas()
+    where = rows[rows.start == 0].sort_values(["sequence_id", "offset"]).reset_index(drop=True).doc_id % 100
+    assert np.mean(where.to_numpy()[1:] == where.to_numpy()[:-1]) > 0.4
+
+
 def test_further_terms_fill_the_window():
     """The seed's rarest terms lead to a used document only; the rest of its terms lead to a late one."""
     rare, common = np.arange(100, 124), np.arange(200, 260)
