@@ -5,9 +5,10 @@ every pair of terms, the product of their factor vectors: an insult next to a gr
 name counts more than the two alone. Terms are the lower-cased words without outer
 punctuation, and the first bytes of longer words; both are hashed into a fixed number
 of buckets. Learned by AdaGrad on a bounded sample (`sample_per_class` labelled
-documents of each class, in expectation, chosen by a hash of the id). Only terms whose
-presence depends on the class are learned: the likelihood ratio of their counts
-must reach `least_ratio`, else they can't be told from chance. Copies in the sample count once.
+documents of each class, in expectation, chosen by a hash of the id). Terms are learned whose
+presence depends on the class (the likelihood ratio of their counts reaches `least_ratio`), and
+terms of pairs whose joint presence does, more than either term's: else they can't be told from chance.
+Copies in the sample count once.
 Scoring is one pass over the documents with no shuffle.
 """
 
@@ -101,23 +102,61 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 3000, least_
     rows = text_rows(docs, "doc_id", "text").join(F.broadcast(labels.where(dice < share)), "doc_id").mapInArrow(_features, "doc_id long, toxic int, at array<int>").toPandas().sort_values("doc_id")
     data = list({(np.asarray(at).tobytes(), int(y)): (np.asarray(at, np.int64), int(y)) for at, y in zip(rows["at"], rows["toxic"])}.values())
     machine.known = likelihood_ratio(data) >= least_ratio
+    machine.known[telling_pairs(data, least_ratio)] = True
     machine.learn(data)
     return machine
 
 
+def ratio_of(seen: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """Twice the log likelihood ratio of `presence depends on the class`, from the counts of either class."""
+    total, all_rows, ratio = seen[0] + seen[1], max(size.sum(), 1), 0.0
+    for y in (0, 1):
+        for count, share in ((seen[y], total), (size[y] - seen[y], all_rows - total)):
+            expected = share * (size[y] / all_rows)
+            ratio = ratio + 2 * count * np.log(np.maximum(count, 1e-9) / np.maximum(expected, 1e-9))
+    return ratio
+
+
 def likelihood_ratio(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Twice the log likelihood ratio of `the term depends on the class` for every bucket."""
+    """The ratio of every bucket."""
     seen, size = np.zeros((2, 1 << BITS)), np.zeros(2)
     for at, y in rows:
         seen[y, at] += 1
         size[y] += 1
-    total, all_rows = seen.sum(0), max(size.sum(), 1)
-    ratio = np.zeros(1 << BITS)
+    return ratio_of(seen, size)
+
+
+def telling_pairs(rows: list[tuple[np.ndarray, int]], least_ratio: float, block: int = 128) -> np.ndarray:
+    """Terms of pairs that tell more together than either does alone.
+
+    The ratio of a pair's joint counts must pass that of its better term by `least_ratio` and
+    by what the best of so many pairs reaches by chance. Terms too rare for that are left out first,
+    so no such pair is lost; the rest is bounded by the sample.
+    """
+    marks = np.array([y for _, y in rows])
+    size = np.bincount(marks, minlength=2).astype(float)
+    if not size.all():
+        return np.zeros(0, np.int64)
+    found = np.bincount(np.concatenate([at for at, _ in rows]), minlength=1 << BITS).astype(float)
+    # the most that a pair with the term can reach: all of its rows in one class
+    reach = np.maximum(ratio_of([np.minimum(found, size[0]), 0 * found], size), ratio_of([0 * found, np.minimum(found, size[1])], size))
+    kept = np.flatnonzero(reach >= least_ratio)
+    least = least_ratio + 2 * np.log(max(1, len(kept) * (len(kept) - 1) / 2))
+    kept = np.flatnonzero(reach >= least)
+    place = np.full(1 << BITS, -1)
+    place[kept] = np.arange(len(kept))
+    sides = [np.zeros((int(n), len(kept)), np.float32) for n in size]
     for y in (0, 1):
-        for count, share in ((seen[y], total), (size[y] - seen[y], all_rows - total)):
-            expected = share * size[y] / all_rows
-            ratio += 2 * count * np.log(np.maximum(count, 1e-9) / np.maximum(expected, 1e-9))
-    return ratio
+        for k, row in enumerate(np.flatnonzero(marks == y)):
+            at = place[rows[row][0]]
+            sides[y][k, at[at >= 0]] = 1
+    own, out = ratio_of([x.sum(0, dtype=float) for x in sides], size), np.zeros(len(kept), bool)
+    for a in range(0, len(kept), block):
+        joint = ratio_of([(x[:, a : a + block].T @ x[:, a:]).astype(float) for x in sides], size)
+        good = joint - np.maximum(own[a : a + block, None], own[a:]) >= least
+        out[a:] |= good.any(0)
+        out[a : a + block] |= good.any(1)
+    return kept[out]
 
 
 def _score(model):

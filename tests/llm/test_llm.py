@@ -145,6 +145,18 @@ def test_factorization_machine_learns_a_pair():
     assert right > 0.95
 
 
+def test_fit_learns_a_pair(spark):
+    """fit() keeps terms that are as frequent in either class, and learns that they count together."""
+    r, texts, marks = random.Random(0), [], []
+    for k in range(1200):
+        a, b = k % 2, k // 2 % 2
+        texts.append(" ".join(["qa"] * a + ["qb"] * b + [f"n{x}" for x in r.sample(range(30), 4)]))
+        marks.append((k, int(a == b)))
+    machine = toxicity.fit(docs(spark, *texts), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    rows = toxicity.score(docs(spark, *texts), machine).toPandas().sort_values("doc_id")
+    assert np.mean((rows.toxicity_score > 0.5) == np.array([y for _, y in marks])) > 0.95
+
+
 @data
 def test_toxicity_on_held_out_rows_and_edges(spark):
     found = toxicity.score_toxicity(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
