@@ -37,44 +37,58 @@ def self_replies(messages: DataFrame) -> DataFrame:
     return messages.where("reply_to_msg_id = message_id and coalesce(reply_to_peer_id, peer_id) = peer_id").select("peer_id", "message_id")
 
 
+def _settled(jump: DataFrame, hops: int) -> tuple:
+    """What stays the same in a doubling only once all walks have ended or gone round their cycle.
+
+    A longer chain has nodes of every depth, so more walks would end; a longer tail would leave fewer
+    nodes to stand on; a longer cycle would show someone a lesser member.
+    """
+    endless = F.col("hops") >= hops
+    return tuple(jump.agg(F.count(F.when(~endless, 1)), F.count_distinct(F.when(endless, F.col("to"))), F.sum(F.when(endless, F.xxhash64("least")).cast("decimal(38,0)"))).first())
+
+
 def walks(messages: DataFrame, most_hops: int = 1024, folder: str | None = None) -> DataFrame:
-    """For each message: root or cycle entry after most_hops, hops, least node seen, and whether the walk ends.
+    """For each message: root or a node of its cycle, hops, least node seen, and whether the walk ends.
 
-    Step k joins 2**k-hop pointers with themselves: ten joins for 1,024 hops. Self replies count as roots. The
-    number of steps is bounded, each is keyed by the message, and a chat's size doesn't matter.
+    Step k joins 2**k-hop pointers with themselves: ten joins for 1,024 hops. After most_hops it is looked
+    whether walks go on, and doubling lasts until none does, by the logarithm of the longest walk. Self replies
+    count as roots. Each step is keyed by the message, and a chat's size doesn't matter.
     """
     edges = reply_edges(messages).where("status = 'resolved' and not (source_peer_id = target_peer_id and source_message_id = target_message_id)")
     jump = messages.select(_node("peer_id", "message_id").alias("node")).join(
         edges.select(_node("source_peer_id", "source_message_id").alias("node"), _node("target_peer_id", "target_message_id").alias("next")), "node", "left")
     jump = jump.select("node", F.coalesce("next", "node").alias("to"), F.col("next").isNotNull().cast("long").alias("hops"), F.least("node", F.coalesce("next", "node")).alias("least"))
-    step = 1
-    while step < most_hops:
+    step, state = 1, None
+    while True:
         jump = _checkpointed(jump, folder, str(step))
+        if step >= most_hops:
+            before, state = state, _settled(jump, step)
+            if state == before:
+                return jump.withColumn("ends", F.col("hops") < step)
         ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"))
         jump = jump.join(ahead, "to").select("node", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("least", "least2").alias("least"))
         step *= 2
-    return _checkpointed(jump, folder, "done")
 
 
 def reply_depth(found: DataFrame, most_hops: int = 1024) -> DataFrame:
-    """Depth and thread root of each message; walks that don't end within the limit have neither."""
-    ends = F.col("hops") < most_hops
+    """Depth and thread root of each message; walks that lead into a cycle have neither. most_hops is no limit."""
+    ends = F.col("ends")
     return found.select("node.peer_id", "node.message_id", F.when(ends, F.col("hops")).alias("depth"), F.when(ends, F.col("to.peer_id")).alias("root_peer_id"), F.when(ends, F.col("to.message_id")).alias("root_message_id"))
 
 
 def reply_cycles(found: DataFrame, messages: DataFrame, most_hops: int = 1024, folder: str | None = None) -> DataFrame:
-    """True cycles of at most most_hops members: their least member, number of members, and of tails that lead into them.
+    """True cycles of any size: their least member, number of members, and of tails that lead into them.
 
-    A walk as long as the limit is in or before a cycle (or a deeper chain). After that many
-    hops it stands on a cycle's node, whose own walk comes back to it: those nodes are the members.
+    A walk that doesn't end stands on a cycle's node, whose own walk comes back to it: those
+    nodes are the members. most_hops is no limit.
     """
-    endless = _checkpointed(found.where(F.col("hops") >= most_hops), folder, "endless")
+    endless = _checkpointed(found.where("not ends"), folder, "endless")
     edges = reply_edges(messages).where("status = 'resolved'").select(_node("source_peer_id", "source_message_id").alias("node"), _node("target_peer_id", "target_message_id").alias("next"))
     inside = endless.select(F.col("to").alias("node")).distinct()
     # a cycle's members are the nodes on which endless walks stand, closed under one more step
     members = inside.join(edges, "node").select("node", "next").join(endless.select("node", "least"), "node").select("node", "next", "least")
     members = _checkpointed(members, folder, "members")
-    # a stretch of a chain longer than twice the limit looks alike, but isn't closed under its links
+    # members are closed under their links
     closed = members.join(members.select(F.col("node").alias("next"), F.col("least").alias("_l")), "next").where("least = _l").groupBy("least").agg(F.count("*").alias("n_closed"))
     cycles = members.groupBy("least").agg(F.count("*").alias("n_members")).join(closed, "least").where("n_members = n_closed").drop("n_closed")
     walkers = endless.join(members.select(F.col("node").alias("to"), F.col("least").alias("cycle")), "to").groupBy("cycle").agg(F.count("*").alias("n_walkers"))

@@ -55,6 +55,17 @@ def test_cycles_tails_and_chains(spark):
     assert [tuple(r) for r in graph.self_replies(rows).collect()] == [(2, 200)]
 
 
+def test_walks_longer_than_most_hops(spark):
+    """A chain of 100, a cycle of 50 and a tail of 30 into a cycle of two, looked at after 4 hops."""
+    chain = [(1, k, 1, None, "x", "active", k - 1 if k > 1 else None) for k in range(1, 101)]
+    cycle = [(2, k, 1, None, "x", "active", k % 50 + 1) for k in range(1, 51)]
+    tail = [(3, k, 1, None, "x", "active", k - 1 if k > 1 else 2) for k in range(1, 33)]
+    rows = messages(spark, *chain, *cycle, *tail)
+    found = graph.walks(rows, 4)
+    assert sorted((r.message_id, r.depth) for r in graph.deep_chains(found, 90, 4).collect()) == [(k, k - 1) for k in range(91, 101)]
+    assert sorted(tuple(r) for r in graph.reply_cycles(found, rows, 4).collect()) == [(2, 1, 50, 0), (3, 1, 2, 30)]
+
+
 def test_folding_finds_facade_and_prefixes_phrases_and_blank_queries(spark):
     rows = messages(spark, (1, 1, 1, None, "La façade est belle", "active"), (1, 2, 1, None, "facade only", "edited"), (1, 3, 1, None, "façade", "deleted"), (1, 4, 1, None, None, "active"))
     postings = search.build_postings(rows)
