@@ -29,29 +29,36 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIRST, SECOND, Words, lists, mix, scratch, signed, sliced, spans_hash, staged, table, text_rows
+from .common import Words, lists, mix, scratch, signed, sliced, staged, table, text_rows, unused
 from .graph import components
 
 
-def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, row after row, and their numbers."""
+def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each row, row after row; their numbers; two digests of each row's set.
+
+    A set of one shingle is told apart by the shingle's words themselves, larger ones by all their hashes.
+    """
     words = Words(column, lower=True)
-    grams, left = words.grams(k), words.left()
-    rows = words.row_of()
+    joined, begins, *_ = words.joined()
+    whole = words.left() >= k
+    rows, grams = words.row_of()[whole], words.grams(k)[whole]
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
-    rows, grams = rows[left >= k], grams[left >= k]
     if len(short):
         rows = np.concatenate([rows, short])
-        grams = np.concatenate([grams, words.digests(FIRST)[short]])
+        grams = np.concatenate([grams, np.array([xxhash.xxh3_64_intdigest(joined[begins[i] : begins[i + 1]]) for i in short], np.uint64)])
     grams = signed(grams)
     order = np.lexsort((grams, rows))
     rows, grams = rows[order], grams[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
-    return grams[new], np.bincount(rows[new], minlength=len(words.counts))
+    tokens, sizes = grams[new], np.bincount(rows[new], minlength=len(words.counts))
+    ends = np.cumsum(sizes)
+    raw = [tokens[e - n : e].tobytes() if n != 1 else b" ".join(joined[begins[i] : begins[i + 1]].split(b" ", k)[:k]) for i, (n, e) in enumerate(zip(sizes.tolist(), ends.tolist()))]
+    return tokens, sizes, np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), np.int64).reshape(-1, 2)
 
 
 def _missing(n, num: int, den: int):
@@ -81,12 +88,8 @@ def _common(docs: DataFrame, k: int, sample: int, least: int = 3, most: int = 20
 def _scan(k: int):
     def run(batches):
         for batch in sliced(batches):
-            tokens, sizes = _sets(batch.column("text"), k)
-            seen, ends = tokens.view(np.uint64), np.cumsum(sizes)
-            yield table({
-                "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()),
-                "s1": pa.array(signed(spans_hash(seen, ends - sizes, ends, FIRST))), "s2": pa.array(signed(spans_hash(seen, ends - sizes, ends, SECOND))),
-            })
+            _, sizes, digests = _sets(batch.column("text"), k)
+            yield table({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "s1": pa.array(digests[:, 0]), "s2": pa.array(digests[:, 1])})
 
     return run
 
@@ -97,18 +100,17 @@ def _prefixes(k: int, num: int, den: int, combine: bool, common):
     def run(batches):
         often = common.value
         for batch in sliced(batches):
-            tokens, sizes = _sets(batch.column("text"), k)
-            ends = np.cumsum(sizes)
-            begins = ends - sizes
+            tokens, sizes, digests = _sets(batch.column("text"), k)
+            begins = np.cumsum(sizes) - sizes
             late = often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] == tokens if len(often) else np.zeros(len(tokens), bool)
             ordered = tokens[np.lexsort((late, np.repeat(np.arange(len(sizes)), sizes)))]
             wanted = _missing(sizes, num, den) + 1 + combine * _differ(sizes, num, den)
             take = np.minimum(np.maximum(sizes - combine, 0), wanted)
             at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(begins, take)
             keys = _pairs(ordered[at], ordered[at + 1]) if combine else ordered[at]
-            s1 = np.repeat(signed(spans_hash(tokens.view(np.uint64), begins, ends, FIRST)), take)
-            for a in range(0, max(1, len(keys)), 100_000):
-                yield table({"s1": pa.array(s1[a : a + 100_000]), "key": pa.array(keys[a : a + 100_000])})
+            s1 = np.repeat(digests[:, 0], take)
+            for a in range(0, max(1, len(keys)), 50_000):
+                yield table({"s1": pa.array(s1[a : a + 50_000]), "key": pa.array(keys[a : a + 50_000])})
 
     return run
 
@@ -116,7 +118,7 @@ def _prefixes(k: int, num: int, den: int, combine: bool, common):
 def _whole_sets(k: int):
     def run(batches):
         for batch in sliced(batches):
-            tokens, sizes = _sets(batch.column("text"), k)
+            tokens, sizes, _ = _sets(batch.column("text"), k)
             yield table({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "tokens": lists(tokens, sizes, pa.int64())})
 
     return run
@@ -230,9 +232,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each group of similar ones, columns as given. Rows with a null id stay."""
-    gone = similar_documents(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """The document with the smallest id of each group of similar ones, columns as given.
+
+    Rows with a null id stay, and so do null and empty texts. Rows that share an id stay or go together.
+    Other columns, whatever their names, are carried along. An empty table stays empty.
+    """
+    (key,) = unused(docs, "gone_id")
+    gone = similar_documents(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -34,12 +34,11 @@ def terms(column: pa.Array, prefix: int = 4) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(4):
         start += (end - start > 1) & OUTER[words.raw[start]] if len(start) else 0
         end -= (end - start > 1) & OUTER[words.raw[end - 1]] if len(start) else 0
-    raw = words.raw.astype(np.uint64) + np.uint64(1)
     rows = words.row_of().astype(np.uint64)
     long = end - start > prefix
     shift = np.uint64(64 - BITS)
-    whole = spans_hash(raw, start, end, BYTES) >> shift
-    head = spans_hash(raw, start[long], start[long] + prefix, SECOND) >> shift
+    whole = spans_hash(words.raw, start, end, BYTES) >> shift
+    head = spans_hash(words.raw, start[long], start[long] + prefix, SECOND) >> shift
     key = np.unique(np.concatenate([rows << np.uint64(BITS) | whole, rows[long] << np.uint64(BITS) | head]))
     return (key & np.uint64((1 << BITS) - 1)).astype(np.int32), np.bincount((key >> np.uint64(BITS)).astype(np.int64), minlength=len(words.counts))
 

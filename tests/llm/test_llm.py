@@ -9,11 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import chat_format, jaccard_join, language_id, near_vectors, packing, sentencepiece_codec, substring_dedup, topk_search, toxicity, warc_index
-from parley.llm.common import WORD
+from parley.llm.common import WORD, Words
 
 DATA = "/root/testdata/sf0.001"
 data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -58,12 +59,53 @@ def test_repeats_against_brute_force(spark):
         copy = list(base)
         copy[random.Random(k).randrange(300)] = f"edit{k % 3}"
         texts.append(" ".join(copy))
-    got = substring_dedup.remove_repeats(docs(spark, *texts), window=50, shard_docs=3)
+    got = substring_dedup.remove_repeats(docs(spark, *texts), window=50, shard_bytes=2000)
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_repeats(texts, 50)
     kept = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs(spark, *texts)).collect()}
     assert kept[0] == texts[0] and 4 not in kept and kept[9] == "   \t\n"
 
 
+def thue_morse(n):
+    """Two sequences of a and b whose weighted sums agree for every odd base modulo a power of two."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_texts_do_not_collide(spark):
+    one, two = thue_morse(1024)
+    texts = [one, two, " ".join(one), " ".join(two)]
+    assert [r.component_id for r in jaccard_join.similar_documents(docs(spark, one, two), k=3, num=90).orderBy("doc_id").collect()] == [0, 1]
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs(spark, *texts), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_repeats(texts, 50)
+    hashed = Words(pa.array(texts))
+    assert len(set(hashed.hash[:2].tolist())) == 2 and len(set(hashed.grams(1024)[[2, 1026]].tolist())) == 2
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    passage = words(60, 8)
+    rows = [(1, " ".join(passage)), (5, " ".join(["x", *passage, "y"])), (5, "four other short words"), (5, "four other short words"), (None, " ".join(passage))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("_gone", "kept", "sha", "done_id")})
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == Counter([(1, 60, 0, sha(rows[0][1])), (5, 62, 60, sha("x y")), *[(5, 4, 0, sha(rows[2][1]))] * 2, (None, 60, 0, sha(rows[0][1]))])
+    left = substring_dedup.without_repeats(frame)
+    assert left.columns == frame.columns and Counter(r.text for r in left.collect()) == Counter([rows[0][1], rows[0][1], "x y", rows[2][1], rows[2][1]])
+    assert substring_dedup.remove_repeats(frame.limit(0)).count() == 0 and substring_dedup.without_repeats(frame.limit(0)).count() == 0
+
+
+def test_many_variants_of_a_passage(spark):
+    """A third of the rows are near copies whose passages share nearly all of their half windows."""
+    base, texts = words(160, 9), []
+    for k in range(120):
+        copy, r = list(base), random.Random(k)
+        for _ in range(3):
+            copy[r.randrange(160)] = f"edit{r.randrange(4)}"
+        texts.append(" ".join(copy))
+    got = substring_dedup.remove_repeats(docs(spark, *texts), window=50)
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_repeats(texts, 50)
+
+
 def brute_groups(texts, k, num, den):
     sets = []
     for t in texts:
