@@ -11,18 +11,17 @@ The model is a dense array of fixed size: buckets x languages.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, lists, sliced, table, text_rows
+from .common import fold, lists, sliced, table, text_rows, unused
 
 BITS = 15
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 STEPS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 
 
@@ -126,7 +125,7 @@ def fit(docs: DataFrame, n_max: int = 3, sample_per_lang: int = 600) -> dict:
     return {"langs": langs, "idf": idf, "weights": w, "temperature": temperature(logits, np.array([y for *_, y in aside], int)), "n_max": n_max}
 
 
-def _predict(model):
+def _predict(model, columns: list[str]):
     def run(batches):
         m = model.value
         langs, idf, w = m["langs"], m.get("idf"), m.get("weights")
@@ -143,30 +142,30 @@ def _predict(model):
                 best = int(p.argmax())
                 names.append(langs[best])
                 scores.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, LANG, SCORE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *columns])
 
     return run
 
 
-LANG, SCORE = "language_predicted", "language_score"
-
-
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with language_predicted and language_score, in one pass. `und` with score 0 if there is no letter or no model."""
+def predict(docs: DataFrame, model: dict) -> tuple[DataFrame, str, str]:
+    """docs with two more columns in one pass, and the names of those: language and score. `und` with score 0 if there is no letter or no model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(shared), T.StructType([*docs.schema.fields, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType())]))
+    lang, score = unused(docs, "language_predicted", "language_score")
+    return docs.mapInArrow(_predict(shared, [lang, score]), T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])), lang, score
 
 
 def identify_languages(docs: DataFrame, fold_of: int = 5, held: int = 0, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents outside the held-out fold.
 
     Null or letterless texts are `und` with score 0; so is everything if no document
-    has a language. Repeated rows are scored one by one. A null id is never held out.
+    has a language. Letters are those of Unicode's category L. Repeated rows are scored one by one. A null
+    id is never held out and never learned from. Other columns don't matter. An empty table gives no rows.
     """
     part = fold(F.col("doc_id"), fold_of)
     model = fit(docs.where(part != held), **options)
     docs = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return predict(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), F.col(LANG).alias("lang_pred"), F.col(SCORE).alias("score"))
+    found, lang, score = predict(docs, model)
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
@@ -178,6 +177,12 @@ LEAST_SCORE = 0.3
 
 
 def with_known_language(docs: DataFrame, least: float = LEAST_SCORE, fold_of: int = 5, held: int = 0, **options) -> DataFrame:
-    """The documents with a recognised language, columns as given. `und` and unsure ones go."""
+    """The documents with a recognised language, columns as given. `und` and unsure ones go.
+
+    So null, empty and letterless texts go. Repeated rows and rows without id are judged one by one. Other
+    columns, whatever their names, are carried along. Without any known language every document goes; an
+    empty table stays empty.
+    """
     model = fit(docs.where(fold(F.col("doc_id"), fold_of) != held), **options)
-    return predict(docs, model).where((F.col(LANG) != "und") & (F.col(SCORE) >= least)).drop(LANG, SCORE)
+    found, lang, score = predict(docs, model)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= least)).drop(lang, score)

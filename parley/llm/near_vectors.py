@@ -40,6 +40,12 @@ def rotation(sample: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
     return axes @ turn
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are scaled by a power of two first, so that squares neither vanish nor overflow."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def plan(n: int, threshold: float, recall: float, bucket: int) -> tuple[int, int]:
     """Bits of a table and number of tables."""
     bits = min(32, max(8, math.ceil(math.log2(max(2, n / bucket)))))
@@ -70,7 +76,7 @@ def _compare(threshold: float):
         b1, b2 = rows.column("b1")[0].as_py(), rows.column("b2")[0].as_py()
         ids, copies, own = (rows.column(c).to_numpy() for c in ("id", "copies", "own"))
         x, codes = matrix(rows.column("vector")), matrix(rows.column("codes"))
-        x = x / np.sqrt((x * x).sum(1))[:, None]
+        x = unit(x)
         left = np.flatnonzero(own == b1)
         right = np.flatnonzero(own == b2)
         # links as positions, and labels that spread along them
@@ -106,7 +112,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors link at cosine >= threshold (double precision); none below it is ever linked, and the
     index finds at least `recall` of the pairs at the threshold in expectation. Vectors that are
     null, zero, empty or hold null or non-finite components link with nothing. Rows that
-    share an id are one vector, the least. Vectors meet only others of their length.
+    share an id are one vector, the least. Vectors meet only others of their length. Rows without id
+    link with nothing. Other columns don't matter. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     folder = scratch(spark)
@@ -121,7 +128,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         dice = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
         sample = own.where(dice < min(1.0, sample_rows / n)).select("id", "vector").toPandas().sort_values("id")
         x = np.stack(sample["vector"].to_numpy()) if len(sample) else np.ones((1, size))
-        x /= np.sqrt((x * x).sum(1))[:, None]
+        x = unit(x)
         model = spark.sparkContext.broadcast(([rotation(x, s) for s in range(-(-bits * tables // size))], bits, tables))
         coded = own.mapInArrow(_codes(model), "id long, copies long, vector array<double>, codes array<long>")
         coded = staged(coded, folder, f"codes-{k}")

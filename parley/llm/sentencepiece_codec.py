@@ -2,10 +2,11 @@
 
 The model file is read field by field; its normaliser, metaspace marker, pieces with
 their scores (unigram) or the merges that the scores imply (BPE) and byte fallback are rebuilt.
-No piece has the marker after another character (checked), so a text falls apart at
-its runs of markers, and each distinct word is encoded once, in multithreaded batches. Every
-word is also encoded and decoded by the original library: parity is verified for all of
-every text, at the cost of its distinct words.
+No piece goes on over a marker (checked on load), so a normalised text falls apart at its runs
+of markers, and each distinct word is encoded and decoded once, in multithreaded batches.
+
+Parity with the original library is verified for all of every text: both normalise the whole text
+alike, and for each of its words both give the same ids and the same text for them.
 """
 
 from __future__ import annotations
@@ -110,51 +111,75 @@ def rebuild(model: dict):
     return tokenizer, normalizers.Sequence(steps)
 
 
+def batch_ids(tokenizer, words: list[str], chunk: int = 512) -> list[bytes]:
+    """The ids of each word, as 32-bit numbers; words are encoded in multithreaded batches of `chunk`."""
+    out = []
+    for found in tokenizer.encode_batch([words[a : a + chunk] for a in range(0, len(words), chunk)], is_pretokenized=True, add_special_tokens=False):
+        raw, word = np.array(found.ids, np.uint32).tobytes(), np.array(found.word_ids, np.int64)
+        edges = [0, *(4 * np.flatnonzero(np.diff(word)) + 4).tolist(), len(raw)] if len(raw) else [0]
+        out += [raw[a:b] for a, b in zip(edges, edges[1:])]
+    if len(out) != len(words):
+        raise ValueError("a word without ids")
+    return out
+
+
 class Codec:
-    """Encodes and decodes texts by their words, each encoded once while the memory of `most` lasts."""
+    """Encodes and decodes texts by their words, each coded once while the memory of `most` lasts."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import sentencepiece
 
         with open(path, "rb") as file:
             self.model = parse_model(file.read())
         self.tokenizer, self.normalizer = rebuild(self.model)
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model["pieces"]]
         self.most, self.known = most, {}
-
-    def normalised(self, text: str) -> str:
-        return self.normalizer.normalize_str(text) if text else ""
+        #: words that don't decode to themselves or that the original library codes in another way: decoded text, parity
+        self.odd: dict[str, tuple[str, bool]] = {}
 
     def _learn(self, new: list[str]) -> None:
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, word = np.array(got.ids, np.uint32), np.array(got.word_ids, np.int64)
-            edges = [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(ids)]
-            if len(edges) - 1 != len(part):
-                raise ValueError("a word without ids")
-            bare = [w.replace(MARK, " ") for w in part]
-            bare = [b[1:] for b in bare] if self.model["dummy_prefix"] else bare
-            for k, (text, own) in enumerate(zip(part, self.original.encode(bare, num_threads=1))):
-                mine = ids[edges[k] : edges[k + 1]]
-                self.known[text] = (mine.tobytes(), self.decode(mine.tolist()), text == MARK or mine.tolist() == own)
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids, with the space of the first marker; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
+        ids = batch_ids(self.tokenizer, new)
+        own = [np.frombuffer(i, np.uint32).tolist() for i in ids]
+        decoded = self.tokenizer.decode_batch(own, skip_special_tokens=False)
+        self.known.update(zip(new, ids))
+        for text, mine, back, theirs in zip(new, own, decoded, self._originally(new)):
+            if back != text.replace(MARK, " ") or (mine, back) != theirs:
+                self.odd[text] = back, (mine, back) == theirs
+
+    def _originally(self, words: list[str]) -> list[tuple[list[int], str]]:
+        """The ids of normalised words and their text by the original library, which adds the dummy prefix itself."""
+        prefix = self.model["dummy_prefix"]
+        bare = [w.replace(MARK, " ") for w in words]
+        plain = [b[1:] if prefix and b[:1] == " " else b for b in bare]
+        ids = self.original.encode(plain, num_threads=1)
+        back = self.original.decode(ids, num_threads=1)
+        found = [(i, " " + t if prefix and b[:1] == " " else t) for i, t, b in zip(ids, back, bare)]
+        if prefix and MARK in words:
+            # only stands behind another word
+            one, two = self.original.encode(["a", "a "])
+            found[words.index(MARK)] = two[len(one) :], self.original.decode(two).removeprefix("a")
+        return found
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str, bool]]:
         """Per text its ids, the decoded text and whether the original library agrees."""
-        split = [WORDS.findall(self.normalised(t)) for t in texts]
+        normal = [self.normalizer.normalize_str(t) if t else "" for t in texts]
+        split = [WORDS.findall(t) for t in normal]
         if len(self.known) > self.most:
             self.known.clear()
-        self._learn(list({w for words in split for w in words}.difference(self.known)))
+            self.odd.clear()
+        known = self.known.get
+        found = [list(map(known, words)) for words in split]
+        short = [k for k, ids in enumerate(found) if None in ids]
+        self._learn(list({w for k in short for w, ids in zip(split[k], found[k]) if ids is None}))
+        for k in short:
+            found[k] = list(map(known, split[k]))
         out = []
-        for words in split:
-            found = [self.known[w] for w in words]
-            decoded = "".join([f[1] for f in found])
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), np.uint32), decoded[1:] if self.model["dummy_prefix"] else decoded, all([f[2] for f in found])))
+        for text, mine, words, ids in zip(texts, normal, split, found):
+            parity, decoded = mine == self.original.normalize(text), mine.replace(MARK, " ")
+            if self.odd and not self.odd.keys().isdisjoint(words):
+                parity = parity and all(self.odd[w][1] for w in words if w in self.odd)
+                decoded = "".join([self.odd[w][0] if w in self.odd else w.replace(MARK, " ") for w in words])
+            out.append((np.frombuffer(b"".join(ids), np.uint32), decoded[1:] if self.model["dummy_prefix"] else decoded, parity))
         return out
 
 
@@ -190,8 +215,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """doc_id, n_tokens, ids_crc32, round_trip, parity (and ids, decoded) for every row.
 
     round_trip: decoding gives the text back, which holds unless the model's normaliser changes
-    it or it has the marker itself. parity: the original library gives the same ids. Null texts count as empty:
-    no tokens. Rows are coded one by one, repeated or without id.
+    it or it has the marker itself. parity: the original library normalises the text alike, and gives the same
+    ids for its words and the same text for them. Null texts count as empty: no tokens. Rows are coded one by one, repeated or
+    without id. Other columns don't matter. An empty table gives no rows.
     """
     docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(_code(path, with_ids), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean" + ", ids array<int>, decoded string" * with_ids)

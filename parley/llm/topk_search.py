@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAFE = float(1 << 53)
+ENDS = -(1 << 63) + 1, (1 << 63) - 1
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -45,16 +46,24 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
+def exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers in a type in which their products are exact: doubles, 64-bit integers, else Python's."""
+    bound = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
+    if bound < SAFE:
+        return q, x
+    return tuple(v.astype(np.int64) if bound < 2.0**62 else np.frompyfunc(int, 1, 1)(v) for v in (q, x))
+
+
 def _tile(k: int, scale: float):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = {"block": [], "tile": [], "query_id": [], "vec_id": [], "score": []}
         if queries.num_rows and rows.num_rows:
             q, x = (np.floor(scale * matrix(t.column(1))) for t in (queries, rows))
-            if np.abs(q).max() * np.abs(x).max() * q.shape[1] >= SAFE:
-                q, x = q.astype(np.int64), x.astype(np.int64)
+            q, x = exact(q, x)
             q_ids, ids = queries.column(0).to_numpy(), rows.column(0).to_numpy()
             for a in range(0, len(q), 256):
-                product = (q[a : a + 256] @ x.T).astype(np.int64)
+                product = q[a : a + 256] @ x.T
+                product = np.clip(product, *ENDS).astype(np.int64) if product.dtype == object else product.astype(np.int64)
                 for i, scores in enumerate(product):
                     other = ids != q_ids[a + i]
                     at = np.flatnonzero(other)[_best(None, ids[other], scores[other], k)] if not other.all() else _best(None, ids, scores, k)
@@ -88,9 +97,11 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     is_query is a condition on `id`. Components x become floor(scale * x). A query is compared with
     every row but its own, ties go to the smaller id. Vectors that are null, empty or hold
     null or non-finite components take no part; rows that share an id are one vector,
-    the least. Vectors meet only others of their length.
+    the least. Vectors meet only others of their length. Scores beyond 2^63 - 1 count as that,
+    on either side of 0. Components whose multiple isn't finite make a vector take no part. Other columns don't
+    matter. An empty table gives no rows.
     """
-    rows = valid_vectors(vectors, id_col, vector_col).withColumn("size", F.size("vector"))
+    rows = valid_vectors(vectors, id_col, vector_col).where(F.forall("vector", lambda v: F.abs(v * scale) < float("inf"))).withColumn("size", F.size("vector"))
     sizes = rows.select("size", is_query.cast("int").alias("q")).groupBy("size").agg(F.count("*").alias("n"), F.sum("q").alias("q")).collect()
     found = None
     for size, n, q in sizes:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTES, SECOND, Words, fold, lists, sliced, spans_hash, table, text_rows
+from .common import BYTES, SECOND, Words, fold, lists, sliced, spans_hash, table, text_rows, unused
 
 BITS = 18
 OUTER = np.zeros(256, bool)
@@ -158,7 +158,7 @@ def telling_pairs(rows: list[tuple[np.ndarray, int]], least_ratio: float, block:
     return kept[out]
 
 
-def _score(model):
+def _score(model, column: str):
     def run(batches):
         machine = model.value
         for batch in sliced(batches):
@@ -166,20 +166,20 @@ def _score(model):
             ends = np.cumsum(sizes)
             raw = np.array([machine.raw(at[e - n : e]) for e, n in zip(ends, sizes)])
             score = pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, column])
 
     return run
 
 
-SCORE = "toxicity_score"
 #: From this score on a document counts as toxic.
 REJECT = 0.7
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with the column toxicity_score, in one pass and without a shuffle."""
+def score(docs: DataFrame, machine: Machine) -> tuple[DataFrame, str]:
+    """docs with their score in one more column, and its name: one pass, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    return docs.mapInArrow(_score(shared), T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    (column,) = unused(docs, "toxicity_score")
+    return docs.mapInArrow(_score(shared, column), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])), column
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held: int = 1, **options) -> DataFrame:
@@ -191,7 +191,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held: i
     """
     machine = fit(docs, labels.where(fold(F.col("doc_id"), fold_of) != held), **options)
     docs = text_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return score(docs, machine).withColumnRenamed(SCORE, "score").select("doc_id", F.coalesce(fold(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+    found, column = score(docs, machine)
+    return found.withColumnRenamed(column, "score").select("doc_id", F.coalesce(fold(F.col("doc_id"), fold_of) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -199,6 +200,12 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held: int = 1, **options) -> DataFrame:
-    """The documents that are not predicted toxic, columns as given."""
+    """The documents that are not predicted toxic, columns as given.
+
+    Null and empty texts get the bias's score, which is low. Repeated rows and rows without id are judged one by
+    one. Other columns, whatever their names, are carried along. Without labels nothing goes; an empty table
+    stays empty.
+    """
     machine = fit(docs, labels.where(fold(F.col("doc_id"), fold_of) != held), **options)
-    return score(docs, machine).where(F.col(SCORE) < REJECT).drop(SCORE)
+    found, column = score(docs, machine)
+    return found.where(F.col(column) < REJECT).drop(column)
