@@ -11,6 +11,7 @@ alike, and for each of its words both give the same ids and the same text for th
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -111,8 +112,9 @@ def rebuild(model: dict):
     return tokenizer, normalizers.Sequence(steps)
 
 
-def batch_ids(tokenizer, words: list[str], chunk: int = 512) -> list[bytes]:
-    """The ids of each word, as 32-bit numbers; words are encoded in multithreaded batches of `chunk`."""
+def batch_ids(tokenizer, words: list[str], chunk: int = 512, threads: bool = True) -> list[bytes]:
+    """The ids of each word, as 32-bit numbers; words are encoded in batches of `chunk`, with threads if wanted."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads else "false"  # the library looks at each call
     out = []
     for found in tokenizer.encode_batch([words[a : a + chunk] for a in range(0, len(words), chunk)], is_pretokenized=True, add_special_tokens=False):
         raw, word = np.array(found.ids, np.uint32).tobytes(), np.array(found.word_ids, np.int64)
@@ -123,6 +125,18 @@ def batch_ids(tokenizer, words: list[str], chunk: int = 512) -> list[bytes]:
     return out
 
 
+def remembered(known: dict[str, bytes], split: list[list[str]], learn) -> list[list[bytes]]:
+    """The ids of every word of every text; learn(new) puts those that aren't known yet into known."""
+    get = known.get
+    found = [list(map(get, words)) for words in split]
+    missing = [[k for k, ids in enumerate(f) if ids is None] for f in found]
+    learn(list({words[k] for words, at in zip(split, missing) for k in at}))
+    for words, ids, at in zip(split, found, missing):
+        for k in at:
+            ids[k] = known[words[k]]
+    return found
+
+
 class Codec:
     """Encodes and decodes texts by their words, each coded once while the memory of `most` lasts."""
 
@@ -167,12 +181,7 @@ class Codec:
         if len(self.known) > self.most:
             self.known.clear()
             self.odd.clear()
-        known = self.known.get
-        found = [list(map(known, words)) for words in split]
-        short = [k for k, ids in enumerate(found) if None in ids]
-        self._learn(list({w for k in short for w, ids in zip(split[k], found[k]) if ids is None}))
-        for k in short:
-            found[k] = list(map(known, split[k]))
+        found = remembered(self.known, split, self._learn)
         out = []
         for text, mine, words, ids in zip(texts, normal, split, found):
             parity, decoded = mine == self.original.normalize(text), mine.replace(MARK, " ")
