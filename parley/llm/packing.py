@@ -1,73 +1,90 @@
 """Packing of documents into fixed windows by lexical retrieval.
 
-The corpus is tokenized once. A BM25 inverted index of all documents over token ids, with the
-document frequencies and the mean length of the whole corpus, is kept in shards. Chains of
-documents grow side by side, one for about 32 documents. A seed document asks all shards with its
-most telling tokens for unused neighbours, which greedily fill its window; while it isn't full,
-further tokens ask, up to all of the seed's. The one that crosses the window's end is cut there,
-and its rest opens the next window as the next seed. So every window but a chain's last is full.
-The rests of neighbouring chains are put together, and what is less than a window then is cut into
-sequences whose lengths are powers of two, which need no padding.
-
-`chain` is the same for one chain in memory; tests compare the two.
+1. Encode every document once. Document frequencies of token ids and the mean length are counted
+   over all documents.
+2. Shards. A document's most telling terms are, of its rarest tokens that another document has too,
+   those of highest BM25 weight. Documents are put in the order of their three most telling terms, by
+   a range partitioning, so that lexical neighbours lie side by side. About `shard_tokens` tokens in a row
+   are a shard. A hot term fills as many shards as it needs; no group has to fit anywhere.
+3. Retrieve and fill. Each shard has a BM25 inverted index with the corpus's frequencies. A seed
+   document asks for its unused neighbours, which greedily fill its window: first with its
+   most telling terms and, while the window isn't full, with further ones, up to all. The one
+   that crosses the window's end is cut there, and its rest opens the next window as the next seed.
+   A partition's windows run on from shard to shard, so only its last isn't full; that is cut into
+   sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, sliced, staged, text_rows
+from .sentencepiece_codec import batch_ids, remembered
 
 END_ID = 1
 
 
-#: The pattern of the vocabulary for texts where Python's own classes agree with Unicode's letters and numbers.
-PLAIN = re.compile(r" ?[^\W\d_]+|'(?:[sdmt]|ll|ve|re)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+#: White space beside single spaces and line ends, and the mark that split() uses: such texts are split by the vocabulary's own pattern.
+SPACED = ("  ", " \n", "\n ", "\n\n", "\0", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
+
+
+def visible_bytes() -> dict[int, int]:
+    """Byte-level vocabularies write bytes that aren't printable as the characters from 256 on, in the order of the bytes."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+VISIBLE = visible_bytes()
 
 
 class WordTokenizer:
-    """ids of a byte-level BPE tokenizer, which splits a text into words before it merges.
+    """ids of a byte-level BPE tokenizer, which splits a text into words by its pattern before it merges.
 
-    A word's ids don't depend on its neighbours, so a word is encoded once while the memory of
-    `most` words lasts.
+    No word of the pattern goes on over a single space or line end, so texts fall apart there, and what lies between
+    is encoded once while the memory of `most` parts lasts. Texts with the string of a special token are
+    encoded as a whole.
     """
 
     def __init__(self, path: str, pattern: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern, self.most, self.known = regex.compile(pattern), most, {}
 
     def split(self, text: str) -> list[str]:
-        return (self.pattern if NOT_PLAIN.search(text) else PLAIN).findall(text)
+        if text[-1:] in (" ", "\n") or any(s in text for s in SPACED):
+            return self.pattern.findall(text)
+        return [w for w in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if w]
+
+    def _learn(self, new: list[str]) -> None:
+        # letters, with a space before or not, are one word of the pattern: the model merges them directly
+        plain, rest = [], []
+        for part in new:
+            (plain if part.removeprefix(" ").isalpha() else rest).append(part)
+        merge = self.tokenizer.model.tokenize
+        for part in plain:
+            self.known[part] = array("I", [t.id for t in merge(part.encode().decode("latin-1").translate(VISIBLE))]).tobytes()
+        self.known.update(zip(rest, batch_ids(self.tokenizer, rest, threads=False)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
+        whole = [any(s in t for s in self.special) for t in texts]
+        split = [[] if w else self.split(t) for t, w in zip(texts, whole)]
         if len(self.known) > self.most:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, word = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
-            edges = [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(ids)]
-            if len(edges) - 1 != len(part):
-                raise ValueError("a word without ids")
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(edges, edges[1:]))))
-        known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), np.uint32) for words in split]
+        found = remembered(self.known, split, self._learn)
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(ids), np.uint32) for t, w, ids in zip(texts, whole, found)]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -80,64 +97,90 @@ def tokenizer(path: str, pattern: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def _best(score, gid, seed, n: int, most: int) -> np.ndarray:
-    """The best `most`; equals in the order of gids from the seed's on, so that seeds alike don't all want the same ones."""
-    return np.lexsort(((gid - seed) % n, -score))[:most]
+class Corpus:
+    """BM25 weights from the frequencies and the mean length of the whole corpus."""
+
+    def __init__(self, df: np.ndarray, n: int, mean: float, k1: float = 1.2, b: float = 0.75):
+        self.df, self.k1, self.b, self.mean = df, k1, b, max(1.0, mean)
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        # shared terms from the rarest on, and each term's place among them
+        self.rarest = np.lexsort((np.arange(len(df)), df))[int((df < 2).sum()) :]
+        self.place = np.full(len(df), len(self.rarest), np.int32)
+        self.place[self.rarest] = np.arange(len(self.rarest))
+        self.idf_at = self.idf[self.rarest].tolist()
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray, size) -> np.ndarray:
+        return self.idf[terms] * counts * (self.k1 + 1) / (counts + self.k1 * (1 - self.b + self.b * size / self.mean))
+
+    def telling(self, ids: np.ndarray, most: int, rarest: int = 64) -> list[int]:
+        """Of the document's `rarest` rarest tokens that other documents have too, the terms of highest weight."""
+        place = self.place[ids]
+        counts = Counter((np.partition(place, rarest)[:rarest] if len(place) > rarest else place).tolist())
+        counts.pop(len(self.rarest), None)
+        length = self.k1 * (1 - self.b + self.b * len(ids) / self.mean)
+        best = sorted((-self.idf_at[p] * n / (n + length), p) for p, n in counts.items())
+        return [int(self.rarest[p]) for _, p in best[:most]]
+
+
+def distinct(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Each id once, without sorting; place has room for a number for every id."""
+    at = np.arange(len(ids), dtype=place.dtype)
+    place[ids] = at
+    return ids[place[ids] == at]
+
+
+def corpus_of(documents: list[np.ndarray]) -> Corpus:
+    """The statistics of a corpus in memory."""
+    df = np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(d) for d in documents)]).astype(np.int64))
+    return Corpus(df, len(documents), float(np.mean([len(d) for d in documents] or [0])))
 
 
 class Index:
-    """A BM25 inverted index: for each term the documents that have it, with their weights."""
+    """A shard's BM25 inverted index: for each term the documents that have it, with their weights."""
 
-    def __init__(self, documents: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, documents: list[np.ndarray], corpus: Corpus):
+        self.n = len(documents)
         sizes = np.array([len(d) for d in documents], np.int64)
-        rows = np.repeat(np.arange(len(documents)), sizes)
-        key, counts = np.unique(np.concatenate([*documents, np.zeros(0, np.uint32)]).astype(np.int64) << 32 | rows, return_counts=True)
-        terms, self.rows = key >> 32, key & 0xFFFFFFFF
-        self.terms, self.first = np.unique(terms, return_index=True)
-        self.last = np.append(self.first[1:], len(terms))
-        df = self.last - self.first
-        self.idf = np.log(1 + (len(documents) - df + 0.5) / (df + 0.5))
-        length = k1 * (1 - b + b * sizes / max(1.0, sizes.mean() if len(sizes) else 1.0))
-        self.weights = np.repeat(self.idf, df) * counts * (k1 + 1) / (counts + length[self.rows])
-        # each document's terms, as positions in self.terms
-        order = np.argsort(self.rows, kind="stable")
-        self.term_of = np.repeat(np.arange(len(self.terms)), df)[order]
-        self.ends = np.cumsum(np.bincount(self.rows, minlength=len(documents)))
-        self.df, self.n = df, len(documents)
+        terms, rows = np.concatenate(documents), np.repeat(np.arange(self.n, dtype=np.uint32 if self.n > 1 << 16 else np.uint16), sizes)
+        order = np.argsort(terms, kind="stable")
+        terms, rows = terms[order], rows[order]
+        new = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (rows[1:] != rows[:-1]))) if len(terms) else np.zeros(0, np.int64)
+        counts, terms, self.rows = np.diff(np.append(new, len(terms))), terms[new], rows[new]
+        self.first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else new
+        self.df = np.diff(np.append(self.first, len(terms)))
+        self.weights = corpus.weights(terms, counts, sizes[self.rows])
+        # where each document's terms stand, and which terms those are
+        self.position = np.repeat(np.arange(len(self.first)), self.df)
+        self.own = np.argsort(self.rows, kind="stable")
+        self.ends = np.cumsum(np.bincount(self.rows, minlength=self.n))
 
     def steps(self, row: int, used: np.ndarray, query_terms: int) -> Iterator[np.ndarray]:
         """Unused documents that share a term with the row's, best first, as further terms find them.
 
         The row's `query_terms` most telling terms ask first, then four times as many, up to all.
-        `used` is looked at anew in each step.
+        `used` is looked at anew in each step. Equals go in the order of rows.
         """
-        own = self.term_of[self.ends[row - 1] if row else 0 : self.ends[row]]
+        own = self.own[self.ends[row - 1] if row else 0 : self.ends[row]]
+        own = own[np.argsort(-self.weights[own], kind="stable")]
+        own = self.position[own]
         own = own[self.df[own] > 1]
-        own = own[np.argsort(-self.idf[own], kind="stable")]
         while len(own):
             asked = own[:query_terms]
-            at = np.concatenate([np.arange(a, b) for a, b in zip(self.first[asked], self.last[asked])])
+            sizes = self.df[asked]
+            at = np.arange(sizes.sum()) + np.repeat(self.first[asked] - np.cumsum(sizes) + sizes, sizes)
             score = np.bincount(self.rows[at], self.weights[at], self.n)
             score[used] = 0
             found = np.flatnonzero(score > 0)
-            yield found[_best(score[found], found, row, self.n, len(found))]
+            yield found[np.argsort(-score[found], kind="stable")]
             if query_terms >= len(own):
                 return
             query_terms *= 4
 
-    def neighbours(self, row: int, used: np.ndarray, query_terms: int) -> np.ndarray:
-        """All unused documents that share a term with the row's, in the order in which the steps find them."""
-        used, out = used.copy(), [np.zeros(0, np.int64)]
-        for found in self.steps(row, used, query_terms):
-            used[found] = True
-            out.append(found)
-        return np.concatenate(out)
-
 
-def chain(documents: list[np.ndarray], window: int, query_terms: int) -> list[int]:
-    """The order in which documents fill windows one after another."""
-    index, used, order = Index(documents), np.zeros(len(documents), bool), []
-    sizes, seed, filled, fresh = [len(d) for d in documents], None, 0, 0
+def chain(documents: list[np.ndarray], corpus: Corpus, window: int, query_terms: int, filled: int = 0) -> list[int]:
+    """The order in which a shard's documents fill windows one after another; the first window has `filled` tokens."""
+    index, used, order = Index(documents, corpus), np.zeros(len(documents), bool), []
+    sizes, seed, fresh = [len(d) for d in documents], None, 0
     while len(order) < len(documents):
         if seed is None:
             while used[fresh]:
@@ -158,256 +201,157 @@ def chain(documents: list[np.ndarray], window: int, query_terms: int) -> list[in
     return order
 
 
-def cuts(total: int, window: int) -> np.ndarray:
-    """Where sequences begin and end: full windows, then powers of two."""
-    rest = total % window
-    sizes = [window] * (total // window) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
-    return np.cumsum([0, *sizes])
-
-
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-ENCODED = "key long, doc_id long, size int, ids binary, terms binary, counts binary"
-SHARD = "first_gid long, n int, terms binary, first binary, rows binary, weights binary"
 
 
-def _encode(path: str, pattern: str):
-    """Each document's token ids, and its distinct ones with their counts."""
+class Windows:
+    """Cuts a stream of documents into sequences of `window` ids and, at its end, of powers of two."""
+
+    def __init__(self, window: int, first_id: int):
+        self.window, self.sequence, self.filled, self.parts = window, first_id, 0, []
+        self.out: dict[str, list[int]] = {c.split()[0]: [] for c in FIELDS.split(", ")}
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        start = 0
+        while start < len(ids):
+            size = min(len(ids) - start, self.window - self.filled)
+            self.parts.append((doc_id, ids, start, size))
+            self.filled += size
+            start += size
+            if self.filled == self.window:
+                self._emit(self.window)
+
+    def _emit(self, room: int) -> None:
+        """Let the first `room` ids of what is held go out as a sequence."""
+        offset, rest = 0, []
+        for doc_id, ids, start, size in self.parts:
+            now = min(size, room - offset)
+            if now:
+                crc = zlib.crc32(ids[start : start + now].astype("<u4").tobytes())
+                for name, value in zip(self.out, (doc_id, start, now, crc, len(ids), self.sequence, offset)):
+                    self.out[name].append(value)
+                offset += now
+            if now < size:
+                rest.append((doc_id, ids, start + now, size - now))
+        self.parts, self.filled, self.sequence = rest, self.filled - room, self.sequence + 1
+
+    def end(self) -> None:
+        while self.filled:
+            self._emit(1 << (self.filled.bit_length() - 1))
+
+    def rows(self) -> pa.RecordBatch:
+        out, self.out = self.out, {c: [] for c in self.out}
+        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+
+def _encode(path: str, pattern: str, kind: str):
+    """Each document's token ids and the end token."""
 
     def run(batches):
         encoder = tokenizer(path, pattern)
-        for batch in sliced(batches):
-            out = {c.split()[0]: [] for c in ENCODED.split(", ")[2:]}
-            for e in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
-                ids = np.append(e, np.uint32(END_ID)).astype("<u4")
-                terms, counts = np.unique(ids, return_counts=True)
-                for name, value in zip(out, (len(ids), ids.tobytes(), terms.astype("<u4").tobytes(), counts.astype("<u4").tobytes())):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "doc_id": batch.column("doc_id"), "size": pa.array(out.pop("size"), pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+        for batch in sliced(batches, most=2 << 20):
+            found = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids = [np.append(e, np.uint32(END_ID)).astype(kind).tobytes() for e in found]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())})
 
     return run
 
 
-def _frequencies(batches):
-    """How many documents of the partition have each term."""
-    df = np.zeros(0, np.int64)
-    for batch in batches:
-        found = np.bincount(np.frombuffer(b"".join(batch.column("terms").to_pylist()), "<u4"), minlength=len(df))
-        found[: len(df)] += df
-        df = found
-    terms = np.flatnonzero(df)
-    yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.int64()), "n": pa.array(df[terms], pa.int64())})
-
-
-def _postings(shared, shards: int, k1: float = 1.2, b: float = 0.75):
-    """A shard's postings, weighted by the frequencies and the mean length of the whole corpus. Its gids are `shards` apart."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        df, n, mean = shared.value
-        gid = rows.column("gid").to_numpy()
-        first_gid = int(gid.min()) % shards
-        at = (gid - first_gid) // shards
-        term = [np.frombuffer(t, "<u4") for t in rows.column("terms").to_pylist()]
-        row = np.repeat(at, [len(t) for t in term]).astype(np.int32)
-        term, counts = np.concatenate(term), np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
-        length = np.zeros(int(at.max()) + 1)
-        length[at] = k1 * (1 - b + b * rows.column("size").to_numpy() / mean)
-        order = np.lexsort((row, term))
-        term, row, counts = term[order], row[order], counts[order]
-        weights = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * counts * (k1 + 1) / (counts + length[row])
-        terms, first = np.unique(term, return_index=True)
-        return pa.table({"first_gid": pa.array([first_gid], pa.int64()), "n": pa.array([len(length)], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("terms", terms), ("first", first.astype(np.int64)), ("rows", row), ("weights", weights))}})
-
-    return run
+def _documents(batch: pa.RecordBatch, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(raw, kind) for raw in batch.column("ids").to_pylist()]
 
 
-def _own_terms(shared):
-    """A seed's most telling terms, as many as it asks with, and how many it has."""
+def _frequencies(kind: str, vocabulary: int):
+    """How many documents of the partition have each term; at -1 how many there are, at -2 how many tokens they have."""
 
     def run(batches):
-        df = shared.value[0]
-        for batch in batches:
-            found, have = [], []
-            for raw, width in zip(batch.column("terms").to_pylist(), batch.column("width").to_pylist()):
-                own = np.frombuffer(raw, "<u4")
-                own = own[df[own] > 1]
-                found.append(own[np.argsort(df[own], kind="stable")][:width].tobytes())
-                have.append(len(own))
-            yield pa.RecordBatch.from_pydict({"chain": batch.column("chain"), "terms": pa.array(found, pa.binary()), "have": pa.array(have, pa.int32())})
+        df, n, tokens, place = np.zeros(0, np.int64), 0, 0, np.zeros(vocabulary, np.int32)
+        for batch in sliced(batches, "ids"):
+            documents = _documents(batch, kind)
+            n, tokens = n + len(documents), tokens + sum(map(len, documents))
+            found = np.bincount(np.concatenate([distinct(d, place) for d in documents]), minlength=len(df))
+            found[: len(df)] += df
+            df = found
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(terms, [-1, -2]), pa.int64()), "n": pa.array(np.append(df[terms], [n, tokens]), pa.int64())})
 
     return run
 
 
-def _search(asked, shards: int):
-    """Each seed's best unused documents of a task's shards."""
+ROUTES = 3
 
-    def run(batches):
-        chains, seeds, most, ends, terms, used, n, vocabulary = asked.value
-        used = np.unpackbits(used, count=n).astype(bool)
-        starts, best, floor = np.append(0, ends[:-1]), {}, np.zeros(len(chains))
-        for batch in batches:
-            for shard in batch.to_pylist():
-                gid = shard["first_gid"] + shards * np.arange(shard["n"], dtype=np.int64)
-                free = ~used[gid]
-                row, weights = np.frombuffer(shard["rows"], np.int32), np.frombuffer(shard["weights"], np.float64)
-                # used documents leave the postings first
-                keep = free[row]
-                before = np.append(0, np.cumsum(keep))
-                edges = before[np.append(np.frombuffer(shard["first"], np.int64), len(row))]
-                row, weights, gid = (np.cumsum(free) - 1)[row[keep]], weights[keep], gid[free]
-                place = np.full(vocabulary, -1)
-                place[np.frombuffer(shard["terms"], np.uint32)] = np.arange(len(edges) - 1)
-                lo, hi = (np.where(place >= 0, e[place], 0)[terms].tolist() for e in (edges[:-1], edges[1:]))
-                for q in range(len(chains)) if len(gid) else ():
-                    parts = [slice(lo[t], hi[t]) for t in range(starts[q], ends[q]) if hi[t] > lo[t]]
-                    if not parts:
-                        continue
-                    score = np.bincount(np.concatenate([row[p] for p in parts]), np.concatenate([weights[p] for p in parts]), len(gid))
-                    found = np.flatnonzero(score >= floor[q] if floor[q] else score)
-                    if len(found) > most[q]:
-                        found = found[score[found] >= np.partition(score[found], -most[q])[-most[q]]]
-                    if not len(found):
-                        continue
-                    s, g = score[found], gid[found]
-                    if q in best:
-                        s, g = np.append(best[q][0], s), np.append(best[q][1], g)
-                    top = _best(s, g, seeds[q], n, most[q])
-                    best[q] = s[top], g[top]
-                    floor[q] = s[top[-1]] if len(top) == most[q] else 0
-        for part in np.array_split(np.array(list(best), np.int64), max(1, len(best) // 1000)):
-            sizes = [len(best[q][0]) for q in part]
-            join = lambda k: np.concatenate([np.zeros(0), *(best[q][k] for q in part)])
-            gid = join(1).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"chain": pa.array(np.repeat(chains[part], sizes), pa.int64()), "most": pa.array(np.repeat(most[part], sizes), pa.int64()), "gid": pa.array(gid), "score": pa.array(join(0)), "tie": pa.array((gid - np.repeat(seeds[part], sizes)) % n)})
 
-    return run
+def _route(shared, kind: str):
+    """Documents with their most telling terms, -1 where there are no more."""
 
+    def run(batches):
+        corpus = shared.value
+        for batch in sliced(batches, "ids"):
+            routes = np.full((batch.num_rows, ROUTES), -1)
+            for row, ids in enumerate(_documents(batch, kind)):
+                own = corpus.telling(ids, ROUTES)
+                routes[row, : len(own)] = own
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), **{f"r{k}": pa.array(routes[:, k], pa.int32()) for k in range(ROUTES)}})
 
-def _fill(ask, sizes: np.ndarray, chains: int, window: int, query_terms: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every document's chain and its place in it, and the chains' lengths.
+    return run
 
-    All chains grow side by side. In a round each asks for its seed's best unused documents; a
-    document that several want goes where it scores best. A chain whose list had nothing left for it
-    asks for a longer one, one whose list was short of documents asks with more terms, and one
-    that is out of terms takes the next unused document.
-    """
-    n, fresh, left = len(sizes), 0, len(sizes) - chains
-    chain_of, start, length, used = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(chains, np.int64), np.zeros(n, bool)
-    seed, room = np.arange(chains) * n // chains, np.zeros(chains, np.int64)
-    width, longest = np.full(chains, query_terms), np.full(chains, most)
-
-    def take(c, g):
-        used[g], chain_of[g], start[g] = True, c, length[c]
-        length[c] += sizes[g]
-
-    def open_with(c, g):
-        seed[c], room[c], width[c], longest[c] = g, window - length[c] % window, query_terms, most
-
-    for c in range(chains):
-        take(c, seed[c])
-        open_with(c, seed[c])
-    while left:
-        found, have = ask(seed, width, longest, used)
-        for c, g in zip(found["chain"].tolist(), found["gid"].tolist()):
-            if not used[g] and room[c] > 0:
-                take(c, g)
-                left -= 1
-                room[c] -= sizes[g]
-                if room[c] <= 0:
-                    seed[c] = g
-        told = np.bincount(found["chain"], minlength=chains)
-        for c in range(chains):
-            if room[c] <= 0:
-                open_with(c, seed[c])
-            elif told[c] >= longest[c]:
-                longest[c] *= 4
-            elif width[c] < have[c]:
-                width[c] *= 4
-            elif left:
-                while used[fresh]:
-                    fresh += 1
-                take(c, fresh)
-                left -= 1
-                open_with(c, fresh)
-    return chain_of, start, length
-
-
-def _pieces(shared, window: int, together: int):
-    """The pieces of placed documents. `together` chains share a stream: their full windows, then the rests one after another."""
 
+def _shards(batches, kind: str, shard_tokens: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and tokens of the documents of one shard after another."""
+    docs, documents, size = [], [], 0
+    for batch in batches:
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), _documents(batch, kind)):
+            docs.append(doc_id)
+            documents.append(ids)
+            size += len(ids)
+            if size >= shard_tokens:
+                yield docs, documents
+                docs, documents, size = [], [], 0
+    if docs:
+        yield docs, documents
+
+
+def _pack(shared, kind: str, window: int, shard_tokens: int, query_terms: int):
     def run(batches):
-        length = shared.value
-        group = np.arange(len(length)) // together
-        full, rest = length // window * window, length % window
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        within = lambda v: np.cumsum(v) - v - (np.cumsum(v) - v)[first][group]
-        full_at, rest_at = within(full), within(rest) + np.add.reduceat(full, first)[group]
-        total, known = np.add.reduceat(length, first), {}
-        for batch in batches:
-            out = {c.split()[0]: [] for c in FIELDS.split(", ")}
-            for doc, raw, c, at in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "ids", "chain", "at"))):
-                tokens, start, g = np.frombuffer(raw, "<u4"), 0, int(group[c])
-                if g not in known:
-                    known = {g: cuts(int(total[g]), window)}
-                edges = known[g]
-                while start < len(tokens):
-                    x = at + start
-                    y = int(full_at[c] + x if x < full[c] else rest_at[c] + x - full[c])
-                    k = int(np.searchsorted(edges, y, "right")) - 1
-                    size = min(len(tokens) - start, int(edges[k + 1]) - y)
-                    piece = tokens[start : start + size]
-                    for name, value in zip(out, (doc, start, size, zlib.crc32(piece.tobytes()), len(tokens), (g << 32) + k, y - int(edges[k]))):
-                        out[name].append(value)
-                    start += size
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
+        windows = Windows(window, TaskContext.get().partitionId() << 32)
+        for docs, documents in _shards(batches, kind, shard_tokens):
+            for row in chain(documents, shared.value, window, query_terms, windows.filled):
+                windows.add(docs[row], documents[row])
+            yield windows.rows()
+        windows.end()
+        yield windows.rows()
 
     return run
 
 
-def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_docs: int = 1000, query_terms: int = 24) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_tokens: int = 1 << 20, query_terms: int = 24) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every token of every document, with the end token after each, lies in exactly one piece. A null
     text counts as empty and is the end token alone. Rows that share an id, or have none, are
-    documents of their own. Sequences are `window` tokens or a power of two long, and only one in
-    about `shard_docs` documents is less than `window`.
+    documents of their own. Sequences are `window` tokens or a power of two long, and only the last few
+    of each partition are less than `window`. Other columns don't matter. An empty table gives no rows.
     """
     spark = docs.sparkSession
     folder = scratch(spark)
-    docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long"), "text")
-    encoded = staged(docs.mapInArrow(_encode(path, pattern), ENCODED), folder, "encoded")
-    known = encoded.select("key", "size").toPandas().sort_values("key")
-    n, sizes, part = len(known), known["size"].to_numpy(), known["key"].to_numpy() >> 33
+    vocabulary = max(tokenizer(path, pattern).tokenizer.get_vocab_size(), END_ID + 1)
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    encoded = staged(docs.mapInArrow(_encode(path, pattern, kind), "doc_id long, ids binary"), folder, "encoded")
+    # at most a row for each entry of the vocabulary
+    counted = encoded.select("ids").mapInArrow(_frequencies(kind, vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().set_index("term")["n"]
+    n, tokens, counted = int(counted.get(-1, 0)), int(counted.get(-2, 0)), counted[counted.index >= 0]
     if not n:
         return spark.createDataFrame([], FIELDS)
-    # documents are numbered from 0 on: the rows of all partitions before, and those before in its own
-    parts, before = np.unique(part, return_index=True)
-    offsets = spark.createDataFrame([(int(p), int(b)) for p, b in zip(parts, before)], "part long, before long")
-    encoded = encoded.join(F.broadcast(offsets), F.shiftright("key", 33) == F.col("part")).withColumn("gid", F.col("before") + F.col("key").bitwiseAND(F.lit((1 << 33) - 1)))
-    counted = encoded.select("terms").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(int(counted["term"].max()) + 1, np.int64)
-    df[counted["term"]] = counted["n"]
-    corpus = spark.sparkContext.broadcast((df, n, float(sizes.mean())))
-    shards = -(-n // (16 * shard_docs))
-    index = staged(encoded.select((F.col("gid") % shards).alias("shard"), "gid", "size", "terms", "counts").groupBy("shard").applyInArrow(_postings(corpus, shards), SHARD), folder, "index")
-
-    def ask(seed, width, longest, used):
-        asking = spark.createDataFrame(pa.table({"gid": seed, "chain": np.arange(len(seed)), "width": width}))
-        own = encoded.select("gid", "terms").join(F.broadcast(asking), "gid").select("chain", "terms", "width").mapInArrow(_own_terms(corpus), "chain long, terms binary, have int").toPandas().sort_values("chain")
-        terms = [np.frombuffer(t, np.uint32) for t in own["terms"]]
-        query = spark.sparkContext.broadcast((np.arange(len(seed)), seed, longest, np.cumsum([len(t) for t in terms]), np.concatenate(terms), np.packbits(used), n, len(df)))
-        best = index.mapInArrow(_search(query, shards), "chain long, most long, gid long, score double, tie long")
-        best = best.withColumn("_n", F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("score"), "tie"))).where("_n <= most").select("chain", "gid", "score", "tie").toPandas()
-        query.destroy()
-        return best.sort_values(["score", "tie", "chain"], ascending=[False, True, True]), own["have"].to_numpy()
-
-    chains = -(-n // 32)
-    chain_of, start, length = _fill(ask, sizes, chains, window, query_terms, 16)
-    for a in range(0, n, 1 << 20):
-        b = min(n, a + (1 << 20))
-        spark.createDataFrame(pa.table({"gid": np.arange(a, b), "chain": chain_of[a:b].astype(np.int64), "at": start[a:b]})).write.mode("append").parquet(f"{folder}/placed")
-    placed = spark.read.schema("gid long, chain long, at long").parquet(f"{folder}/placed")
-    rows = encoded.select("gid", "doc_id", "ids").join(placed, "gid")
-    return rows.mapInArrow(_pieces(spark.sparkContext.broadcast(length), window, max(1, shard_docs // 32)), FIELDS)
+    df = np.zeros(int(counted.index.max()) + 1, np.int64)
+    df[counted.index] = counted
+    corpus = spark.sparkContext.broadcast(Corpus(df, n, tokens / n))
+    routes = [f"r{k}" for k in range(ROUTES)]
+    routed = encoded.mapInArrow(_route(corpus, kind), "doc_id long, ids binary, " + ", ".join(f"{r} int" for r in routes))
+    # the hash splits documents with the same terms, and makes the order the same in each run
+    order = [*routes, F.xxhash64("doc_id", "ids")]
+    placed = routed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return placed.mapInArrow(_pack(corpus, kind, window, shard_tokens, query_terms), FIELDS)
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:

@@ -165,16 +165,19 @@ def test_combinations_lose_no_pair():
 
 def test_language_edges_and_learning(spark):
     rows = [(i, " ".join(random.Random(i).choices(["the", "and", "of", "that"] if i % 2 else ["der", "und", "nicht", "für"], k=30)), "en" if i % 2 else "de") for i in range(120)]
-    rows += [(200, None, None), (201, "", "en"), (202, "12 34 !", "de"), (203, "der " * 40_000, None)]
+    rows += [(200, None, None), (201, "", "en"), (202, "12 34 !", "de"), (204, "½ ² ³ Ⅷ ①", None), (203, "der " * 40_000, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash"))
     got = {r.doc_id: r for r in language_id.identify_languages(frame).collect()}
     assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(120)) and got[203].lang_pred == "de"
-    assert {got[i].lang_pred for i in (200, 201, 202)} == {"und"} and all(0 <= r.score <= 1 for r in got.values())
+    assert {got[i].lang_pred for i in (200, 201, 202, 204)} == {"und"} and all(0 <= r.score <= 1 for r in got.values())
     assert {i for i in range(120) if got[i].held_out} == {i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0}
     none = language_id.identify_languages(frame.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in none.collect()} == {"und"}
     assert language_id.identify_languages(frame.limit(0)).count() == 0
-    assert language_id.with_known_language(frame).columns == frame.columns
+    clash = frame.withColumns({c: F.lit("x") for c in ("language_predicted", "Language_Score")})
+    kept = language_id.with_known_language(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {*range(120), 203}
+    assert language_id.with_known_language(frame.limit(0)).count() == 0
 
 
 def test_factorization_machine_learns_a_pair():
@@ -195,7 +198,7 @@ def test_fit_learns_a_pair(spark):
         texts.append(" ".join(["qa"] * a + ["qb"] * b + [f"n{x}" for x in r.sample(range(30), 4)]))
         marks.append((k, int(a == b)))
     machine = toxicity.fit(docs(spark, *texts), spark.createDataFrame(marks, "doc_id long, toxic int"))
-    rows = toxicity.score(docs(spark, *texts), machine).toPandas().sort_values("doc_id")
+    rows = toxicity.score(docs(spark, *texts), machine)[0].toPandas().sort_values("doc_id")
     assert np.mean((rows.toxicity_score > 0.5) == np.array([y for _, y in marks])) > 0.95
 
 
@@ -209,6 +212,9 @@ def test_toxicity_on_held_out_rows_and_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.score_toxicity(frame, empty).collect()} == {0}
     assert toxicity.without_toxic(frame, empty).collect() == frame.collect()
+    clash = frame.withColumns({c: F.lit("x") for c in ("toxicity_score", "at", "toxic")})
+    assert toxicity.without_toxic(clash, empty).collect() == clash.collect()
+    assert toxicity.score_toxicity(frame.limit(0), empty).count() == 0 and toxicity.without_toxic(frame.limit(0), empty).count() == 0
 
 
 @data
@@ -216,27 +222,59 @@ def test_packing_holds_every_token_once(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = [*edge_texts(), "<|endoftext|> it's ½ Ⅷ x\x1cy", *[" ".join(words(400, k)) for k in range(30)]]
-    rows = packing.pack_documents(docs(spark, *texts), shard_docs=10).toPandas()
+    texts = [*edge_texts(), "<|endoftext|> it's ½ Ⅷ x\x1cy", "<|endoftext|> hi", *[" ".join(words(400, k)) for k in range(30)]]
+    rows = packing.pack_documents(docs(spark, *texts).withColumns({c: F.lit("clash") for c in ("ids", "r0", "kind")}), shard_tokens=4000).toPandas()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
+    assert plain.encode("<|endoftext|> hi", add_special_tokens=False).ids == [50256, 23105]
     for i, t in enumerate(texts):
         ids, at = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4"), 0
         for p in rows[rows.doc_id == i].sort_values("start").itertuples():
             assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
             at += p.length
         assert at == len(ids)
+    short = 0
     for _, s in rows.sort_values("offset").groupby("sequence_id"):
         assert s.offset.tolist() == [0, *np.cumsum(s.length).tolist()[:-1]]
         total = int(s.length.sum())
         assert total <= 2048 and total & (total - 1) == 0
+        short += total < 2048
+    assert short <= 11 * 4
     assert packing.pack_documents(docs(spark, "a").limit(0)).count() == 0
+    assert packing.pack_documents(docs(spark, None, None)).toPandas()[["length", "doc_tokens"]].values.tolist() == [[1, 1], [1, 1]]
+
+
+def brute_chain(documents, window):
+    """Greedy packing by plain BM25 over all terms of the seed, as a dictionary of scores."""
+    n, mean = len(documents), np.mean([len(d) for d in documents])
+    counts = [Counter(d.tolist()) for d in documents]
+    df = Counter(t for c in counts for t in c)
+
+    def score(seed, other):
+        return sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * counts[other][t] * 2.2 / (counts[other][t] + 1.2 * (0.25 + 0.75 * len(documents[other]) / mean)) for t in counts[seed] if t in counts[other])
+
+    order, left, seed, filled = [], list(range(n)), None, 0
+    while left:
+        if seed is None:
+            seed = left.pop(0)
+            order.append(seed)
+            filled = (filled + len(documents[seed])) % window
+        near = sorted((k for k in left if score(seed, k) > 0), key=lambda k: (-score(seed, k), k))
+        seed = None
+        for k in near:
+            left.remove(k)
+            order.append(k)
+            filled += len(documents[k])
+            if filled >= window:
+                filled %= window
+                seed = k
+                break
+    return order
 
 
-def test_index_finds_the_lexical_neighbour():
-    a, b, c = (np.array(x, np.uint32) for x in ([5, 6, 7, 8], [5, 6, 7, 9], [20, 21, 22, 23]))
-    assert packing.Index([a, c, b]).neighbours(0, np.array([True, False, False]), 24).tolist() == [2]
-    assert packing.chain([a, c, b], 8, 24)[:2] == [0, 2]
+def test_chain_against_brute_force():
+    r = np.random.default_rng(3)
+    documents = [r.integers(0, 400, int(r.integers(5, 90))).astype(np.uint32) for _ in range(60)]
+    assert packing.chain(documents, packing.corpus_of(documents), 256, 1000) == brute_chain(documents, 256)
 
 
 def first_words(rows):
@@ -245,21 +283,25 @@ def first_words(rows):
 
 
 @data
-def test_packing_is_greedy_over_the_whole_corpus(spark):
+def test_packing_is_greedy_within_a_shard(spark):
     import public_tokenizers
 
     texts = [" ".join(words(60, k, 40)) for k in range(30)]
     encoder = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     documents = [np.append(e, np.uint32(packing.END_ID)) for e in encoder.encode(texts)]
-    rows = packing.pack_documents(docs(spark, *texts), shard_docs=1, window=512, query_terms=2).toPandas()
-    assert first_words(rows) == packing.chain(documents, 512, 2)
+    rows = packing.pack_documents(docs(spark, *texts).coalesce(1), window=512).toPandas()
+    got, corpus = first_words(rows), packing.corpus_of(documents)
+    parts = [[i for i in got if i in set(rows[rows.sequence_id // (1 << 32) == p].doc_id)] for p in sorted(set(rows.sequence_id // (1 << 32)))]
+    for part in parts:  # one shard a partition, in the order of the telling terms
+        own = sorted(part, key=lambda i: tuple(corpus.telling(documents[i], 3)))
+        assert [own[k] for k in packing.chain([documents[i] for i in own], corpus, 512, 24)] == part
 
 
 @data
-def test_packing_reaches_neighbours_in_all_shards(spark):
+def test_packing_brings_partners_together(spark):
     """Partners of a topic of their own are spread over a corpus of many shards, and meet nonetheless."""
     alone = [" ".join(words(150, k, 60).copy() + [f"zq{k}topic{j}" for j in range(40)]) for k in range(100)]
-    rows = packing.pack_documents(docs(spark, *alone, *alone), shard_docs=10).toPandas()
+    rows = packing.pack_documents(docs(spark, *alone, *alone), shard_tokens=10_000).toPandas()
     where = rows[rows.start == 0].sort_values(["sequence_id", "offset"]).reset_index(drop=True).doc_id % 100
     assert np.mean(where.to_numpy()[1:] == where.to_numpy()[:-1]) > 0.4
 
@@ -268,9 +310,7 @@ def test_further_terms_fill_the_window():
     """The seed's rarest terms lead to a used document only; the rest of its terms lead to a late one."""
     rare, common = np.arange(100, 124), np.arange(200, 260)
     documents = [np.array(x, np.uint32) for x in ([*rare, *common], rare, [1, 2], [3, 4], [*common, 5], [*common, 6])]
-    index, used = packing.Index(documents), np.array([True, True, False, False, False, False])
-    assert index.neighbours(0, used, 24).tolist() == [4, 5]
-    assert packing.chain(documents, 1000, 24) == [0, 1, 4, 5, 2, 3]
+    assert packing.chain(documents, packing.corpus_of(documents), 1000, 24) == [0, 1, 4, 5, 2, 3]
 
 
 def test_sentencepiece_parity_on_whole_texts(spark):
@@ -280,6 +320,7 @@ def test_sentencepiece_parity_on_whole_texts(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     original = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [*edge_texts(), "  two  spaces ", "日本語 ﬁ", "a\tb\n\nc", "▁ mark", *[" ".join(words(200, k)) for k in range(5)]]
+    assert sentencepiece_codec.encode_documents(docs(spark, "a").limit(0), path).count() == 0
     for r in sentencepiece_codec.encode_documents(docs(spark, *texts), path, with_ids=True).collect():
         assert r.ids == original.encode(texts[r.doc_id] or "") and r.parity
         assert r.round_trip == ("▁" not in (texts[r.doc_id] or ""))
@@ -304,8 +345,8 @@ def test_unigram_model_rebuilt_by_hand(tmp_path):
     path.write_bytes(raw)
     original, mine = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece_codec.Codec(str(path))
     for text in ("abc ab", "  ab   c ", "cab", "", "bca abab"):
-        (ids, _, parity), = mine.encode([text])
-        assert ids.tolist() == original.encode(text) and parity
+        (ids, back, parity), = mine.encode([text])
+        assert ids.tolist() == original.encode(text) and back == original.decode(ids.tolist()) and parity
 
 
 def vectors(spark, rows):
@@ -329,6 +370,14 @@ def test_top_k_against_brute_force(spark):
     assert topk_search.top_k(vectors(spark, rows).limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    big = [(0, [3e9, 1.0]), (1, [3e9, 2.0]), (2, [3e9, 1.0]), (3, [3e30, 1.0]), (4, [-3e30, 0.0]), (5, [3e38, 1.0])]
+    got = [(g.vec_id, g.score) for g in sorted(topk_search.top_k(vectors(spark, big), F.col("id") == 0, k=5).collect(), key=lambda g: g.rank)]
+    x = [[int(64 * float(np.float32(c))) for c in v] for _, v in big]
+    score = {i: max(-(1 << 63) + 1, min((1 << 63) - 1, sum(a * b for a, b in zip(x[0], x[i])))) for i in range(1, 6)}
+    assert got == sorted(score.items(), key=lambda s: (-s[1], s[0]))
+
+
 def test_near_vectors_recall_and_edges(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(150, 32))
@@ -336,7 +385,11 @@ def test_near_vectors_recall_and_edges(spark):
     hot = np.vstack([base[0] + r.normal(size=32) * 0.05 for _ in range(120)])
     x = np.vstack([base, near, hot, base[:5], base[:1] * 2]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(905, [0.0] * 32), *BAD]
-    got = {g.vec_id: g for g in near_vectors.near_vectors(vectors(spark, rows), most=40).collect()}
+    frame = vectors(spark, rows)
+    tiny = near_vectors.near_vectors(spark.createDataFrame([(1, [1e-200] * 8), (2, [1e200] * 8), (3, [1e-200] * 7 + [-1.0])], "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    assert [tuple(r) for r in tiny] == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    assert near_vectors.near_vectors(frame.limit(0)).count() == 0
+    got = {g.vec_id: g for g in near_vectors.near_vectors(frame, most=40).collect()}
     unit = x.astype(float)
     unit /= np.sqrt((unit * unit).sum(1))[:, None]
     close = unit @ unit.T >= 0.95
@@ -345,7 +398,13 @@ def test_near_vectors_recall_and_edges(spark):
     found = np.array([got[i].n_links for i in range(len(x))])
     assert (found <= links).all() and found.sum() >= 0.97 * links.sum()
     assert all(got[i].kept and got[i].n_links == 0 for i in range(900, 906)) and len(got) == len(rows)
-    assert got[350].component_id == 0 and got[350 + 119].component_id == 0
+    label = list(range(len(x)))
+    for _ in range(len(x)):
+        new = [min([label[i], *(label[j] for j in np.flatnonzero(close[i]))]) for i in range(len(x))]
+        if new == label:
+            break
+        label = new
+    assert np.mean([got[i].component_id == label[i] and got[i].kept == (label[i] == i) for i in range(len(x))]) > 0.99
 
 
 def test_templates():
