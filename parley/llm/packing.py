@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, sliced, staged, text_rows
-from .sentencepiece_codec import batch_ids, remembered
+from .sentencepiece_codec import batch_ids, forget, remembered
 
 END_ID = 1
 
@@ -56,7 +56,7 @@ class WordTokenizer:
     encoded as a whole.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 1_200_000):
+    def __init__(self, path: str, pattern: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,7 +82,7 @@ class WordTokenizer:
         whole = [any(s in t for s in self.special) for t in texts]
         split = [[] if w else self.split(t) for t, w in zip(texts, whole)]
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known = forget(self.known)
         found = remembered(self.known, split, self._learn)
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(ids), np.uint32) for t, w, ids in zip(texts, whole, found)]
 
@@ -253,6 +253,7 @@ def _encode(path: str, pattern: str, kind: str):
             found = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             ids = [np.append(e, np.uint32(END_ID)).astype(kind).tobytes() for e in found]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())})
+        encoder.known = forget(encoder.known)
 
     return run
 

@@ -11,6 +11,7 @@ alike, and for each of its words both give the same ids and the same text for th
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -137,6 +138,15 @@ def remembered(known: dict[str, bytes], split: list[list[str]], learn) -> list[l
     return found
 
 
+#: Words that stay in memory when others go. The first that were met are the frequent ones.
+LASTING = 200_000
+
+
+def forget(known: dict[str, bytes]) -> dict[str, bytes]:
+    """The words that were met first: what a worker keeps between tasks, and when its memory is full."""
+    return dict(itertools.islice(known.items(), LASTING))
+
+
 class Codec:
     """Encodes and decodes texts by their words, each coded once while the memory of `most` lasts."""
 
@@ -179,8 +189,7 @@ class Codec:
         normal = [self.normalizer.normalize_str(t) if t else "" for t in texts]
         split = [WORDS.findall(t) for t in normal]
         if len(self.known) > self.most:
-            self.known.clear()
-            self.odd.clear()
+            self.known = forget(self.known)
         found = remembered(self.known, split, self._learn)
         out = []
         for text, mine, words, ids in zip(texts, normal, split, found):
@@ -216,6 +225,7 @@ def _code(path: str, with_ids: bool):
             if with_ids:
                 columns |= {"ids": pa.array([ids.tolist() for ids, *_ in got], pa.list_(pa.int32())), "decoded": pa.array([b for _, b, _ in got], pa.string())}
             yield table(columns)
+        own.known = forget(own.known)
 
     return run
 

@@ -125,12 +125,13 @@ def likelihood_ratio(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return ratio_of(seen, size)
 
 
-def telling_pairs(rows: list[tuple[np.ndarray, int]], least_ratio: float, block: int = 128) -> np.ndarray:
+def telling_pairs(rows: list[tuple[np.ndarray, int]], least_ratio: float, block: int = 512) -> np.ndarray:
     """Terms of pairs that tell more together than either does alone.
 
     The ratio of a pair's joint counts must pass that of its better term by `least_ratio` and
     by what the best of so many pairs reaches by chance. Terms too rare for that are left out first,
-    so no such pair is lost; the rest is bounded by the sample.
+    so no such pair is lost; the rest is bounded by the sample. Presence is kept as bits, and joint counts
+    of `block` by `block` terms at a time.
     """
     marks = np.array([y for _, y in rows])
     size = np.bincount(marks, minlength=2).astype(float)
@@ -144,20 +145,32 @@ def telling_pairs(rows: list[tuple[np.ndarray, int]], least_ratio: float, block:
     kept = np.flatnonzero(reach >= least)
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
-    sides = [np.zeros((int(n), len(kept)), np.float32) for n in size]
-    for y in (0, 1):
-        for k, row in enumerate(np.flatnonzero(marks == y)):
-            at = place[rows[row][0]]
-            sides[y][k, at[at >= 0]] = 1
-    own, out = ratio_of([x.sum(0, dtype=float) for x in sides], size), np.zeros(len(kept), bool)
+    sides = [presence([rows[k][0] for k in np.flatnonzero(marks == y)], place, len(kept)) for y in (0, 1)]
+    of_terms = lambda side, a: np.unpackbits(side[:, a : a + block], axis=0).astype(np.float32)
+    own = ratio_of([np.concatenate([of_terms(side, a).sum(0, dtype=float) for a in range(0, len(kept), block)] or [np.zeros(0)]) for side in sides], size)
+    out = np.zeros(len(kept), bool)
     for a in range(0, len(kept), block):
-        joint = ratio_of([(x[:, a : a + block].T @ x[:, a:]).astype(float) for x in sides], size)
-        good = joint - np.maximum(own[a : a + block, None], own[a:]) >= least
-        out[a:] |= good.any(0)
-        out[a : a + block] |= good.any(1)
+        left = [of_terms(side, a) for side in sides]
+        for b in range(a, len(kept), block):
+            joint = [(x.T @ of_terms(side, b)).astype(np.float64) for x, side in zip(left, sides)]
+            good = ratio_of(joint, size) - np.maximum(own[a : a + block, None], own[b : b + block]) >= least
+            out[b : b + block] |= good.any(0)
+            out[a : a + block] |= good.any(1)
     return kept[out]
 
 
+def presence(rows: list[np.ndarray], place: np.ndarray, n: int, chunk: int = 256) -> np.ndarray:
+    """Bits of which of n terms each row has: eight rows a byte, a column a term."""
+    packed = []
+    for a in range(0, len(rows), chunk):
+        part = np.zeros((len(rows[a : a + chunk]), n), bool)
+        for k, at in enumerate(rows[a : a + chunk]):
+            at = place[at]
+            part[k, at[at >= 0]] = True
+        packed.append(np.packbits(part, axis=0))
+    return np.concatenate(packed)
+
+
 def _score(model, column: str):
     def run(batches):
         machine = model.value
