@@ -5,6 +5,7 @@ Two tokenizers on purpose: the inverted index drops diacritics, the entry index
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -61,13 +62,12 @@ def query_terms(query: str) -> list[tuple[str, bool]]:
 
 def search(postings: DataFrame, query: str, keys: tuple[str, ...] = ("peer_id", "message_id")) -> DataFrame:
     """Documents with every query term, and their BM25 rank (higher is better). A blank query finds nothing."""
-    terms = query_terms(query)
+    terms = list(dict.fromkeys(query_terms(query)))
     if not terms:
         return postings.select(*keys, F.lit(0.0).alias("rank")).limit(0)
-    matched = F.lit(None)
-    for n, (word, prefix) in enumerate(terms):
-        matched = F.when(F.col("token").startswith(word) if prefix else F.col("token") == word, n).otherwise(matched)
-    hits = postings.withColumn("term", matched.cast("int")).where("term is not null")
+    wanted = [F.col("token").startswith(word) if prefix else F.col("token") == word for word, prefix in terms]
+    # a token counts for every term that it matches
+    hits = postings.where(functools.reduce(lambda a, b: a | b, wanted)).withColumn("term", F.explode(F.array_compact(F.array(*(F.when(w, n) for n, w in enumerate(wanted))))))
     per_doc = hits.groupBy(*keys, "dl", "term").agg(F.sum("tf").alias("tf"))
     stats = postings.select(*keys, "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     df = per_doc.groupBy("term").agg(F.count("*").alias("df"))
@@ -75,7 +75,7 @@ def search(postings: DataFrame, query: str, keys: tuple[str, ...] = ("peer_id",
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     found = scored.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(idf * weight).alias("rank"))
-    return found.where(F.col("_n") == len(set(range(len(terms))))).drop("_n")
+    return found.where(F.col("_n") == len(terms)).drop("_n")
 
 
 def phrase_matches(postings: DataFrame, phrase: str, keys: tuple[str, ...] = ("peer_id", "message_id")) -> DataFrame:
@@ -216,9 +216,22 @@ def faceted_search(entries: DataFrame, query: str, k: int = 50, peer: int | None
 
 
 def highlight(text: str, word: str, before: int = 50, after: int = 170, plain: int = 220) -> Column:
-    """A window around the first hit with every hit in <mark>; the text's start if there is none."""
-    at = F.instr(F.lower(F.col(text)), word.lower())
+    """A window around the first hit with every hit in <mark>; the text's start if there is none.
+
+    The word is taken literally, in any case, and looked for in the text itself, not in its escapes. A blank word
+    has no hits.
+    """
+    whole = F.translate(F.col(text), OPEN + CLOSE, "")
+    at = F.instr(F.lower(whole), word.lower()) if word else F.lit(0)
     start = F.greatest(F.lit(1), at - before)
-    part = F.when(at > 0, F.substring(F.col(text), start, at - start + after)).otherwise(F.substring(text, 1, plain))
-    safe = F.replace(F.replace(F.replace(part, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.regexp_replace(safe, f"(?i)({word})", "<mark>$1</mark>")
+    part = F.when(at > 0, F.substring(whole, start, at - start + after)).otherwise(F.substring(whole, 1, plain))
+    if word:
+        quoted = word.replace("\\E", "\\E\\\\E\\Q")
+        part = F.regexp_replace(part, f"(?iu)(\\Q{quoted}\\E)", f"{OPEN}$1{CLOSE}")
+    for char, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (OPEN, "<mark>"), (CLOSE, "</mark>")):
+        part = F.replace(part, F.lit(char), F.lit(shown))
+    return part
+
+
+#: Private characters that stand for the tags while a text is escaped.
+OPEN, CLOSE = "\ue000", "\ue001"

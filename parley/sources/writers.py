@@ -18,12 +18,22 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(conf)
-    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    target = store.makeQualified(target)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.{uuid.uuid4().hex}")
     out = store.create(draft, True)
     out.write(bytearray(text.encode()))
     out.close()
-    store.delete(target, False)
-    store.rename(draft, target)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    # one step: readers see the old file or the new one
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, how)
+
+
+def has_table(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether the archive's current version has the table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{spark.read.text(f'{folder}/CURRENT').first()[0].strip()}/{name}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def _declared(name: str, table: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import merge as m
 from ..sources.readers import read_archive
 from ..sources.schemas import ARCHIVE
-from ..sources.writers import append, write_archive
+from ..sources.writers import append, has_table, write_archive
 
 
 def dedupe_updates(updates: DataFrame, keys: tuple[str, ...] = ("peer_id", "message_id", "seq"), time: str = "event_time", late: str = "1 day") -> DataFrame:
@@ -28,16 +28,35 @@ def blocked_slices(updates: DataFrame) -> DataFrame:
     return updates.where("kind = 'unsupported' and affects_state").groupBy("peer_id").agg(F.min("slice_id").alias("blocked_from"))
 
 
-def freeze_on_unsupported(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events to apply, dead letters): a chat stops before its first blocked slice."""
+def _stopped(updates: DataFrame, frozen: DataFrame | None) -> DataFrame:
+    """updates with blocked_from: the first slice of their chat that must wait, null if none. All slices of a frozen chat must."""
     rows = updates.join(blocked_slices(updates), "peer_id", "left")
-    ready = rows.where("(blocked_from is null or slice_id < blocked_from) and kind <> 'unsupported'").drop("blocked_from")
+    if frozen is None:
+        return rows
+    rows = rows.join(frozen.select("peer_id", F.lit(True).alias("_frozen")).distinct(), "peer_id", "left")
+    return rows.withColumn("blocked_from", F.when(F.col("_frozen"), F.least("slice_id", F.coalesce("blocked_from", "slice_id"))).otherwise(F.col("blocked_from"))).drop("_frozen")
+
+
+READY = "blocked_from is null or slice_id < blocked_from"
+
+
+def freeze_on_unsupported(updates: DataFrame, frozen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events to apply, dead letters): a chat stops before its first blocked slice; chats of frozen (peer_id) don't start."""
+    ready = _stopped(updates, frozen).where(f"({READY}) and kind <> 'unsupported'").drop("blocked_from")
     return ready, updates.where("kind = 'unsupported'")
 
 
 def apply_update_slice(tables: dict[str, DataFrame], updates: DataFrame) -> dict[str, DataFrame]:
-    """peers, messages, message_revisions, sync_state and unsupported_events after a batch of events in order of (slice_id, seq)."""
-    ready, dead = freeze_on_unsupported(updates)
+    """peers, messages, message_revisions, sync_state, unsupported_events and pending_updates after a batch of events in order of (slice_id, seq).
+
+    A chat that meets an unsupported event stays uncertain until recover_chats: its events from that slice on, and
+    all of later batches, wait in pending_updates (if tables has those of earlier batches) and nothing is lost.
+    """
+    _, dead = freeze_on_unsupported(updates)
+    events = updates.unionByName(tables["pending_updates"], allowMissingColumns=True) if "pending_updates" in tables else updates
+    frozen = tables["sync_state"].where("uncertain").select("peer_id")
+    ready, _ = freeze_on_unsupported(events, frozen)
+    waiting = _stopped(events, frozen).where(f"not ({READY})").drop("blocked_from")
     order = F.struct("slice_id", "seq")
     versions = ready.where("kind in ('new', 'edit')").withColumn("_at", order)
     numbered = versions.withColumn("seq", F.row_number().over(Window.partitionBy("peer_id", "message_id").orderBy("_at")).cast("long"))
@@ -47,14 +66,26 @@ def apply_update_slice(tables: dict[str, DataFrame], updates: DataFrame) -> dict
     messages = m.mark_deleted(messages, last.where("kind = 'delete'"))
     peers = m.last_change(ready.where("peer is not null").select("peer.*", "slice_id", "seq"), ["peer_id"], ["slice_id", "seq"]).drop("slice_id", "seq")
     state = ready.groupBy("peer_id").agg(F.max("pts").cast("int").alias("pts"))
-    stopped = blocked_slices(updates).select("peer_id", F.lit(True).alias("uncertain"))
+    stopped = waiting.select("peer_id", F.lit(True).alias("uncertain")).distinct()
     state = state.join(stopped, "peer_id", "full").select("peer_id", "pts", F.coalesce("uncertain", F.lit(False)).alias("uncertain"))
     return {
         "peers": m.merge_peers(tables["peers"], peers), "messages": messages, "message_revisions": revisions, "sync_state": m.merge(tables["sync_state"], state, ["peer_id"], {"pts": m.COALESCE}),
         "unsupported_events": dead.select(F.concat_ws(":", "peer_id", "slice_id", "seq").alias("event_id"), "peer_id", "kind", "affects_state"),
+        "pending_updates": waiting,
     }
 
 
+def recover_chats(tables: dict[str, DataFrame], chats: DataFrame) -> dict[str, DataFrame]:
+    """sync_state and pending_updates after chats (peer_id) were brought up to date by a snapshot.
+
+    They aren't uncertain any more, and what of theirs waits, without the unsupported events, goes with the next batch.
+    """
+    done = chats.select("peer_id", F.lit(True).alias("_done")).distinct()
+    state = tables["sync_state"].join(done, "peer_id", "left").withColumn("uncertain", F.when(F.col("_done"), F.lit(False)).otherwise(F.col("uncertain")))
+    pending = tables["pending_updates"].join(done, "peer_id", "left").where("_done is null or kind <> 'unsupported'")
+    return {"sync_state": state.select(*tables["sync_state"].columns), "pending_updates": pending.select(*tables["pending_updates"].columns)}
+
+
 def stream_apply_updates(updates: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None):
     """Start a query that applies a feed to the archive below folder. Updates of a channel are keyed by it like any chat's."""
     spark = updates.sparkSession
@@ -64,10 +95,12 @@ def stream_apply_updates(updates: DataFrame, folder: str, checkpoint: str, trigg
         if done == f"v-{batch_id}":
             return
         tables = {t: read_archive(spark, folder, t) for t in ("peers", "messages", "sync_state")}
+        if has_table(spark, folder, "pending_updates"):
+            tables["pending_updates"] = spark.read.schema(batch.schema).parquet(f"{folder}/{done}/pending_updates")
         after = apply_update_slice(tables, batch)
         append(after["message_revisions"], f"{folder}/log/message_revisions", batch_id)
         append(after["unsupported_events"], f"{folder}/log/unsupported_events", batch_id)
-        write_archive({t: after[t] for t in ("peers", "messages", "sync_state")}, folder, str(batch_id))
+        write_archive({t: after[t] for t in ("peers", "messages", "sync_state", "pending_updates")}, folder, str(batch_id))
 
     return updates.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -172,6 +172,47 @@ def test_stream_gives_the_batch_result_and_stops_at_unsupported_events(spark, tm
     assert readers.read_archive(spark, folder, "messages").count() == 2
 
 
+def test_a_freeze_outlasts_its_batch_and_loses_nothing(spark, tmp_path):
+    base = {"kind": "new", "peer_id": 1, "date": 10, "state": "active", "pts_count": 1, "affects_state": False, "peer": {"peer_id": 1, "peer_type": "user", "name": "Ann"}}
+    event = lambda n, **more: base | {"slice_id": n, "seq": 1, "message_id": 9 + n, "text": f"t{n}", "pts": n} | more
+    batches = [[event(1), event(2, kind="unsupported", affects_state=True), event(3)], [event(4), event(4, peer_id=2, peer={"peer_id": 2, "peer_type": "user", "name": "Bob"})]]
+    folder, seen = str(tmp_path / "archive"), []
+    (tmp_path / "feed").mkdir()
+    writers.write_archive({t: feed.empty_table(spark, t) for t in ("peers", "messages", "sync_state")}, folder, "start")
+    stream = readers.read_update_feed(spark, str(tmp_path / "feed"), stream=True)
+
+    def run(k, events):
+        (tmp_path / f"feed/{k}.json").write_text("\n".join(map(json.dumps, events)))
+        feed.stream_apply_updates(stream, folder, str(tmp_path / "check")).awaitTermination()
+        return sorted((r.peer_id, r.message_id) for r in readers.read_archive(spark, folder, "messages").collect())
+
+    for k, events in enumerate(batches):
+        seen.append(run(k, events))
+    assert seen == [[(1, 10)], [(1, 10), (2, 13)]]
+    assert {r.peer_id: r.uncertain for r in readers.read_archive(spark, folder, "sync_state").collect()} == {1: True, 2: False}
+    version = spark.read.text(f"{folder}/CURRENT").first()[0]
+    tables = {t: readers.read_archive(spark, folder, t) for t in ("peers", "messages", "sync_state")}
+    tables["pending_updates"] = spark.read.parquet(f"{folder}/{version}/pending_updates")
+    assert sorted(r.slice_id for r in tables["pending_updates"].collect()) == [2, 3, 4]
+    tables |= feed.recover_chats(tables, spark.createDataFrame([(1,)], "peer_id long"))
+    writers.write_archive(tables, folder, "recovered")
+    assert run(2, [event(5)]) == [(1, 10), (1, 12), (1, 13), (1, 14), (2, 13)]
+    assert spark.read.parquet(f"{folder}/log/unsupported_events").count() == 1
+
+
+def test_search_with_repeated_and_overlapping_terms(spark):
+    postings = search.build_postings(messages(spark, *[(1, k, 1, None, t, "active") for k, t in enumerate(["alpha beta", "alpine alpha", "alps", "beta"])]))
+    ids = lambda q: sorted(r.message_id for r in search.search(postings, q).collect())
+    assert ids("alpha") == ids("alpha alpha") == ids("al* alpha") == [0, 1] and ids("al* alp*") == [0, 1, 2] and ids("alpha al* beta") == [0]
+
+
+def test_highlight_is_literal(spark):
+    shown = lambda text, word: spark.createDataFrame([(text,)], "text string").select(search.highlight("text", word)).first()[0]
+    assert shown("a & amp", "amp") == "a &amp; <mark>amp</mark>"
+    assert shown("f(a(b)", "a(") == "f(<mark>a(</mark>b)" and shown("x\\Ey", "\\E") == "x<mark>\\E</mark>y"
+    assert shown("A<b>a", "a") == "<mark>A</mark>&lt;b&gt;<mark>a</mark>" and shown("abc", "") == "abc" and shown("abc", "z") == "abc"
+
+
 def test_windowed_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0), (1, 100), (1, 5000), (2, 3)], "peer_id long, t long").select("peer_id", F.timestamp_seconds("t").alias("time"))
     rows.write.parquet(str(tmp_path / "in"))
