@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import reply_edges
-
-
-def _checkpointed(df: DataFrame, folder: str | None, name: str) -> DataFrame:
-    """Cut the lineage of a doubling step: a table in the shared folder of the cluster."""
-    spark = df.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .staging import scratch, staged
 
 
 def _node(peer: str, message: str):
@@ -50,23 +35,29 @@ def _settled(jump: DataFrame, hops: int) -> tuple:
 def walks(messages: DataFrame, most_hops: int = 1024, folder: str | None = None) -> DataFrame:
     """For each message: root or a node of its cycle, hops, least node seen, and whether the walk ends.
 
-    Step k joins 2**k-hop pointers with themselves: ten joins for 1,024 hops. After most_hops it is looked
-    whether walks go on, and doubling lasts until none does, by the logarithm of the longest walk. Self replies
-    count as roots. Each step is keyed by the message, and a chat's size doesn't matter.
+    Step k doubles pointers of 2**k hops: ten joins for 1,024 hops. Walks that have ended are left where they were
+    written, so a step joins and writes only those still under way. Once most_hops is reached it is looked whether any goes
+    on, and doubling lasts until none does, by the logarithm of the longest walk. Self replies count as roots.
+    Each step is keyed by the message, and a chat's size doesn't matter.
     """
     edges = reply_edges(messages).where("status = 'resolved' and not (source_peer_id = target_peer_id and source_message_id = target_message_id)")
     jump = messages.select(_node("peer_id", "message_id").alias("node")).join(
         edges.select(_node("source_peer_id", "source_message_id").alias("node"), _node("target_peer_id", "target_message_id").alias("next")), "node", "left")
     jump = jump.select("node", F.coalesce("next", "node").alias("to"), F.col("next").isNotNull().cast("long").alias("hops"), F.least("node", F.coalesce("next", "node")).alias("least"))
-    step, state = 1, None
+    folder = folder or scratch(messages.sparkSession)
+    ended, step, state = None, 1, None
     while True:
-        jump = _checkpointed(jump, folder, str(step))
+        jump = staged(jump, folder, str(step))
+        stops, open_ = jump.where(F.col("hops") < step), jump.where(F.col("hops") >= step)
+        ended = stops if ended is None else ended.union(stops)
+        every = ended.union(open_)
+        before = state
         if step >= most_hops:
-            before, state = state, _settled(jump, step)
-            if state == before:
-                return jump.withColumn("ends", F.col("hops") < step)
-        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"))
-        jump = jump.join(ahead, "to").select("node", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("least", "least2").alias("least"))
+            state = _settled(every, step)
+        if open_.isEmpty() or (state is not None and state == before):
+            return every.withColumn("ends", F.col("hops") < step)
+        ahead = every.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"))
+        jump = open_.join(ahead, "to").select("node", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("least", "least2").alias("least"))
         step *= 2
 
 
@@ -82,12 +73,13 @@ def reply_cycles(found: DataFrame, messages: DataFrame, most_hops: int = 1024, f
     A walk that doesn't end stands on a cycle's node, whose own walk comes back to it: those
     nodes are the members. most_hops is no limit.
     """
-    endless = _checkpointed(found.where("not ends"), folder, "endless")
+    folder = folder or scratch(messages.sparkSession)
+    endless = staged(found.where("not ends"), folder, "endless")
     edges = reply_edges(messages).where("status = 'resolved'").select(_node("source_peer_id", "source_message_id").alias("node"), _node("target_peer_id", "target_message_id").alias("next"))
     inside = endless.select(F.col("to").alias("node")).distinct()
     # a cycle's members are the nodes on which endless walks stand, closed under one more step
     members = inside.join(edges, "node").select("node", "next").join(endless.select("node", "least"), "node").select("node", "next", "least")
-    members = _checkpointed(members, folder, "members")
+    members = staged(members, folder, "members")
     # members are closed under their links
     closed = members.join(members.select(F.col("node").alias("next"), F.col("least").alias("_l")), "next").where("least = _l").groupBy("least").agg(F.count("*").alias("n_closed"))
     cycles = members.groupBy("least").agg(F.count("*").alias("n_members")).join(closed, "least").where("n_members = n_closed").drop("n_closed")

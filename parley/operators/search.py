@@ -18,11 +18,17 @@ K1, B = 1.2, 0.75
 
 
 @F.pandas_udf(T.StringType())
-def fold_diacritics(text: pd.Series) -> pd.Series:
-    """Lower case without combining marks."""
+def _fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
 
 
+def fold_diacritics(text: str | Column) -> Column:
+    """Lower case without combining marks. Only texts beyond ASCII go through Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = text.rlike(r"\A\p{ASCII}*\z")
+    return F.when(plain, F.lower(text)).otherwise(_fold(F.when(~plain, text)))
+
+
 def tokenize(text: str | Column) -> Column:
     """Lower-case runs of letters and digits."""
     text = F.col(text) if isinstance(text, str) else text
@@ -60,6 +66,27 @@ def query_terms(query: str) -> list[tuple[str, bool]]:
     return found
 
 
+def search_texts(messages: DataFrame, query: str, keys: tuple[str, ...] = ("peer_id", "message_id"), text: str = "text") -> DataFrame:
+    """What search finds and how it ranks, from the texts themselves, for a table without an index.
+
+    Each text's tokens are counted where they are, so that only one row of counts is ever shuffled.
+    """
+    terms = list(dict.fromkeys(query_terms(query)))
+    rows = messages.where("state in ('active', 'edited')") if "state" in messages.columns else messages
+    if not terms:
+        return rows.select(*keys, F.lit(0.0).alias("rank")).limit(0)
+    hit = lambda word, prefix: lambda t: t.startswith(word) if prefix else t == word
+    rows = rows.where(F.col(text).isNotNull()).select(*keys, folded_tokens(text).alias("_tokens")).where(F.size("_tokens") > 0)
+    rows = rows.select(*keys, F.size("_tokens").alias("_dl"), *(F.size(F.filter("_tokens", hit(*term))).alias(f"_tf{n}") for n, term in enumerate(terms)))
+    stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_tf{n}") > 0).alias(f"_df{n}") for n in range(len(terms))))
+    found = rows.where(functools.reduce(lambda a, b: a & b, (F.col(f"_tf{n}") > 0 for n in range(len(terms))))).crossJoin(F.broadcast(stats))  # one row
+    rank = F.lit(0.0)
+    for n in range(len(terms)):
+        df, tf = F.col(f"_df{n}"), F.col(f"_tf{n}")
+        rank = rank + F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
+    return found.select(*keys, rank.alias("rank"))
+
+
 def search(postings: DataFrame, query: str, keys: tuple[str, ...] = ("peer_id", "message_id")) -> DataFrame:
     """Documents with every query term, and their BM25 rank (higher is better). A blank query finds nothing."""
     terms = list(dict.fromkeys(query_terms(query)))
@@ -134,7 +161,7 @@ def match_query(postings: DataFrame, query: str, keys: tuple[str, ...] = ("peer_
     return nothing if found is None else found
 
 
-def search_messages(messages: DataFrame, postings: DataFrame, query: str, peer: int | None = None, sender: int | None = None, start: int | None = None, end: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def search_messages(messages: DataFrame, postings: DataFrame, query: str, peer: int | None = None, sender: int | None = None, start: int | None = None, end: int | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
     """The best messages for a query of plain words and prefixes, within a chat, sender and dates; newest first among equals."""
     rows = messages.select("peer_id", "message_id", "sender_id", "date", "text")
     for column, rule in (("peer_id", peer), ("sender_id", sender)):
@@ -142,7 +169,8 @@ def search_messages(messages: DataFrame, postings: DataFrame, query: str, peer:
     rows = rows if start is None else rows.where(F.col("date") >= start)
     rows = rows if end is None else rows.where(F.col("date") <= end)
     found = rows.join(search(postings, query), ["peer_id", "message_id"]).orderBy(F.desc("rank"), F.desc("date"), "peer_id", "message_id")
-    return (found.offset(offset) if offset else found).limit(limit)
+    found = found.offset(offset) if offset else found
+    return found if limit is None else found.limit(limit)
 
 
 def snippet(text: str | Column, words: list[str], size: int = 32) -> Column:

@@ -1,17 +1,63 @@
-"""Pages, albums, clusters and separators: window functions over each chat's messages."""
+"""Pages, albums, clusters and separators over each chat's messages.
+
+A chat may hold a third of all rows, so no window spans a chat's messages. They are cut into blocks of
+2**16 ids; a window works within a block, and what the blocks before it have to say comes from a table with a row a block.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 CLUSTER_GAP = 600
+BLOCK_BITS = 16
+
+
+def carried(rows: DataFrame, keys: tuple[str, ...], order: str = "message_id", **values: tuple) -> tuple[DataFrame, Window]:
+    """(rows with a column for each value, the window of a row's own block in order).
+
+    values: name=(aggregate of a block, function that sums up the blocks before, or those after if a third item is true).
+    A block has at most 2**16 rows where order is unique for the keys.
+    """
+    rows = rows.withColumn("_block", F.shiftright(order, BLOCK_BITS))
+    blocks = rows.groupBy(*keys, "_block").agg(*(agg.alias(n) for n, (agg, *_) in values.items()))
+    sequence = Window.partitionBy(*keys).orderBy("_block")
+    spans = {n: sequence.rowsBetween(1, Window.unboundedFollowing) if after and after[0] else sequence.rowsBetween(Window.unboundedPreceding, -1) for n, (_, _, *after) in values.items()}
+    blocks = blocks.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_b"), *(over(n).over(spans[n]).alias(n) for n, (_, over, *_) in values.items()))
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.join(blocks, same, "left").drop("_b", *(f"_k{i}" for i in range(len(keys))))
+    return rows, Window.partitionBy(*keys, "_block").orderBy(order)
+
+
+def running_total(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over all rows before, in an order that is unique.
+
+    The rows are dealt into ranges and written; each range starts at the sum of those before it, of which there are as many as partitions.
+    """
+    ranges = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = ranges.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    starts = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_start"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order))
+    return ranges.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside - F.col(value)).drop("_part", "_start")
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Sorted rows with their places from 1: written as they lie, then each partition is moved by those before it."""
+    marked = staged(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return marked.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
 
 
 def assign_pages(messages: DataFrame, chunk: int = 250, keys: tuple[str, ...] = ("peer_id",)) -> DataFrame:
     """page_no from 0: messages in id order, `chunk` a page, per chat or finer key."""
-    order = Window.partitionBy(*keys).orderBy("message_id")
-    return messages.withColumn("page_no", F.floor((F.row_number().over(order) - 1) / chunk).cast("int"))
+    rows, block = carried(messages, keys, _before=(F.count("*"), F.sum))
+    place = F.coalesce("_before", F.lit(0)) + F.row_number().over(block) - 1
+    return rows.withColumn("page_no", F.floor(place / chunk).cast("int")).drop("_before", "_block")
 
 
 def day_of(date: str) -> Column:
@@ -20,10 +66,11 @@ def day_of(date: str) -> Column:
 
 
 def assign_day_pages(messages: DataFrame) -> DataFrame:
-    """day_no from 1 in order of days, and the day page's file name."""
+    """day_no from 1 in order of days, and the day page's file name. Only a chat's distinct days are ranked."""
     rows = messages.withColumn("day", day_of("date"))
-    day_no = F.dense_rank().over(Window.partitionBy("peer_id").orderBy("day"))
-    return rows.withColumn("day_no", day_no).withColumn("day_file", F.concat(F.lit("day-"), F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd"), F.lit(".html")))
+    days = rows.select("peer_id", "day").distinct().withColumn("day_no", F.row_number().over(Window.partitionBy("peer_id").orderBy("day")))
+    days = days.select(F.col("peer_id").alias("_peer"), F.col("day").alias("_day"), "day_no", F.concat(F.lit("day-"), F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd"), F.lit(".html")).alias("day_file"))
+    return rows.join(days, (F.col("peer_id") == F.col("_peer")) & F.col("day").eqNullSafe(F.col("_day")), "left").drop("_peer", "_day")
 
 
 def date_index(pages: DataFrame) -> DataFrame:
@@ -33,22 +80,27 @@ def date_index(pages: DataFrame) -> DataFrame:
 
 def group_albums(messages: DataFrame) -> DataFrame:
     """Islands of consecutive rows with the same grouped_id: item_no, size and album flag per row."""
-    order = Window.partitionBy("peer_id").orderBy("message_id")
-    new = F.col("grouped_id").isNull() | ~F.col("grouped_id").eqNullSafe(F.lag("grouped_id").over(order))
-    rows = messages.withColumn("_new", new.cast("int"))
-    rows = rows.withColumn("item_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    size = F.count("*").over(Window.partitionBy("peer_id", "item_no"))
-    return rows.withColumn("item_size", size).withColumn("is_album", F.col("grouped_id").isNotNull() & (size > 1))
+    rows, block = carried(messages, ("peer_id",), _last=(F.max_by(F.struct("grouped_id"), "message_id"), F.last))
+    before = F.coalesce(F.lag(F.struct("grouped_id")).over(block), F.col("_last"))["grouped_id"]
+    rows = rows.withColumn("_new", (F.col("grouped_id").isNull() | ~F.col("grouped_id").eqNullSafe(before)).cast("int")).drop("_last", "_block")
+    rows, block = carried(rows, ("peer_id",), _items=(F.sum("_new"), F.sum))
+    rows = rows.withColumn("item_no", F.coalesce("_items", F.lit(0)) + F.sum("_new").over(block.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_items", "_block")
+    # rows of no group are items of their own
+    sizes = rows.where("grouped_id is not null").groupBy(F.col("peer_id").alias("_peer"), F.col("item_no").alias("_item")).agg(F.count("*").alias("_size")).where("_size > 1")
+    rows = rows.join(sizes, (F.col("peer_id") == F.col("_peer")) & (F.col("item_no") == F.col("_item")), "left")
+    return rows.withColumn("item_size", F.coalesce("_size", F.lit(1))).withColumn("is_album", F.col("_size").isNotNull()).drop("_peer", "_item", "_size")
 
 
 def album_continuation(pages: DataFrame) -> DataFrame:
     """Rows whose album goes on over a page edge. pages: messages with page_no."""
-    order = Window.partitionBy("peer_id").orderBy("message_id")
+    what = F.struct("grouped_id", "page_no")
+    rows, block = carried(pages, ("peer_id",), _last=(F.max_by(what, "message_id"), F.last), _next=(F.min_by(what, "message_id"), F.first, True))
 
-    def across(step) -> Column:
-        return F.coalesce((step("grouped_id").over(order) == F.col("grouped_id")) & (step("page_no").over(order) != F.col("page_no")), F.lit(False))
+    def across(step, beyond: str) -> Column:
+        other = F.coalesce(step(what).over(block), F.col(beyond))
+        return F.coalesce((other["grouped_id"] == F.col("grouped_id")) & (other["page_no"] != F.col("page_no")), F.lit(False))
 
-    rows = pages.withColumn("continued", across(F.lag)).withColumn("continues", across(F.lead))
+    rows = rows.withColumn("continued", across(F.lag, "_last")).withColumn("continues", across(F.lead, "_next"))
     return rows.where("continued or continues").select("peer_id", "message_id", "page_no", "continued", "continues")
 
 
@@ -66,13 +118,13 @@ def sender_clusters(pages: DataFrame, gap: int = CLUSTER_GAP) -> DataFrame:
 
 def show_sender(clusters: DataFrame, peers: DataFrame) -> DataFrame:
     """Whether a row shows its sender: in groups the first of a cluster; in private chats a sender other than the last one."""
-    order = Window.partitionBy("peer_id").orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = clusters.join(peers.select("peer_id", "peer_type"), "peer_id")
     said = F.when(~F.col("is_service"), F.struct("sender_id"))
-    last = F.last(said, ignorenulls=True).over(order)
+    rows, block = carried(clusters, ("peer_id",), _said=(F.max_by(said, F.when(said.isNotNull(), F.col("message_id"))), lambda c: F.last(c, ignorenulls=True)))
+    rows = rows.withColumn("_last", F.coalesce(F.last(said, ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, -1)), F.col("_said")))
+    last = F.col("_last")
     change = ~F.col("is_service") & (last.isNull() | ~last["sender_id"].eqNullSafe(F.col("sender_id")))
     shown = F.when(F.col("peer_type") == "user", change).when(F.col("peer_type") == "group", F.col("first_of_cluster") & F.col("sender_id").isNotNull() & ~F.col("is_service")).otherwise(F.lit(False))
-    return rows.select("peer_id", "message_id", shown.alias("show_sender"))
+    return rows.join(peers.select("peer_id", "peer_type"), "peer_id").select("peer_id", "message_id", shown.alias("show_sender"))
 
 
 def date_separators(pages: DataFrame) -> DataFrame:
@@ -92,24 +144,20 @@ def revision_order_check(revisions: DataFrame) -> DataFrame:
 
 
 def entry_shards(entries: DataFrame, size: int = 2500) -> DataFrame:
-    """shard_id of each entry in the order of (peer_id, message_id), without a window over the whole table.
+    """shard_id of each entry in the order of (peer_id, message_id), without a window over a table or a chat.
 
-    Each chat is numbered by itself and moved by the number of entries before it. Only that small
-    table of chats is summed up in order.
+    Entries are numbered within blocks of ids and moved by the entries before the block, whose running total is taken by ranges of blocks.
     """
-    counts = entries.groupBy("peer_id").agg(F.count("*").alias("n"))
-    # blocks of chats first, so no task sees every chat
-    block = counts.withColumn("block", F.floor(F.col("peer_id") / 1024))
-    starts = block.groupBy("block").agg(F.sum("n").alias("n"))
-    starts = starts.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before_block"))
-    within = Window.partitionBy("block").orderBy("peer_id")
-    offsets = block.withColumn("before", F.sum("n").over(within) - F.col("n")).join(starts, "block").select("peer_id", (F.col("before") + F.col("before_block")).alias("offset"))
-    rows = entries.withColumn("_n", F.row_number().over(Window.partitionBy("peer_id").orderBy("message_id")) - 1)
-    return rows.join(offsets, "peer_id").withColumn("shard_id", F.floor((F.col("offset") + F.col("_n")) / size).cast("int")).drop("_n", "offset")
+    rows = entries.withColumn("_block", F.shiftright("message_id", BLOCK_BITS))
+    counts = rows.groupBy(F.col("peer_id").alias("_peer"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n"))
+    offsets = running_total(counts, ["_peer", "_b"], "_n", "_offset").drop("_n")
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("peer_id", "_block").orderBy("message_id")) - 1)
+    rows = rows.join(offsets, (F.col("peer_id") == F.col("_peer")) & (F.col("_block") == F.col("_b")))
+    return rows.withColumn("shard_id", F.floor((F.col("_offset") + F.col("_at")) / size).cast("int")).drop("_at", "_offset", "_peer", "_b", "_block")
 
 
 def prev_next_pages(pages: DataFrame) -> DataFrame:
     """Each page's neighbours."""
     found = pages.select("peer_id", "page_no").distinct()
-    order = Window.partitionBy("peer_id").orderBy("page_no")
-    return found.select("peer_id", "page_no", F.lag("page_no").over(order).alias("prev_page"), F.lead("page_no").over(order).alias("next_page"))
+    rows, block = carried(found, ("peer_id",), "page_no", _last=(F.max("page_no"), F.last), _next=(F.min("page_no"), F.first, True))
+    return rows.select("peer_id", "page_no", F.coalesce(F.lag("page_no").over(block), F.col("_last")).alias("prev_page"), F.coalesce(F.lead("page_no").over(block), F.col("_next")).alias("next_page"))

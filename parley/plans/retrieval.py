@@ -26,12 +26,21 @@ def _(a):
     return search.refresh_postings(search.build_postings(old), a.messages, a.messages.where("message_id % 3 = 0 or message_id % 5 = 0")).select("token", "peer_id", "message_id", "tf")
 
 
-@query("f4_bm25", f"""
+BM25_SQL = f"""
 WITH {POSTINGS}, s AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT doc_id, dl FROM p)), h AS (SELECT * FROM p WHERE token IN ('the', 'that')), d AS (SELECT token, count(*) AS df FROM h GROUP BY token),
  r AS (SELECT doc_id, count(*) AS k, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS rank FROM h JOIN d USING (token), s GROUP BY doc_id)
 SELECT doc_id, round(rank, 6) AS rank FROM r WHERE k = 2
-""")
+"""
+
+
+@query("f4_bm25", BM25_SQL)
+def _(a):
+    return search.search_texts(a.table("documents").select("doc_id", "text"), "The that", ("doc_id",)).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query("f4_bm25_index", BM25_SQL)
 def _(a):
+    """The same by an inverted index."""
     return search.search(_postings(a), "The that", ("doc_id",)).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
