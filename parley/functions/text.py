@@ -93,17 +93,18 @@ def relative_path(source: str | Column, target: str | Column) -> Column:
 
 
 def path_finding(path: str | Column) -> Column:
-    """The code of what is wrong with a relative path, or null."""
-    p = F.replace(_c(path), F.lit("\\"), F.lit("/"))
+    """The code of what is wrong with a relative path, or null. A root within a path can't stand anywhere but at its start."""
+    c = _c(path)
+    p = F.replace(c, F.lit("\\"), F.lit("/"))
     return (
-        F.when(F.contains(p, F.lit("\x00")), "PATH_CONTAINS_NULL_BYTE").when(p.startswith("/"), "PATH_ABSOLUTE_ESCAPE").when(p.rlike("^[A-Za-z]:"), "PATH_WINDOWS_DRIVE_ESCAPE")
+        F.when(F.contains(c, F.lit("\x00")), "PATH_CONTAINS_NULL_BYTE").when(c.startswith("/"), "PATH_ABSOLUTE_ESCAPE").when(c.startswith("\\") | (F.substring(c, 2, 1) == ":"), "PATH_WINDOWS_DRIVE_ESCAPE")
         .when(p.rlike(r"(^|/)\.\.(/|$)"), "PATH_TRAVERSAL_ESCAPE")
     )
 
 
 #: Symbols that get the emoji variation selector.
-PLAIN_EMOJI = "❤☺☹☠☝✌✍☀☁☎♥✔✖⚡"
+PLAIN_EMOJI = "\u2764\u263a\u2639\u2600\u270c\u270b\u270d\u2763\u26a1\u2601\u2614\u2615\u2753\u2757"
 
 
 def normalize_emoji(emoji: str | Column) -> Column:
-    return F.regexp_replace(_c(emoji), f"([{PLAIN_EMOJI}])(?!️)", "$1️")
+    return F.regexp_replace(_c(emoji), f"([{PLAIN_EMOJI}])(?!\ufe0f)", "$1\ufe0f")

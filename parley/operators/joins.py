@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import carried
+
 #: Streaming manifests that are no picture or film of their own.
 MANIFESTS = ("application/x-mpegURL", "application/vnd.apple.mpegurl")
 PRIMARY_ROLES = ("attachment", "primary")
@@ -111,25 +113,34 @@ def edited_without_revision(messages: DataFrame, revisions: DataFrame) -> DataFr
 def chronology_inversions(messages: DataFrame, peers: DataFrame, slack: int = 86400) -> DataFrame:
     """Messages dated more than `slack` before the newest one with a smaller id, and that one; groups and channels only.
 
-    A running maximum per chat: each chat is sorted once, no pair is formed.
+    A running maximum per chat, carried from block to block of ids: no pair is formed and no chat is one task.
     """
     rows = messages.join(peers.where(F.col("peer_type").isin("group", "channel")).select("peer_id"), "peer_id", "left_semi")
-    before = Window.partitionBy("peer_id").orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max(F.struct("date", (-F.col("message_id")).alias("m"))).over(before)
-    rows = rows.select("peer_id", "message_id", "date", newest.alias("n")).where(F.col("n.date") > F.col("date") + slack)
+    dated = F.struct("date", (-F.col("message_id")).alias("m"))
+    rows, block = carried(rows.select("peer_id", "message_id", "date"), ("peer_id",), _newest=(F.max(dated), F.max))
+    rows = rows.withColumn("n", F.greatest(F.max(dated).over(block.rowsBetween(Window.unboundedPreceding, -1)), F.col("_newest"))).where(F.col("n.date") > F.col("date") + slack)
     return rows.select("peer_id", "message_id", "date", (-F.col("n.m")).alias("earlier_id"), F.col("n.date").alias("earlier_date"))
 
 
 def match_files(files: DataFrame, media: DataFrame) -> DataFrame:
-    """Full join of a file inventory (rel_path, length, sha256, is_part) with completed objects, each pair classified."""
+    """Full join of a file inventory (rel_path, length, sha256, is_part) with completed objects, each pair classified.
+
+    A size of 0 or null says nothing. Only verified objects are held to their digest; a file without one could not be
+    read. Files of a path that is complete or being downloaded, and their parts, are in_use and no orphans.
+    """
     plain = lambda c: F.regexp_replace(c, "^(media/)+", "")
     there = files.select(plain("rel_path").alias("path"), "rel_path", "length", F.col("sha256").alias("file_sha256"), "is_part")
-    known = media.where("download_status = 'completed' and local_rel_path is not null").select(plain("local_rel_path").alias("path"), "media_id", "size_bytes", "sha256")
+    owned = media.where("local_rel_path is not null and download_status in ('completed', 'downloading')").select(plain("local_rel_path").alias("path"), "media_id", "size_bytes", "sha256", "verification_status", "download_status")
+    known = owned.where("download_status = 'completed'").drop("download_status")
+    base = F.regexp_replace("path", r"\.part$", "")
+    pairs = known.join(there, "path", "full").withColumn("_base", F.when(F.col("media_id").isNull(), base))
+    pairs = pairs.join(owned.select(F.col("path").alias("_base"), F.lit(True).alias("_used")).distinct(), "_base", "left")
     result = (
-        F.when(F.col("media_id").isNull(), F.when(F.col("is_part"), "orphan_part").otherwise("orphan_file")).when(F.col("rel_path").isNull(), "missing")
-        .when(F.col("size_bytes") != F.col("length"), "size_mismatch").when(F.col("sha256") != F.col("file_sha256"), "hash_mismatch").otherwise("match")
+        F.when(F.col("media_id").isNull(), F.when(F.col("_used"), "in_use").when(F.col("is_part"), "orphan_part").otherwise("orphan_file")).when(F.col("rel_path").isNull(), "missing")
+        .when((F.col("size_bytes") > 0) & (F.col("size_bytes") != F.col("length")), "size_mismatch").when(F.col("verification_status") != "verified", "unverified")
+        .when(F.col("sha256").isNotNull() & F.col("file_sha256").isNull(), "unreadable").when(F.col("sha256") != F.col("file_sha256"), "hash_mismatch").otherwise("match")
     )
-    return known.join(there, "path", "full").select("path", "media_id", "rel_path", result.alias("result"))
+    return pairs.select("path", "media_id", "rel_path", result.alias("result"))
 
 
 def range_hash_cover(ranges: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import audit, fingerprints, lookups, search
+from ..operators import audit, fingerprints, joins, lookups, search
 from ..operators import merge as m
 from ..sources import readers
 from .registry import query
@@ -46,7 +46,7 @@ WITH w AS (SELECT peer_id, message_id, date, list_filter(string_split_regex(lowe
 SELECT peer_id, message_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS rank FROM p JOIN messages m USING (peer_id, message_id), s WHERE tf > 0 AND m.date >= 820454400 AND m.sender_id = 7
 """)
 def _(a):
-    found = search.search_messages(a.messages, search.build_postings(a.messages), "Urgent", sender=7, start=820454400, limit=1_000_000)
+    found = search.search_messages(a.messages, search.build_postings(a.messages), "Urgent", sender=7, start=820454400, limit=None)
     return found.select("peer_id", "message_id", F.round("rank", 6).alias("rank"))
 
 
@@ -61,8 +61,7 @@ def _(a):
 
 
 @query("r16_export_bundle", """
-SELECT code, 'export' AS category, CASE code WHEN 'HTML_MANIFEST_EMPTY_SOURCE_FINGERPRINT' THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM (
- SELECT DISTINCT peer_id, CASE peer_id % 4 WHEN 0 THEN 'HTML_MANIFEST_EMPTY_SOURCE_FINGERPRINT' WHEN 1 THEN 'HTML_SOURCE_FINGERPRINT_MISMATCH' WHEN 2 THEN 'HTML_MANIFEST_EMPTY_CONFIG_FINGERPRINT' END AS code FROM messages) WHERE code IS NOT NULL GROUP BY code
+SELECT code, 'html_export' AS category, 'error' AS severity, count(*) AS n FROM (SELECT DISTINCT peer_id, unnest(CASE peer_id % 4 WHEN 0 THEN ['HTML_MANIFEST_EMPTY_SOURCE_FINGERPRINT', 'HTML_SOURCE_FINGERPRINT_MISMATCH'] WHEN 1 THEN ['HTML_SOURCE_FINGERPRINT_MISMATCH'] WHEN 2 THEN ['HTML_MANIFEST_EMPTY_CONFIG_FINGERPRINT'] ELSE [] END) AS code FROM messages) GROUP BY code
 """)
 def _(a):
     now = fingerprints.chat_fingerprint(a.messages)
@@ -71,6 +70,46 @@ def _(a):
     return audit.audit(audit.Tables(export_manifest=manifest, fingerprints=now), ("export",)).groupBy("code", "category", "severity").agg(F.count("*").alias("n"))
 
 
+@query("r16_export_files", """
+SELECT CASE peer_id % 5 WHEN 0 THEN 'HTML_EXPORT_DIR_MISSING' WHEN 1 THEN 'HTML_MANIFEST_MISSING' ELSE 'HTML_MANIFEST_CORRUPTED' END AS code, 'html_export' AS category, CASE peer_id % 5 WHEN 0 THEN 'fatal' ELSE 'error' END AS severity, count(*) AS n FROM peers WHERE peer_id % 5 < 3 GROUP BY ALL
+""")
+def _(a):
+    k = F.col("peer_id") % 5
+    folders = a.peers.select(F.col("peer_id").cast("string").alias("folder"), (k != 0).alias("exists"), F.when(k == 2, '{"pages": ').when(k > 2, '{"pages": 3}').alias("manifest"))
+    return audit.audit(audit.Tables(export_files=folders), ("export_files",)).groupBy("code", "category", "severity").agg(F.count("*").alias("n"))
+
+
+@query("r15_index_files", """
+SELECT 'SEARCH_SHARD_CORRUPTED_JSON' AS code, 'search' AS category, 'error' AS severity, count(DISTINCT peer_id) AS n FROM messages WHERE message_id % 50 = 0
+UNION ALL SELECT 'SEARCH_MANIFEST_MALFORMED_JSON', 'search', 'error', count(*) FROM peers WHERE peer_id % 7 = 2 UNION ALL SELECT 'SEARCH_MANIFEST_UNREADABLE', 'search', 'error', count(*) FROM peers WHERE peer_id % 7 = 1 UNION ALL SELECT 'SEARCH_MANIFEST_MISSING', 'search', 'warning', 1
+""")
+def _(a):
+    k = F.col("peer_id") % 7
+    manifests = a.peers.select(F.col("peer_id").cast("string").alias("path"), F.when(k == 2, "[1, ").when(k != 1, '{"shards": []}').alias("text"))
+    shards = a.messages.select(F.col("peer_id").cast("string").alias("path"), F.when(F.col("message_id") % 50 == 0, '{"id": ').otherwise(F.to_json(F.struct("message_id"))).alias("text"))
+    found = audit.audit(audit.Tables(manifest_text=manifests, shard_text=shards), ("search_manifest", "search_shards")).unionByName(audit.audit(audit.Tables(manifest_text=manifests.where("path is null")), ("search_manifest",)))
+    return found.groupBy("code", "category", "severity").agg(F.count("*").alias("n"))
+
+
+@query("r2_foreign_keys", """
+SELECT 'message_media.media_id' AS subject, CAST(count(*) AS VARCHAR) AS detail FROM message_media WHERE media_id NOT IN (SELECT media_id FROM media_objects) HAVING count(*) > 0
+UNION ALL SELECT 'messages.peer_id', CAST(count(*) AS VARCHAR) FROM messages WHERE peer_id NOT IN (SELECT peer_id FROM peers) HAVING count(*) > 0
+""")
+def _(a):
+    broken = joins.foreign_key_violations({"message_media": (a.links, ["media_id"], a.media, ["media_id"]), "messages": (a.messages, ["peer_id"], a.peers, ["peer_id"])})
+    return audit.audit(audit.Tables(violations=broken), ("foreign_keys",)).select("subject", "detail")
+
+
+@query("r1_schema", """
+SELECT * FROM (VALUES ('SCHEMA_VERSION_OUTDATED', 'error', '4'), ('REQUIRED_TABLE_MISSING', 'fatal', 'sync_state')) v(code, severity, subject)
+UNION ALL SELECT * FROM (VALUES ('REQUIRED_COLUMN_MISSING', 'error', 'peers.phone'), ('REQUIRED_COLUMN_MISSING', 'error', 'peers.raw')) w
+""")
+def _(a):
+    """The derived archive's own columns against a catalog that asks for more."""
+    wanted = {"peers": ["peer_id", "peer_type", "name", "phone", "raw"], "messages": ["peer_id", "message_id"], "sync_state": ["pts"]}
+    return audit.schema_findings(a.spark, wanted, {"peers": a.peers.columns, "messages": a.messages.columns}, 4, 5).select("code", "severity", "subject")
+
+
 @query("x2_file_names", "SELECT peer_id, message_id, 'msg-u' || CAST(peer_id AS VARCHAR) || '-' || CAST(message_id AS VARCHAR) AS anchor, 'page-' || lpad(CAST(message_id % 30 + 1 AS VARCHAR), 4, '0') || '.html' AS page, 'chats/u' || CAST(peer_id AS VARCHAR) AS folder FROM messages")
 def _(a):
     return a.messages.select("peer_id", "message_id", ids.message_anchor("peer_id", "message_id").alias("anchor"), ids.page_file(F.col("message_id") % 30).alias("page"), ids.peer_dir("peer_id").alias("folder"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, fingerprints, joins, links, media
+from ..operators import audit, fingerprints, graph, joins, links, media
 from ..operators import windows as win
+from ..operators.windows import numbered
 from .registry import query
 
 NOW = 1700010000
@@ -17,7 +18,7 @@ def _revisions(a):
 
 def _files(a):
     k = F.col("p_partkey").cast("string")
-    return a.table("part").where("p_partkey % 4 <> 0").select(F.concat(F.lit("media/"), k, F.lit(".bin")).alias("rel_path"), F.lit(10240).cast("long").alias("length"), F.concat(F.lit("h"), (F.col("p_partkey") % 250).cast("string")).alias("sha256"), (F.col("p_partkey") % 2 == 0).alias("is_part"))
+    return a.table("part").where("p_partkey % 4 <> 0").select(F.concat(F.lit("media/"), k, F.lit(".bin")).alias("rel_path"), F.lit(10240).cast("long").alias("length"), F.when(F.col("p_partkey") % 13 != 0, F.concat(F.lit("h"), (F.col("p_partkey") % 250).cast("string"))).alias("sha256"), (F.col("p_partkey") % 2 == 0).alias("is_part"))
 
 
 def _tables(a):
@@ -28,8 +29,8 @@ def _codes(findings):
     return findings.groupBy("code", "category", "severity").agg(F.count("*").alias("n"))
 
 
-FILES_SQL = "fl AS (SELECT 'media/' || CAST(p_partkey AS VARCHAR) || '.bin' AS rel_path, 10240 AS length, 'h' || CAST(p_partkey % 250 AS VARCHAR) AS sha256, p_partkey % 2 = 0 AS is_part FROM part WHERE p_partkey % 4 <> 0)"
-MATCH_SQL = FILES_SQL + """, mt AS (SELECT m.media_id, m.download_status, f.rel_path, CASE WHEN m.media_id IS NULL THEN CASE WHEN f.is_part THEN 'orphan_part' ELSE 'orphan_file' END WHEN f.rel_path IS NULL THEN 'missing' WHEN m.size_bytes <> f.length THEN 'size_mismatch' WHEN m.sha256 <> f.sha256 THEN 'hash_mismatch' ELSE 'match' END AS result
+FILES_SQL = "fl AS (SELECT 'media/' || CAST(p_partkey AS VARCHAR) || '.bin' AS rel_path, 10240 AS length, CASE WHEN p_partkey % 13 <> 0 THEN 'h' || CAST(p_partkey % 250 AS VARCHAR) END AS sha256, p_partkey % 2 = 0 AS is_part FROM part WHERE p_partkey % 4 <> 0)"
+MATCH_SQL = FILES_SQL + """, mt AS (SELECT m.media_id, m.download_status, f.rel_path, CASE WHEN m.media_id IS NULL THEN CASE WHEN f.is_part THEN 'orphan_part' ELSE 'orphan_file' END WHEN f.rel_path IS NULL THEN 'missing' WHEN m.size_bytes <> f.length THEN 'size_mismatch' WHEN m.verification_status <> 'verified' THEN 'unverified' WHEN f.sha256 IS NULL THEN 'unreadable' WHEN m.sha256 <> f.sha256 THEN 'hash_mismatch' ELSE 'match' END AS result
  FROM (SELECT * FROM media_objects WHERE download_status = 'completed' AND local_rel_path IS NOT NULL) m FULL JOIN fl f ON f.rel_path = m.local_rel_path)"""
 
 
@@ -39,15 +40,15 @@ def _sql_rules(*parts):
 
 
 R2 = [
-    ("MESSAGE_WITHOUT_PEER_RECORD", "references", "error", "SELECT DISTINCT peer_id FROM messages WHERE peer_id NOT IN (SELECT peer_id FROM peers)"),
-    ("MESSAGE_MEDIA_ORPHAN_OBJECT", "references", "error", "SELECT * FROM message_media WHERE media_id NOT IN (SELECT media_id FROM media_objects)"),
+    ("MESSAGE_WITHOUT_PEER_RECORD", "referential_integrity", "error", "SELECT DISTINCT peer_id FROM messages WHERE peer_id NOT IN (SELECT peer_id FROM peers)"),
+    ("MESSAGE_MEDIA_ORPHAN_OBJECT", "referential_integrity", "error", "SELECT * FROM message_media WHERE media_id NOT IN (SELECT media_id FROM media_objects)"),
 ]
 R3 = [("MESSAGE_ID_INVALID_RANGE", "identity", "error", "SELECT * FROM messages WHERE message_id <= 0 OR message_id > 2147483647"), ("UNKNOWN_PEER_TYPE", "identity", "warning", "SELECT * FROM peers WHERE peer_type NOT IN ('user', 'group', 'channel')")]
 R4 = [
     ("MESSAGE_DATE_IMPOSSIBLE", "chronology", "error", "SELECT * FROM messages WHERE date < 1375315200 OR date > 2524608000"),
     ("CHRONOLOGY_SEVERE_INVERSION", "chronology", "warning", "SELECT * FROM (SELECT *, max(date) OVER (PARTITION BY peer_id ORDER BY message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM messages WHERE peer_id IN (SELECT peer_id FROM peers WHERE peer_type <> 'user')) WHERE d > date + 86400"),
 ]
-R5 = [("MESSAGE_STATE_INVALID", "state", "error", "SELECT * FROM messages WHERE state NOT IN ('active', 'edited', 'deleted', 'empty', 'inaccessible')")]
+R5 = [("MESSAGE_STATE_INVALID", "message_state", "error", "SELECT * FROM messages WHERE state NOT IN ('active', 'edited', 'deleted', 'empty', 'inaccessible')")]
 R11 = [
     ("MEDIA_UNVERIFIED", "media", "warning", "SELECT * FROM media_objects WHERE download_status = 'completed' AND verification_status = 'unverified'"),
     ("MEDIA_VERIFICATION_FAILED", "media", "error", "SELECT * FROM media_objects WHERE download_status = 'completed' AND verification_status NOT IN ('unverified', 'verified')"),
@@ -56,11 +57,11 @@ R11 = [
     ("MEDIA_INVALID_CLAIM_STATE", "media", "warning", "SELECT * FROM media_objects WHERE (download_status = 'downloading') <> (claimed_at IS NOT NULL)"),
     ("MEDIA_RETRY_WAIT_INVALID", "media", "warning", "SELECT * FROM media_objects WHERE download_status = 'retry_wait' AND next_retry_at IS NULL"),
 ]
-R12 = [(code, "media_files", severity, f"SELECT * FROM mt WHERE result = '{r}'") for r, code, severity in (("missing", "MEDIA_FILE_MISSING", "error"), ("size_mismatch", "MEDIA_SIZE_MISMATCH", "error"), ("hash_mismatch", "MEDIA_HASH_MISMATCH", "critical"), ("orphan_part", "ORPHAN_PART_FILE", "info"), ("orphan_file", "ORPHAN_MEDIA_FILE", "info"))]
+R12 = [(code, category, severity, f"SELECT * FROM mt WHERE result = '{r}'") for r, code, category, severity in (("missing", "MEDIA_FILE_MISSING", "media", "error"), ("size_mismatch", "MEDIA_SIZE_MISMATCH", "media", "error"), ("unreadable", "MEDIA_READ_FAILED", "media", "error"), ("hash_mismatch", "MEDIA_HASH_MISMATCH", "media", "error"), ("orphan_part", "ORPHAN_PART_FILE", "filesystem", "warning"), ("orphan_file", "ORPHAN_MEDIA_FILE", "media", "info"))]
 REPLIES_SQL = "rp AS (SELECT m.peer_id, m.message_id, t.state, p.peer_id IS NOT NULL AS known, m.reply_to_msg_id = m.message_id AND coalesce(m.reply_to_peer_id, m.peer_id) = m.peer_id AS self FROM messages m LEFT JOIN messages t ON t.peer_id = coalesce(m.reply_to_peer_id, m.peer_id) AND t.message_id = m.reply_to_msg_id LEFT JOIN peers p ON p.peer_id = coalesce(m.reply_to_peer_id, m.peer_id) WHERE m.reply_to_msg_id IS NOT NULL)"
 R14 = [
-    ("REPLY_SELF_REFERENCE", "replies", "warning", "SELECT * FROM rp WHERE self"), ("REPLY_TARGET_UNAVAILABLE", "replies", "info", "SELECT * FROM rp WHERE NOT self AND state = 'deleted'"),
-    ("REPLY_TARGET_MISSING", "replies", "warning", "SELECT * FROM rp WHERE NOT self AND state IS NULL AND known"), ("REPLY_TARGET_OUT_OF_SCOPE", "replies", "info", "SELECT * FROM rp WHERE NOT self AND state IS NULL AND NOT known"),
+    ("REPLY_SELF_REFERENCE", "reply_graph", "error", "SELECT * FROM rp WHERE self"), ("REPLY_TARGET_UNAVAILABLE", "reply_graph", "info", "SELECT * FROM rp WHERE NOT self AND state = 'deleted'"),
+    ("REPLY_TARGET_MISSING", "reply_graph", "warning", "SELECT * FROM rp WHERE NOT self AND state IS NULL AND known"), ("REPLY_TARGET_OUT_OF_SCOPE", "reply_graph", "warning", "SELECT * FROM rp WHERE NOT self AND state IS NULL AND NOT known"),
 ]
 EVERY = f"WITH {MATCH_SQL}, {REPLIES_SQL}, codes AS ({_sql_rules(*R2, *R3, *R4, *R5, *R11, *R12, *R14)})"
 
@@ -80,13 +81,13 @@ def _(a):
     return _codes(audit.audit(_tables(a), ("chronology",)))
 
 
-@query("r5_state", _sql_rules(("MESSAGE_STATE_INVALID", "state", "error", "SELECT * FROM messages WHERE message_id % 17 = 0"), ("MESSAGE_EMPTY_CONFLATION", "state", "warning", "SELECT * FROM messages WHERE message_id % 17 <> 0 AND message_id % 19 = 0 AND text IS NOT NULL")))
+@query("r5_state", _sql_rules(("MESSAGE_STATE_INVALID", "message_state", "error", "SELECT * FROM messages WHERE message_id % 17 = 0"), ("MESSAGE_EMPTY_CONFLATION", "message_state", "info", "SELECT * FROM messages WHERE message_id % 17 <> 0 AND message_id % 19 = 0 AND text IS NOT NULL")))
 def _(a):
     rows = a.messages.withColumn("state", F.when(F.col("message_id") % 17 == 0, "broken").when(F.col("message_id") % 19 == 0, "empty").otherwise(F.col("state")))
     return _codes(audit.audit(audit.Tables(messages=rows), ("state",)))
 
 
-@query("r6_revisions", _sql_rules(("REVISION_ORDER_INVALID", "revisions", "error", "SELECT * FROM (SELECT peer_id, message_id, date - views * 100000 AS d, lag(date - views * 100000) OVER (PARTITION BY peer_id, message_id ORDER BY seq) AS b FROM feed WHERE kind = 'edit') WHERE b > d")))
+@query("r6_revisions", _sql_rules(("REVISION_ORDER_INVALID", "revision", "error", "SELECT * FROM (SELECT peer_id, message_id, date - views * 100000 AS d, lag(date - views * 100000) OVER (PARTITION BY peer_id, message_id ORDER BY seq) AS b FROM feed WHERE kind = 'edit') WHERE b > d")))
 def _(a):
     return _codes(audit.audit(audit.Tables(revisions=_revisions(a)), ("revisions",)))
 
@@ -100,26 +101,26 @@ def _with_entities(a):
     return a.messages.where("text is not null").withColumn("entities_json", said)
 
 
-@query("r7_entities", _sql_rules(*((code, "entities", severity, f"SELECT * FROM messages WHERE text IS NOT NULL AND message_id % 6 = {k}") for code, severity, k in (("ENTITY_UTF16_OUT_OF_BOUNDS", "error", 1), ("ENTITY_NEGATIVE_BOUNDS", "error", 2), ("ENTITY_MISSING_BOUNDS", "warning", 2), ("ENTITIES_NOT_ARRAY", "error", 3), ("ENTITIES_JSON_MALFORMED", "error", 4)))))
+@query("r7_entities", _sql_rules(*((code, "entity", "error", f"SELECT * FROM messages WHERE text IS NOT NULL AND message_id % 6 = {k}") for code, k in (("ENTITY_UTF16_OUT_OF_BOUNDS", 1), ("ENTITY_NEGATIVE_BOUNDS", 2), ("ENTITY_MISSING_BOUNDS", 2), ("ENTITIES_NOT_ARRAY", 3), ("ENTITIES_JSON_MALFORMED", 4)))))
 def _(a):
     return _codes(audit.audit(audit.Tables(messages=_with_entities(a)), ("entities",)))
 
 
-@query("r8_payload", _sql_rules(("TL_MALFORMED_BYTES", "payload", "error", "SELECT * FROM messages WHERE message_id % 10 = 3")))
+@query("r8_payload", _sql_rules(("TL_MALFORMED_BYTES", "service_message", "error", "SELECT * FROM messages WHERE message_id % 10 = 3")))
 def _(a):
     raw = F.when(F.col("message_id") % 10 == 3, F.unhex(F.lit("0102"))).otherwise(F.unhex(F.lit("0102030405")))
     return _codes(audit.audit(audit.Tables(messages=a.messages.withColumn("raw", raw)), ("payload",)))
 
 
-@query("r9_sync_state", _sql_rules(("PEER_SYNC_UNCERTAIN", "sync", "warning", "SELECT DISTINCT peer_id FROM feed WHERE peer_id % 3 = 0"), ("SYNC_STATE_NEGATIVE_SEQUENCE", "sync", "error", "SELECT DISTINCT peer_id FROM feed WHERE peer_id % 5 = 0")))
+@query("r9_sync_state", _sql_rules(("PEER_SYNC_UNCERTAIN", "sync_state", "warning", "SELECT DISTINCT peer_id FROM feed WHERE peer_id % 3 = 0"), ("SYNC_STATE_NEGATIVE_SEQUENCE", "sync_state", "error", "SELECT DISTINCT peer_id FROM feed WHERE peer_id % 5 = 0")))
 def _(a):
     rows = a.feed.select("peer_id").distinct().select("peer_id", F.when(F.col("peer_id") % 5 == 0, -1).otherwise(1).alias("pts"), (F.col("peer_id") % 3 == 0).alias("uncertain"))
     return _codes(audit.audit(audit.Tables(sync_state=rows), ("sync_state",)))
 
 
 @query("r10_events_backlog", _sql_rules(
-    ("UNSUPPORTED_STATE_AFFECTING_UPDATE", "events", "error", "SELECT * FROM feed WHERE views = 7"), ("UNSUPPORTED_UPDATE_RECORDED", "events", "info", "SELECT * FROM feed WHERE views = 8"),
-    ("QUEUE_CHANNEL_BLOCKED", "backlog", "error", "SELECT * FROM peers WHERE peer_type = 'channel' AND peer_id % 5 = 0"), ("QUEUE_CHANNEL_PENDING", "backlog", "warning", "SELECT * FROM peers WHERE peer_type = 'channel' AND peer_id % 5 <> 0")))
+    ("UNSUPPORTED_STATE_AFFECTING_UPDATE", "unsupported_update", "warning", "SELECT * FROM feed WHERE views = 7"), ("UNSUPPORTED_UPDATE_RECORDED", "unsupported_update", "info", "SELECT * FROM feed WHERE views = 8"),
+    ("QUEUE_CHANNEL_BLOCKED", "queue", "warning", "SELECT * FROM peers WHERE peer_type = 'channel' AND peer_id % 5 = 0"), ("QUEUE_CHANNEL_PENDING", "queue", "info", "SELECT * FROM peers WHERE peer_type = 'channel' AND peer_id % 5 <> 0")))
 def _(a):
     events = a.feed.where("views in (7, 8)").select("peer_id", "event_id", (F.col("views") == 7).alias("affects_state"))
     backlog = a.peers.where("peer_type = 'channel'").select("peer_id", F.when(F.col("peer_id") % 5 == 0, "blocked").otherwise("pending").alias("status"))
@@ -136,7 +137,7 @@ def _(a):
     return _codes(audit.audit(_tables(a), ("media_files",)))
 
 
-@query("r13_paths", "SELECT code, 'paths' AS category, 'critical' AS severity, count(*) AS n FROM (SELECT CASE CAST(substr(media_id, 5) AS BIGINT) % 5 WHEN 0 THEN 'PATH_ABSOLUTE_ESCAPE' WHEN 1 THEN 'PATH_WINDOWS_DRIVE_ESCAPE' WHEN 2 THEN 'PATH_TRAVERSAL_ESCAPE' WHEN 3 THEN 'PATH_TRAVERSAL_ESCAPE' END AS code FROM media_objects) WHERE code IS NOT NULL GROUP BY code")
+@query("r13_paths", "SELECT code, 'filesystem' AS category, 'error' AS severity, count(*) AS n FROM (SELECT CASE CAST(substr(media_id, 5) AS BIGINT) % 5 WHEN 0 THEN 'PATH_ABSOLUTE_ESCAPE' WHEN 1 THEN 'PATH_WINDOWS_DRIVE_ESCAPE' WHEN 2 THEN 'PATH_TRAVERSAL_ESCAPE' WHEN 3 THEN 'PATH_TRAVERSAL_ESCAPE' END AS code FROM media_objects) WHERE code IS NOT NULL GROUP BY code")
 def _(a):
     k = F.substring("media_id", 5, 20).cast("long") % 5
     path = F.when(k == 0, "/etc/x").when(k == 1, "C:\\x").when(k == 2, "media/../../x").when(k == 3, "media\\..\\x").otherwise("media/..x/y")
@@ -163,8 +164,8 @@ SHARDS_SQL = "sh AS (SELECT CAST(floor((row_number() OVER (ORDER BY peer_id, mes
 
 
 @query("r15_search_index", f"WITH {SHARDS_SQL} " + _sql_rules(
-    ("SEARCH_SHARD_MISSING", "search_index", "error", "SELECT * FROM ss WHERE shard_id % 7 <> 3 AND shard_id % 11 = 1"), ("SEARCH_UNDECLARED_SHARD", "search_index", "warning", "SELECT * FROM ss WHERE shard_id % 7 = 3 AND shard_id % 11 <> 1"),
-    ("SEARCH_SHARD_ENTRIES_MISMATCH", "search_index", "error", "SELECT * FROM ss WHERE shard_id % 7 <> 3 AND shard_id % 11 <> 1 AND shard_id % 5 = 0"), ("SEARCH_PREFIX_INDEX_OUT_OF_BOUNDS", "search_index", "error", "SELECT * FROM ss WHERE shard_id % 7 = 3")))
+    ("SEARCH_SHARD_MISSING", "search", "error", "SELECT * FROM ss WHERE shard_id % 7 <> 3 AND shard_id % 11 = 1"), ("SEARCH_UNDECLARED_SHARD", "search", "warning", "SELECT * FROM ss WHERE shard_id % 7 = 3 AND shard_id % 11 <> 1"),
+    ("SEARCH_SHARD_ENTRIES_MISMATCH", "search", "error", "SELECT * FROM ss WHERE shard_id % 7 <> 3 AND shard_id % 11 <> 1 AND shard_id % 5 = 0"), ("SEARCH_PREFIX_INDEX_OUT_OF_BOUNDS", "search", "error", "SELECT * FROM ss WHERE shard_id % 7 = 3")))
 def _(a):
     return _codes(audit.audit(_index(a), ("search_index",)))
 
@@ -174,10 +175,20 @@ def _(a):
     return _codes(audit.audit(_tables(a)))
 
 
-@query("t4_sort_findings", f"{EVERY} SELECT code, severity, n FROM codes WHERE severity IN ('critical', 'error')")
+@query("t4_sort_findings", f"""
+WITH f AS (SELECT * FROM (SELECT 'fatal' AS severity, 'schema' AS category, 'REQUIRED_TABLE_MISSING' AS code, NULL::BIGINT AS peer_id, NULL::BIGINT AS message_id, 'edges' AS subject) UNION ALL
+ SELECT 'warning', 'identity', 'UNKNOWN_PEER_TYPE', peer_id, NULL, 'peer_type' FROM peers WHERE peer_type = 'channel' UNION ALL
+ SELECT 'error', 'reply_graph', 'REPLY_SELF_REFERENCE', peer_id, message_id, NULL FROM messages WHERE reply_to_msg_id = message_id AND coalesce(reply_to_peer_id, peer_id) = peer_id UNION ALL
+ SELECT 'error', 'message_state', 'MESSAGE_STATE_INVALID', peer_id, message_id, 'odd' FROM messages WHERE message_id % 17 = 0)
+SELECT row_number() OVER (ORDER BY list_position(['fatal', 'error', 'warning', 'info'], severity), list_position({list(audit.CATEGORIES)}, category), peer_id NULLS FIRST, message_id NULLS FIRST, subject NULLS FIRST, code) AS place, severity, category, code, peer_id, message_id FROM f
+""")
 def _(a):
-    found = audit.sort_findings(audit.audit(_tables(a)))
-    return found.where("severity in ('critical', 'error')").groupBy("code", "severity").agg(F.count("*").alias("n"))
+    """Places are numbered as the rows come, in ranges of the sort: the order itself is compared."""
+    odd = a.messages.where("message_id % 17 = 0").withColumn("state", F.lit("odd"))
+    found = audit.audit(audit.Tables(messages=odd), ("state",)).unionByName(audit.finding(graph.self_replies(a.messages), "REPLY_SELF_REFERENCE", "peer_id", "message_id"))
+    found = found.unionByName(audit.finding(a.peers.where("peer_type = 'channel'"), "UNKNOWN_PEER_TYPE", "peer_id", subject=F.lit("peer_type")))
+    found = found.unionByName(audit.schema_findings(a.spark, {"edges": []}, {}, 5, 5))
+    return numbered(audit.sort_findings(found), "place").select("place", "severity", "category", "code", "peer_id", "message_id")
 
 
 @query("a12_finding_counts", f"{EVERY}, c AS (SELECT unnest({list(audit.CATEGORIES)}) AS category), s AS (SELECT unnest({list(audit.SEVERITIES)}) AS severity) SELECT c.category, s.severity, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM c CROSS JOIN s LEFT JOIN codes USING (category, severity) GROUP BY ALL")
@@ -190,28 +201,39 @@ def _(a):
     return joins.match_files(_files(a), a.media).groupBy("result").agg(F.count("*").alias("n"))
 
 
-@query("h10_overall_status", "SELECT 'failed' AS status, 2 AS exit_code")
+@query("h10_overall_status", f"{EVERY}, c AS (SELECT coalesce(sum(n) FILTER (WHERE severity = 'error'), 0) AS e, coalesce(sum(n) FILTER (WHERE severity = 'warning'), 0) AS w FROM codes) SELECT CASE WHEN e > 0 THEN 'errors' WHEN w > 0 THEN 'warnings' ELSE 'passed' END AS status, CASE WHEN e > 0 THEN 2 WHEN w > 0 THEN 1 ELSE 0 END AS exit_code FROM c")
 def _(a):
     return audit.overall_status(audit.audit(_tables(a)))
 
 
-ACTIONS_SQL = "ac AS (SELECT * FROM (VALUES " + ", ".join(f"('{code}', '{action}', '{risk}')" for action, (risk, codes) in audit.ACTIONS.items() for code in codes) + ") v(code, action, risk))"
+@query("h10_exit_code", """
+WITH c AS (SELECT count(*) AS w FROM messages WHERE reply_to_msg_id IS NULL AND state = 'edited')
+SELECT CASE WHEN w > 0 THEN 'warnings' ELSE 'passed' END AS status, CASE WHEN w = 0 THEN 0 WHEN strict THEN 2 ELSE 1 END AS exit_code, strict FROM c, (VALUES (false), (true)) s(strict)
+""")
+def _(a):
+    """Warnings alone, strict and not."""
+    warned = audit.finding(a.messages.where("reply_to_msg_id is null and state = 'edited'"), "EDITED_WITHOUT_REVISION_HISTORY", "peer_id", "message_id")
+    return audit.overall_status(warned).withColumn("strict", F.lit(False)).union(audit.overall_status(warned, True).withColumn("strict", F.lit(True)))
 
 
-@query("h11_repair_plan", f"{EVERY}, {ACTIONS_SQL} SELECT action, risk, CAST(sum(n) AS BIGINT) AS n_findings, string_agg(code, ',' ORDER BY code) AS codes FROM codes JOIN ac USING (code) GROUP BY action, risk")
-def _(a):
-    return audit.repair_plan(audit.audit(_tables(a))).withColumn("codes", F.array_join("codes", ","))
+ACTIONS_SQL = "ac AS (SELECT * FROM (VALUES " + ", ".join(f"('{code}', '{action}', '{kind}', '{risk}')" for action, (kind, risk, codes) in audit.ACTIONS.items() for code in codes) + ") v(code, action, kind, risk))"
 
 
-DIMENSION_SQL = "dm AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cs in audit.DIMENSIONS.items() for c in cs) + ") v(dimension, category))"
+@query("h11_repair_plan", f"{EVERY}, {ACTIONS_SQL} SELECT action, kind, risk, CAST(sum(n) AS BIGINT) AS n_affected, string_agg(code, ',' ORDER BY code) AS codes FROM codes JOIN ac USING (code) GROUP BY action, kind, risk")
+def _(a):
+    return audit.repair_plan(audit.audit(_tables(a))).withColumn("codes", F.array_join("codes", ","))
 
 
 @query("h9_completeness", f"""
-{EVERY}, {DIMENSION_SQL}, f AS (SELECT dimension, sum(n) AS n, bool_or(severity IN ('critical', 'error')) AS bad, first(code ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'error' THEN 2 ELSE 3 END, code) AS evidence FROM codes JOIN dm USING (category) WHERE severity <> 'info' GROUP BY dimension)
-SELECT d.dimension, CASE WHEN d.dimension = 'sync' AND n IS NULL THEN 'unknown' WHEN bad THEN 'incomplete' WHEN n > 0 THEN 'degraded' ELSE 'complete' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS n_findings, evidence FROM (SELECT DISTINCT dimension FROM dm) d LEFT JOIN f USING (dimension)
+WITH {MATCH_SQL}, n AS (SELECT (SELECT count(*) FROM media_objects) AS total, count(*) FILTER (WHERE result = 'match') AS good, count(*) FILTER (WHERE result IN ('missing', 'size_mismatch', 'hash_mismatch')) AS bad FROM mt),
+ u AS (SELECT count(*) AS k FROM media_objects WHERE download_status = 'completed' AND verification_status <> 'verified')
+SELECT * FROM (VALUES ('message_history', 'incomplete', 1::BIGINT, 'MESSAGE_WITHOUT_PEER_RECORD'), ('deletion_verification', 'incomplete', 1, 'DELETION_RECONCILIATION_INCOMPLETE'), ('channel_discovery', 'complete', 0, ''), ('sync_uncertainty', 'clean', 0, ''), ('html_export', 'not_applicable', 0, ''), ('search_index', 'not_applicable', 0, '')) v(dimension, status, n_affected, evidence)
+UNION ALL SELECT 'media_binaries', CAST(round(100.0 * good / total, 1) AS DECIMAL(10, 1)) || '%', bad + k, 'MEDIA_FILE_MISSING' FROM n, u
 """)
 def _(a):
-    return audit.completeness(audit.audit(_tables(a)))
+    report = a.feed.agg(F.lit(2).alias("provenance_version"), F.lit(True).alias("deletions_performed"), F.lit(True).alias("deletions_complete"), F.count("*").alias("deletion_gaps"), F.lit(True).alias("channels_complete"))
+    found = audit.completeness(audit.audit(_tables(a)), report, audit.media_metrics(a.media, joins.match_files(_files(a), a.media)))
+    return found.select("dimension", "status", "n_affected", F.array_join("evidence", ",").alias("evidence"))
 
 
 def _pages(a):
@@ -319,7 +341,7 @@ def _(a):
 
 
 @query("d2_reconcile_media", f"""
-WITH {FILES_SQL}, r AS (SELECT m.media_id, m.download_status AS s, CASE WHEN m.local_rel_path IS NULL OR f.rel_path IS NULL THEN 'missing' WHEN m.size_bytes <> f.length THEN 'size_mismatch' WHEN m.sha256 <> f.sha256 THEN 'hash_mismatch' ELSE 'match' END AS result FROM media_objects m LEFT JOIN fl f ON f.rel_path = m.local_rel_path WHERE m.download_status IN ('downloading', 'completed'))
+WITH {FILES_SQL}, r AS (SELECT m.media_id, m.download_status AS s, CASE WHEN m.local_rel_path IS NULL OR f.rel_path IS NULL THEN 'missing' WHEN m.size_bytes <> f.length THEN 'size_mismatch' WHEN m.verification_status <> 'verified' THEN 'unverified' WHEN f.sha256 IS NULL THEN 'unreadable' WHEN m.sha256 <> f.sha256 THEN 'hash_mismatch' ELSE 'match' END AS result FROM media_objects m LEFT JOIN fl f ON f.rel_path = m.local_rel_path WHERE m.download_status IN ('downloading', 'completed'))
 SELECT media_id, CASE WHEN result = 'match' THEN 'completed' WHEN s = 'downloading' OR result = 'missing' THEN 'pending' ELSE 'completed' END AS download_status, CASE result WHEN 'match' THEN 'verified' WHEN 'size_mismatch' THEN 'corrupted_size' WHEN 'hash_mismatch' THEN 'corrupted_hash' ELSE 'missing_file' END AS verification_status FROM r
 """)
 def _(a):

@@ -219,10 +219,10 @@ def _(a):
 
 @query("j15_match_files", """
 WITH f AS (SELECT CAST(p_partkey AS VARCHAR) || '.bin' AS path, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'media/' ELSE '' END || CAST(p_partkey AS VARCHAR) || '.bin' AS rel_path FROM part WHERE p_partkey % 4 <> 0),
- m AS (SELECT replace(local_rel_path, 'media/', '') AS path, media_id, size_bytes, sha256 FROM media_objects WHERE download_status = 'completed' AND local_rel_path IS NOT NULL)
+ m AS (SELECT replace(local_rel_path, 'media/', '') AS path, media_id, size_bytes, sha256, verification_status FROM media_objects WHERE download_status = 'completed' AND local_rel_path IS NOT NULL)
 SELECT coalesce(m.path, f.path) AS path, m.media_id, f.rel_path,
  CASE WHEN m.media_id IS NULL THEN CASE WHEN f.p_partkey % 2 = 0 THEN 'orphan_part' ELSE 'orphan_file' END WHEN f.rel_path IS NULL THEN 'missing'
-  WHEN m.size_bytes <> 10240 THEN 'size_mismatch' WHEN m.sha256 <> 'h' || CAST(f.p_partkey % 250 AS VARCHAR) THEN 'hash_mismatch' ELSE 'match' END AS result
+  WHEN m.size_bytes <> 10240 THEN 'size_mismatch' WHEN m.verification_status <> 'verified' THEN 'unverified' WHEN m.sha256 <> 'h' || CAST(f.p_partkey % 250 AS VARCHAR) THEN 'hash_mismatch' ELSE 'match' END AS result
 FROM m FULL JOIN f ON m.path = f.path
 """)
 def _(a):
