@@ -67,11 +67,12 @@ def short_time(date: str) -> Column:
 
 
 def date_bound(text: str | Column, is_end: bool) -> Column:
-    """Epoch seconds of YYYY-MM-DD (its last second for an end) or of a timestamp; null if it is neither."""
-    t = F.col(text) if isinstance(text, str) else text
-    day = F.unix_timestamp(F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t), F.lit("yyyy-MM-dd")))
-    full = F.unix_timestamp(F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), t)))
-    return F.coalesce(day + (86399 if is_end else 0), full)
+    """Epoch seconds of YYYY-MM-DD (its last second for an end) or of a timestamp, UTC unless it names an offset; null if it is neither."""
+    t = F.trim(F.col(text) if isinstance(text, str) else text)
+    day = F.unix_date(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t).try_cast("date")).cast("long") * 86400
+    timed = F.regexp_replace(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), t), r"^(\S+[T ]\d{1,2}:\d{1,2})(?=$|[Z+-])", "$1:00")
+    zoned = F.when(timed.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), timed).otherwise(F.concat(timed, F.lit("Z")))
+    return F.coalesce(day + (86399 if is_end else 0), F.unix_timestamp(zoned.try_cast("timestamp")))
 
 
 def _first_bytes(digest: Column) -> Column:

@@ -108,3 +108,32 @@ PLAIN_EMOJI = "\u2764\u263a\u2639\u2600\u270c\u270b\u270d\u2763\u26a1\u2601\u261
 
 def normalize_emoji(emoji: str | Column) -> Column:
     return F.regexp_replace(_c(emoji), f"([{PLAIN_EMOJI}])(?!\ufe0f)", "$1\ufe0f")
+
+
+def base_sender_name(name: str | Column) -> Column:
+    """A sender's name without the bot that it wrote through."""
+    return F.trim(F.substring_index(_c(name), " via @", 1))
+
+
+#: Fixed value: what a suggested photo's service text says.
+SUGGESTS = "suggests to use this photo"
+
+
+def is_outgoing(sender_id: str | Column, sender_name: str | Column, text: str | Column, own_id: Column, own_name: Column, contact: Column, personal: Column) -> Column:
+    """Whether the archive's owner wrote a message: by id, by name or the name that the text starts with, and in personal chats by not being the contact."""
+    who, said = base_sender_name(sender_name), F.trim(_c(text))
+    alike = lambda a, b: F.coalesce(F.lower(a) == F.lower(b), F.lit(False))
+    begins = lambda name: F.coalesce(F.startswith(said, name), F.lit(False))
+    known = own_name.isNotNull()
+    return (
+        F.when(F.coalesce(_c(sender_id) == own_id, F.lit(False)), True).when(known & alike(who, own_name), True).when(known & alike(who, contact), False)
+        .when(known & begins(own_name), True).when(known & begins(contact), False).when(personal & who.isNotNull() & contact.isNotNull(), ~alike(who, contact))
+        .when(personal & contact.isNotNull() & F.coalesce(F.contains(said, F.lit(SUGGESTS)), F.lit(False)), ~begins(contact)).otherwise(False)
+    )
+
+
+def photo_suggestion_text(text: str | Column, sender_name: str | Column, contact: Column, outgoing: Column) -> Column:
+    """The text of a suggested photo as its reader is told; other texts stay."""
+    mine = F.concat(F.lit("You suggested this photo for "), F.coalesce(contact, F.lit("contact")), F.lit("'s Telegram profile."))
+    theirs = F.concat(F.coalesce(_c(sender_name), contact, F.lit("Contact")), F.lit(" suggested this photo for your Telegram profile."))
+    return F.when(F.contains(_c(text), F.lit(SUGGESTS)), F.when(outgoing, mine).otherwise(theirs)).otherwise(_c(text))

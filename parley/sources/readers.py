@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import carried
 from .schemas import ARCHIVE, EXPORT, UPDATES
 
 
@@ -43,8 +44,13 @@ def scan_media_files(spark: SparkSession, path: str) -> DataFrame:
 
 def discover_exports(spark: SparkSession, root: str) -> DataFrame:
     """Folders with an export, by path: json (result.json) or html (messages.html)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(F.col("path"), root).alias("p"))
-    name, folder = F.regexp_extract("p", "([^/]*)$", 1), F.regexp_replace("p", "/?[^/]*$", "")
+    return classify_exports(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(F.col("path"), root).alias("rel_path")))
+
+
+def classify_exports(files: DataFrame) -> DataFrame:
+    """folder, kind and number of export files of an inventory with rel_path, by folder. A folder with both kinds is JSON."""
+    p = F.col("rel_path")
+    name, folder = F.regexp_extract(p, "([^/]*)$", 1), F.regexp_replace(p, "/?[^/]*$", "")
     kinds = files.select(folder.alias("folder"), F.when(name == "result.json", "json").when(name.rlike(r"^messages\d*\.html$"), "html").alias("kind")).where("kind is not null")
     return kinds.groupBy("folder").agg(F.max("kind").alias("kind"), F.count("*").alias("n_files")).orderBy("folder")
 
@@ -194,22 +200,64 @@ def export_date(text: str) -> Column:
     zone = F.regexp_extract(text, r"([+-]\d{2}):?(\d{2})$", 1)
     minutes = F.regexp_extract(text, r"([+-]\d{2}):?(\d{2})$", 2)
     shift = F.when(zone != "", zone.cast("int") * 3600 + F.when(zone.startswith("-"), -1).otherwise(1) * minutes.cast("int") * 60).otherwise(0)
-    return F.unix_timestamp(F.try_to_timestamp(F.nullif(c, F.lit("")), F.lit("dd.MM.yyyy HH:mm:ss"))) - shift
+    # read as UTC, whatever the session's zone
+    return F.unix_timestamp(F.try_to_timestamp(F.concat(F.nullif(c, F.lit("")), F.lit(" +0000")), F.lit("dd.MM.yyyy HH:mm:ss xx"))) - shift
+
+
+#: Names of the months in date dividers.
+MONTHS = {
+    1: "january jan января январь янв січня січень січ januar janvier enero gennaio", 2: "february feb февраля февраль фев лютого лютий лют februar février fevrier febrero febbraio",
+    3: "march mar марта март мар березня березень бер märz maerz mars marzo", 4: "april apr апреля апрель апр квітня квітень квіт avril abril aprile",
+    5: "may мая май травня травень трав mai mayo maggio", 6: "june jun июня июнь июн червня червень черв juni juin junio giugno",
+    7: "july jul июля июль июл липня липень лип juli juillet julio luglio", 8: "august aug августа август авг серпня серпень серп août aout agosto",
+    9: "september sep sept сентября сентябрь сен сент вересня вересень вер septembre septiembre settembre", 10: "october oct октября октябрь окт жовтня жовтень жовт oktober octobre octubre ottobre",
+    11: "november nov ноября ноябрь ноя нояб листопада листопад лист novembre noviembre", 12: "december dec декабря декабрь дек грудня грудень груд dezember décembre decembre diciembre dicembre",
+}
+#: Words of dividers that say nothing.
+FILLERS = ("de", "г.", "г", "р.", "р", "года", "року", "d'")
+
+
+def date_divider(text: str | Column) -> Column:
+    """Epoch seconds of a divider's day: numbers with the year at either end, or day, month's name and year; null for other texts."""
+    line = F.trim(text)
+    part = F.split(line, "[-./]")
+    number = lambda c: F.when(c.rlike(r"^\d{1,4}$"), c.cast("int"))
+    at = lambda c, n: F.get(c, F.lit(n))
+    first, last = (F.length(at(part, n)) == 4 for n in (0, 2))
+    digits = F.when((F.size(part) == 3) & first, F.struct(number(at(part, 0)).alias("y"), number(at(part, 1)).alias("m"), number(at(part, 2)).alias("d"))).when(
+        (F.size(part) == 3) & last, F.struct(number(at(part, 2)).alias("y"), number(at(part, 1)).alias("m"), number(at(part, 0)).alias("d")))
+    words = F.filter(F.split(line, r"\s+"), lambda w: ~F.lower(w).isin(*FILLERS) & (w != ""))
+    bare = lambda w: F.regexp_replace(w, r"\.+$", "")
+    names = F.create_map(*(F.lit(x) for m, all_ in MONTHS.items() for w in all_.split() for x in (w, m)))
+    spelt = F.when(F.size(words) >= 3, F.struct(number(bare(F.element_at(words, -1))).alias("y"), F.try_element_at(names, F.lower(bare(at(words, 1)))).alias("m"), number(bare(at(words, 0))).alias("d")))
+    found = F.coalesce(F.when((digits["y"] >= 1970) & digits["m"].between(1, 12) & digits["d"].between(1, 31), digits), F.when((spelt["y"] >= 1970) & spelt["d"].between(1, 31), spelt))
+    day = F.try_to_date(F.concat_ws("-", found["y"].cast("string"), found["m"].cast("string"), found["d"].cast("string")), "y-M-d")
+    return F.when(found.isNotNull(), F.unix_date(day).cast("long") * 86400)
 
 
 def read_export_html(spark: SparkSession, root: str, now: int) -> DataFrame:
-    """Messages of HTML exports: pages in order, senders carried over joined rows, dates carried forward.
+    """Messages of the HTML exports below a folder."""
+    return parse_export_pages(read_pages(spark, root), now)
+
+
+def parse_export_pages(pages: DataFrame, now: int) -> DataFrame:
+    """Messages of export pages (page, html): pages in order, senders carried over joined rows, dates (those of dividers too) carried forward.
 
-    Elements are cut out of each page in Python; everything that spans pages is a window per chat.
+    Elements are cut out of each page in Python; what spans pages is carried from one stretch of elements to the next.
     """
-    pages = read_pages(spark, root)
     name = F.regexp_extract("page", r"([^/]*)$", 1)
     pages = pages.where(name.rlike(r"^messages\d*\.html$")).select(F.regexp_replace("page", "/?[^/]*$", "").alias("folder"), F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("int"), F.lit(1)).alias("file_no"), "html")
-    rows = pages.mapInArrow(_elements, _HTML_DDL).where("message_id > 0")
-    order = Window.partitionBy("folder").orderBy("file_no", "elem_no").rowsBetween(Window.unboundedPreceding, 0)
-    date = F.last(export_date("date_text"), ignorenulls=True).over(order)
-    sender = F.last(F.when(~F.col("is_service"), F.col("sender_name")), ignorenulls=True).over(order)
-    rows = rows.withColumns({"date": F.coalesce(date, F.lit(now)).cast("long"), "sender_name": F.when(~F.col("is_service"), F.coalesce("sender_name", F.when(F.col("joined"), sender)))})
+    rows = pages.mapInArrow(_elements, _HTML_DDL).withColumn("_order", F.col("file_no").cast("long") * (1 << 20) + F.col("elem_no"))
+    # dividers have ids that aren't positive, and their text is a day
+    real, order = F.col("message_id") > 0, F.col("_order")
+    date = F.when(real, export_date("date_text")).otherwise(date_divider(F.coalesce("text", F.lit(""))))
+    sender = F.when(real & ~F.col("is_service"), F.col("sender_name"))
+    rows = rows.withColumns({"_date": date, "_sender": sender})
+    last, seen = lambda c: F.last(c, ignorenulls=True), lambda c: (F.max_by(c, F.when(F.col(c).isNotNull(), order)), lambda x: F.last(x, ignorenulls=True))
+    rows, block = carried(rows, ("folder",), "_order", _date_before=seen("_date"), _sender_before=seen("_sender"))
+    sofar = block.rowsBetween(Window.unboundedPreceding, 0)
+    date, sender = F.coalesce(last("_date").over(sofar), F.col("_date_before")), F.coalesce(last("_sender").over(sofar), F.col("_sender_before"))
+    rows = rows.withColumns({"date": F.coalesce(date, F.lit(now)).cast("long"), "sender_name": F.when(~F.col("is_service"), F.coalesce("sender_name", F.when(F.col("joined"), sender)))}).where(real)
     return rows.select("folder", "title", "message_id", "date", "sender_name", "text", F.col("entities").alias("entities_json"), "reply_to_msg_id", "media_path", F.coalesce(F.col("media_path").startswith("("), F.lit(False)).alias("media_skipped"), "is_service")
 
 

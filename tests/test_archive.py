@@ -142,7 +142,7 @@ def test_html_export(spark, tmp_path):
     (tmp_path / "club/messages.html").write_text(PAGE)
     (tmp_path / "club/messages2.html").write_text('<div class="message default clearfix joined" id="message3"><div class="text"> more </div></div>')
     rows = readers.read_export_html(spark, str(tmp_path), 5).orderBy("message_id").collect()
-    assert [(r.message_id, r.sender_name, r.text, r.date, r.reply_to_msg_id) for r in rows] == [(1, "Ann", "Hi you & all", 1706774400, None), (2, "Ann", "again", 1706774400, 1), (3, "Ann", "more", 1706774400, None)]
+    assert [(r.message_id, r.sender_name, r.text, r.date, r.reply_to_msg_id) for r in rows] == [(1, "Ann", "Hi you & all", 1706774400, None), (2, "Ann", "again", 1706774400, 1), (3, "Ann", "more", 1706832000, None)]  # the divider's day
     assert json.loads(rows[0].entities_json) == [{"type": "bold", "offset": 3, "length": 3}]
     assert [(r.folder, r.kind, r.n_files) for r in readers.discover_exports(spark, str(tmp_path)).collect()] == [("club", "html", 2)]
 
@@ -234,3 +234,41 @@ def test_search_index_round_trip(spark, tmp_path):
     wanted = {r.shard_id for r in search.candidate_shards(prefixes, manifest, "word3").collect()}
     brute = {r.shard_id for r in search.score_entries(back, "word3").collect()}
     assert brute <= wanted
+
+
+def test_statuses_and_order_of_findings(spark):
+    rows = [("UNKNOWN_PEER_TYPE", "identity", "warning", 2, None, None, None), ("REQUIRED_TABLE_MISSING", "schema", "fatal", None, None, "t", None), ("PEER_ID_ZERO", "identity", "error", 0, None, None, None), ("MESSAGE_ID_INVALID_RANGE", "identity", "error", None, None, None, None)]
+    found = spark.createDataFrame(rows, "code string, category string, severity string, peer_id long, message_id long, subject string, detail string")
+    assert [r.code for r in audit.sort_findings(found).collect()] == ["REQUIRED_TABLE_MISSING", "MESSAGE_ID_INVALID_RANGE", "PEER_ID_ZERO", "UNKNOWN_PEER_TYPE"]
+    status = lambda df, strict=False: tuple(audit.overall_status(df, strict).first())
+    assert status(found) == ("fatal", 3) and status(found.where("severity <> 'fatal'"), True) == ("errors", 2)
+    warned = found.where("severity = 'warning'")
+    assert status(warned) == ("warnings", 1) and status(warned, True) == ("warnings", 2) and status(found.limit(0), True) == ("passed", 0)
+
+
+def test_files_in_use_are_no_orphans(spark):
+    files = spark.createDataFrame([("media/a.bin.part", 5, "x", True), ("b.bin.part", 5, "x", True), ("c.bin", 5, None, False), ("d.bin", 5, "y", False), ("e.bin", 5, "y", False)], "rel_path string, length long, sha256 string, is_part boolean")
+    media = spark.createDataFrame(
+        [("a", "media/a.bin", "downloading", "unverified", 9, "x"), ("c", "c.bin", "completed", "verified", 0, "x"), ("d", "media/d.bin", "completed", "unverified", 5, "x"), ("e", "e.bin", "completed", "verified", 5, "x"), ("f", "f.bin", "completed", "verified", 5, "x")],
+        "media_id string, local_rel_path string, download_status string, verification_status string, size_bytes long, sha256 string")
+    found = {r.path: r.result for r in joins.match_files(files, media).collect()}
+    assert found == {"a.bin.part": "in_use", "b.bin.part": "orphan_part", "c.bin": "unreadable", "d.bin": "unverified", "e.bin": "hash_mismatch", "f.bin": "missing"}
+
+
+def test_broken_bundles_are_findings(spark):
+    pages = spark.createDataFrame([("a.html", '<i id="t"></i><i id="t"></i><a href="no.html">1</a>'), ("b.html", "")], "page string, html string")
+    anchors = links.extract_anchors(pages)
+    counts = links.bundle_counts(spark.createDataFrame([(1, 0)], "peer_id long, page_no int"), spark.createDataFrame([(1, 2)], "peer_id long, n_pages long"))
+    found = audit.bundle_findings(links.duplicate_anchors(anchors), links.broken_links(links.extract_links(pages), pages, anchors), counts).collect()
+    assert {r.code for r in found} == {"HTML_INTEGRITY_VIOLATION"} and sorted(r.detail for r in found) == ["anchor t", "link no.html", "pages 1"]
+
+
+def test_walks_of_any_length(spark):
+    """A chain longer than the limit, a cycle with a tail, and a message alone, each doubled until it ends."""
+    chain = [(1, k, 1, None, "x", "active", *([k - 1] if k > 1 else [])) for k in range(1, 60)]
+    cycle = [(2, k, 1, None, "x", "active", k % 5 + 1) for k in range(1, 6)] + [(2, 9, 1, None, "x", "active", 3), (2, 10, 1, None, "x", "active")]
+    rows = messages(spark, *chain, *cycle)
+    found = graph.walks(rows, 4)
+    depth = {(r.peer_id, r.message_id): r.depth for r in graph.reply_depth(found).collect()}
+    assert depth == {(1, k): k - 1 for k in range(1, 60)} | {(2, k): None for k in (1, 2, 3, 4, 5, 9)} | {(2, 10): 0}
+    assert [(r.message_id, r.n_members, r.tail_count) for r in graph.reply_cycles(found, rows).collect()] == [(1, 5, 1)]
