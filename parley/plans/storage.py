@@ -15,6 +15,13 @@ from .registry import query
 
 NOW = 1700000000
 NTZ = "timestampadd(SECOND, {0}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+
+
+def _dotted(seconds: str):
+    """dd.mm.yyyy HH:MM:SS of epoch seconds; no session's clock changes get in."""
+    return F.regexp_replace(F.expr(NTZ.format(seconds)).cast("string"), r"^(\d+)-(\d+)-(\d+) ", "$3.$2.$1 ")
+
+
 KEPT = ("peer_id", "message_id", "date", "sender_id", "text", "state", "reply_to_msg_id")
 
 
@@ -67,7 +74,7 @@ def _(a):
     """Pages of twenty messages; every fifth one has a date or a divider before it, and all but a page's first are joined to the one before."""
     rows = windows.assign_pages(windows.assign_pages(a.messages.where("message_id > 0"), 20).withColumnRenamed("page_no", "p20"), 1)
     n = F.col("page_no")
-    dated = F.when(n % 10 == 0, F.concat(F.lit('<div class="pull_right date details" title="'), F.date_format(F.expr(NTZ.format("date + 7200")), "dd.MM.yyyy HH:mm:ss"), F.lit(' UTC+02:00"></div>'))).otherwise("")
+    dated = F.when(n % 10 == 0, F.concat(F.lit('<div class="pull_right date details" title="'), _dotted("date + 7200"), F.lit(' UTC+02:00"></div>'))).otherwise("")
     first = F.col("message_id") == F.min(F.when(~F.col("is_service"), F.col("message_id"))).over(Window.partitionBy("peer_id", "p20"))
     who = F.when(F.col("is_service"), "").when(first, F.concat(F.lit('<div class="from_name">P'), F.col("peer_id").cast("string"), F.lit("</div>"))).otherwise("")
     body = F.concat(F.when(F.col("is_service"), '<div class="body details">').otherwise('<div class="text">'), text.html_escape("text"), F.lit("</div>"))
@@ -202,7 +209,7 @@ def _(a):
     zones = {0: ("UTC+02:00", 7200), 1: ("UTC-03:30", -12600), 2: ("", 0), 3: ("UTC+0000", 0)}
     said = F.lit("yesterday")
     for k, (zone, shift) in zones.items():
-        said = F.when(F.col("message_id") % 5 == k, F.rtrim(F.concat(F.date_format(F.expr(NTZ.format(f"date + ({shift})")), "dd.MM.yyyy HH:mm:ss"), F.lit(f" {zone}")))).otherwise(said)
+        said = F.when(F.col("message_id") % 5 == k, F.rtrim(F.concat(_dotted(f"date + ({shift})"), F.lit(f" {zone}")))).otherwise(said)
     rows = a.messages.withColumn("said", said)
     return rows.select("peer_id", "message_id", readers.export_date("said").alias("date"))
 
