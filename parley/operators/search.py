@@ -76,8 +76,9 @@ def search_texts(messages: DataFrame, query: str, keys: tuple[str, ...] = ("peer
     if not terms:
         return rows.select(*keys, F.lit(0.0).alias("rank")).limit(0)
     hit = lambda word, prefix: lambda t: t.startswith(word) if prefix else t == word
-    rows = rows.where(F.col(text).isNotNull()).select(*keys, folded_tokens(text).alias("_tokens")).where(F.size("_tokens") > 0)
-    rows = rows.select(*keys, F.size("_tokens").alias("_dl"), *(F.size(F.filter("_tokens", hit(*term))).alias(f"_tf{n}") for n, term in enumerate(terms)))
+    # inlined from an array of one, so that a text is split once and not for each count
+    counts = lambda t: F.struct(F.size(t).alias("_dl"), *(F.size(F.filter(t, hit(*term))).alias(f"_tf{n}") for n, term in enumerate(terms)))
+    rows = rows.where(F.col(text).isNotNull()).select(*keys, F.inline(F.transform(F.array(folded_tokens(text)), counts))).where("_dl > 0")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_tf{n}") > 0).alias(f"_df{n}") for n in range(len(terms))))
     found = rows.where(functools.reduce(lambda a, b: a & b, (F.col(f"_tf{n}") > 0 for n in range(len(terms))))).crossJoin(F.broadcast(stats))  # one row
     rank = F.lit(0.0)
