@@ -7,6 +7,7 @@ from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op2_language_id
 from .near_vectors import op8_embedding_near_dedup
 from .packing import op4_lexical_packing
+from .pattern_packing import op13_best_fit_packing
 from .sentencepiece_codec import op5_sentencepiece
 from .substring_dedup import op1_substring_dedup
 from .topk_search import OP7_SQL, op7_topk_search
@@ -17,7 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_toxicity, op4_lexical_packing, op5_sentencepiece, op6_ngram_jaccard_join,
-        op7_topk_search, op8_embedding_near_dedup, op9_chat_format, op10_warc_index,
+        op7_topk_search, op8_embedding_near_dedup, op9_chat_format, op10_warc_index, op13_best_fit_packing,
     )
 }
 
