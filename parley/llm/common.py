@@ -6,11 +6,14 @@ byte, whatever script it belongs to, is part of a word.
 
 A word is hashed eight bytes at a time, each step through a finaliser that is no linear map,
 and a run of words by pairs of its halves: there are no sums of powers that texts of
-a regular build could make equal. Whole texts are told apart by SHA-256 or XXH3-128.
+a regular build could make equal. Operators whose results rest on equal hashes draw a new
+`hash_key` for each call, so that no text can be written whose words collide. Whole texts are
+told apart by SHA-256 or XXH3-128.
 """
 
 from __future__ import annotations
 
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -103,6 +106,11 @@ LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LONG = 64
 
 
+def hash_key() -> int:
+    """A key that nobody knows beforehand, for the word hashes of one call of an operator."""
+    return secrets.randbits(63)
+
+
 def spans_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of the bytes raw[start:end] of every span, eight bytes a step."""
     if not len(starts):
@@ -140,9 +148,12 @@ def runs_hash(values: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a string column: hashes of all words, and where each row's words begin."""
+    """The words of a string column: hashes of all words under a key, and where each row's words begin.
+
+    separator: for each byte, whether it is no part of a word.
+    """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, key: int = 0, separator: np.ndarray = SEPARATOR):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         column = pc.fill_null(column.cast(pa.large_string()), "")
         n = len(column)
@@ -152,7 +163,7 @@ class Words:
         offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
         if lower:
             raw = LOWER[raw]
-        self.raw, self.inside = raw, ~SEPARATOR[raw]
+        self.key, self.raw, self.inside = key, raw, ~separator[raw]
         first, last = self.inside.copy(), self.inside.copy()
         first[1:] &= ~self.inside[:-1]
         last[:-1] &= ~self.inside[1:]
@@ -168,7 +179,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = spans_hash(self.raw, self.bytes_from, self.bytes_to, BYTES)
+            self._hash = spans_hash(self.raw, self.bytes_from, self.bytes_to, BYTES ^ self.key)
         return self._hash
 
     def row_of(self) -> np.ndarray:

@@ -22,7 +22,8 @@ one of their first m + 1 tokens under any fixed order.
    copies thus costs about one comparison each instead of one a pair.
 
 Hot tokens and copies are counted before they are shuffled; joins on them are plain inner joins,
-which adaptive execution splits.
+which adaptive execution splits. Hashes are made under a key that is drawn for each call, so texts can't be
+built to collide; the results don't depend on it.
 """
 
 from __future__ import annotations
@@ -33,23 +34,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lists, mix, scratch, signed, sliced, staged, table, text_rows, unused
+from .common import Words, hash_key, lists, mix, scratch, signed, sliced, staged, table, text_rows, unused
 from .graph import components
 
 
-def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sets(column: pa.Array, k: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, row after row; their numbers; two digests of each row's set.
 
     A set of one shingle is told apart by the shingle's words themselves, larger ones by all their hashes.
     """
-    words = Words(column, lower=True)
+    words = Words(column, lower=True, key=key)
     joined, begins, *_ = words.joined()
     whole = words.left() >= k
     rows, grams = words.row_of()[whole], words.grams(k)[whole]
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
     if len(short):
         rows = np.concatenate([rows, short])
-        grams = np.concatenate([grams, np.array([xxhash.xxh3_64_intdigest(joined[begins[i] : begins[i + 1]]) for i in short], np.uint64)])
+        grams = np.concatenate([grams, np.array([xxhash.xxh3_64_intdigest(joined[begins[i] : begins[i + 1]], key) for i in short], np.uint64)])
     grams = signed(grams)
     order = np.lexsort((grams, rows))
     rows, grams = rows[order], grams[order]
@@ -58,7 +59,7 @@ def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     tokens, sizes = grams[new], np.bincount(rows[new], minlength=len(words.counts))
     ends = np.cumsum(sizes)
     raw = [tokens[e - n : e].tobytes() if n != 1 else b" ".join(joined[begins[i] : begins[i + 1]].split(b" ", k)[:k]) for i, (n, e) in enumerate(zip(sizes.tolist(), ends.tolist()))]
-    return tokens, sizes, np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), np.int64).reshape(-1, 2)
+    return tokens, sizes, np.frombuffer(b"".join(xxhash.xxh3_128_digest(r, key) for r in raw), np.int64).reshape(-1, 2)
 
 
 def _missing(n, num: int, den: int):
@@ -76,49 +77,49 @@ def _pairs(tokens: np.ndarray, following: np.ndarray) -> np.ndarray:
         return signed(mix(tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + following.view(np.uint64)))
 
 
-def _common(docs: DataFrame, k: int, sample: int, least: int = 3, most: int = 200_000) -> np.ndarray:
+def _common(docs: DataFrame, k: int, key: int, sample: int, least: int = 3, most: int = 200_000) -> np.ndarray:
     """Tokens of `least` or more documents of a sample of about `sample`: sorted, at most `most`."""
     share = min(1.0, sample / max(1, docs.count()))
     dice = F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1 << 30)) / (1 << 30)
-    tokens = docs.where(dice < share).mapInArrow(_whole_sets(k), "doc_id long, n long, tokens array<long>").select(F.explode("tokens").alias("token"))
+    tokens = docs.where(dice < share).mapInArrow(_whole_sets(k, key), "doc_id long, n long, tokens array<long>").select(F.explode("tokens").alias("token"))
     found = tokens.groupBy("token").count().where(f"count >= {least}").orderBy(F.desc("count"), "token").limit(most).toPandas()
     return np.sort(found["token"].to_numpy(np.int64))
 
 
-def _scan(k: int):
+def _scan(k: int, key: int):
     def run(batches):
         for batch in sliced(batches):
-            _, sizes, digests = _sets(batch.column("text"), k)
+            _, sizes, digests = _sets(batch.column("text"), k, key)
             yield table({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "s1": pa.array(digests[:, 0]), "s2": pa.array(digests[:, 1])})
 
     return run
 
 
-def _prefixes(k: int, num: int, den: int, combine: bool, common):
+def _prefixes(k: int, key: int, num: int, den: int, combine: bool, common):
     """(s1, key): the keys of each set's prefix."""
 
     def run(batches):
         often = common.value
         for batch in sliced(batches):
-            tokens, sizes, digests = _sets(batch.column("text"), k)
+            tokens, sizes, digests = _sets(batch.column("text"), k, key)
             begins = np.cumsum(sizes) - sizes
             late = often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] == tokens if len(often) else np.zeros(len(tokens), bool)
             ordered = tokens[np.lexsort((late, np.repeat(np.arange(len(sizes)), sizes)))]
             wanted = _missing(sizes, num, den) + 1 + combine * _differ(sizes, num, den)
             take = np.minimum(np.maximum(sizes - combine, 0), wanted)
             at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(begins, take)
-            keys = _pairs(ordered[at], ordered[at + 1]) if combine else ordered[at]
+            entries = _pairs(ordered[at], ordered[at + 1]) if combine else ordered[at]
             s1 = np.repeat(digests[:, 0], take)
-            for a in range(0, max(1, len(keys)), 50_000):
-                yield table({"s1": pa.array(s1[a : a + 50_000]), "key": pa.array(keys[a : a + 50_000])})
+            for a in range(0, max(1, len(entries)), 50_000):
+                yield table({"s1": pa.array(s1[a : a + 50_000]), "key": pa.array(entries[a : a + 50_000])})
 
     return run
 
 
-def _whole_sets(k: int):
+def _whole_sets(k: int, key: int):
     def run(batches):
         for batch in sliced(batches):
-            tokens, sizes, _ = _sets(batch.column("text"), k)
+            tokens, sizes, _ = _sets(batch.column("text"), k, key)
             yield table({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "tokens": lists(tokens, sizes, pa.int64())})
 
     return run
@@ -187,19 +188,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     combine = combinable and combine
     frequent = frequent if combinable else 1 << 60
     spark = docs.sparkSession
-    folder = scratch(spark)
+    folder, key = scratch(spark), hash_key()
     docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    common = spark.sparkContext.broadcast(_common(docs, k, sample))
-    scan = staged(docs.mapInArrow(_scan(k), "doc_id long, n long, s1 long, s2 long"), folder, "scan")
+    common = spark.sparkContext.broadcast(_common(docs, k, key, sample))
+    scan = staged(docs.mapInArrow(_scan(k, key), "doc_id long, n long, s1 long, s2 long"), folder, "scan")
     classes = staged(scan.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), folder, "classes")
 
     # made twice rather than kept: prefixes are a large part of the input's size
-    prefix = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, num, den, combine, common), "s1 long, key long")
+    prefix = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(k, key, num, den, combine, common), "s1 long, key long")
     shared = prefix.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
     shared = staged(shared, folder, "shared")
     candidates = prefix.join(shared, "key").select("s1").distinct().join(classes, "s1").select(F.col("rep").alias("doc_id")).distinct()
     candidates = staged(candidates, folder, "candidates")
-    sets = staged(docs.join(candidates, "doc_id").mapInArrow(_whole_sets(k), "doc_id long, n long, tokens array<long>"), folder, "sets")
+    sets = staged(docs.join(candidates, "doc_id").mapInArrow(_whole_sets(k, key), "doc_id long, n long, tokens array<long>"), folder, "sets")
 
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
     counts = staged(tokens.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), folder, "counts")

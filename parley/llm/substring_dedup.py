@@ -3,7 +3,8 @@
 1. Scan. Every `window`-word window has one anchor: the smallest hash among its
    `anchor`-word phrases. Two equal windows have the same anchor, and about one
    phrase in twenty is an anchor. Anchors found in two documents or more recur.
-2. Confirm. Windows with a recurring anchor are grouped by a 128-bit hash. A window
+2. Confirm. Windows with a recurring anchor are grouped by a 128-bit hash under a key drawn for each
+   call, so that texts can't be built to collide. A window
    in two documents or more belongs to the first of them; a document's consecutive
    such windows form a passage. Its text is kept once. No window is in two passages.
 3. Compile and stream. Documents with recurring anchors are dealt over shards of about
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from .common import FIRST, SECOND, WORD, Words, lists, running_min, scratch, signed, sliced, staged, table, text_rows, unused
+from .common import FIRST, SECOND, WORD, Words, hash_key, lists, running_min, scratch, signed, sliced, staged, table, text_rows, unused
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -51,10 +52,10 @@ def _digests(words: Words) -> list[str]:
     return [hashlib.sha256(joined[a:b]).hexdigest() for a, b in zip(rows.tolist(), rows[1:].tolist())]
 
 
-def _scan(window: int, anchor: int):
+def _scan(window: int, anchor: int, key: int):
     def run(batches):
         for batch in sliced(batches):
-            words = Words(batch.column("text"))
+            words = Words(batch.column("text"), key=key)
             least, whole = _anchors(words, window, anchor)
             rows, values = words.row_of()[whole], least[whole]
             new = np.ones(len(values), bool)
@@ -68,12 +69,12 @@ def _scan(window: int, anchor: int):
     return run
 
 
-def _windows(window: int, anchor: int):
+def _windows(window: int, anchor: int, key: int):
     """(w1, w2, doc_id) of every window with a recurring anchor."""
 
     def run(batches):
         for batch in sliced(batches):
-            words = Words(batch.column("text"))
+            words = Words(batch.column("text"), key=key)
             least, whole = _anchors(words, window, anchor)
             hot = batch.column("hot").flatten().to_numpy(zero_copy_only=False)
             at = np.flatnonzero(whole & np.isin(least, hot))
@@ -87,12 +88,12 @@ def _windows(window: int, anchor: int):
     return run
 
 
-def _passages(window: int, anchor: int):
+def _passages(window: int, anchor: int, key: int):
     """(owner, start, text, anchors) of each run of consecutive owned windows."""
 
     def run(batches):
         for batch in sliced(batches):
-            words = Words(batch.column("text"))
+            words = Words(batch.column("text"), key=key)
             least, whole = _anchors(words, window, anchor)
             joined, _, begins, ends = words.joined()
             grams = signed(words.grams(window, FIRST))
@@ -117,9 +118,9 @@ class Passages:
     Texts are handled as bytes, one character a byte, so that places in them are those of the automaton.
     """
 
-    def __init__(self, owners: np.ndarray, texts: pa.ChunkedArray, window: int):
+    def __init__(self, owners: np.ndarray, texts: pa.ChunkedArray, window: int, key: int = 0):
         self.window, self.half, self.owners = window, window // 2, owners
-        words = Words(texts)
+        words = Words(texts, key=key)
         self.joined, _, self.begins, self.ends = words.joined()
         self.machine = ahocorasick.Automaton()
         for first, end in zip(words.offsets.tolist(), words.offsets[1:].tolist()):
@@ -175,21 +176,21 @@ class Passages:
                 self._compare(joined, begins, ends, a + k, b + k, 1, gone)
 
 
-def _locate(window: int):
+def _locate(window: int, key: int):
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         out = {"doc_id": [], "kept_sha256": [], "n_removed": [], "kept": []}
         if phrases.num_rows:
-            passages, seen = Passages(phrases.column("owner").to_numpy(), phrases.column("phrase"), window), set()
+            passages, seen = Passages(phrases.column("owner").to_numpy(), phrases.column("phrase"), window, key), set()
             for batch in sliced(docs.select(["doc_id", "text"]).to_batches()):
-                words, ids = Words(batch.column("text")), batch.column("doc_id").to_numpy()
+                words, ids = Words(batch.column("text"), key=key), batch.column("doc_id").to_numpy()
                 gone, joined, rows, _ = passages.repeated(words, ids)
                 for i in np.unique(words.row_of()[gone]).tolist():
                     text = joined[rows[i] : rows[i + 1]]
-                    key = int(ids[i]), hashlib.sha256(text).hexdigest()
-                    if key not in seen:
-                        seen.add(key)
+                    own = int(ids[i]), hashlib.sha256(text).hexdigest()
+                    if own not in seen:
+                        seen.add(own)
                         lost = gone[words.offsets[i] : words.offsets[i + 1]]
-                        for name, value in zip(out, (*key, int(lost.sum()), b" ".join(itertools.compress(text.split(b" "), (~lost).tolist())).decode())):
+                        for name, value in zip(out, (*own, int(lost.sum()), b" ".join(itertools.compress(text.split(b" "), (~lost).tolist())).decode())):
                             out[name].append(value)
         return pa.table(out, pa.schema([("doc_id", pa.int64()), ("kept_sha256", pa.string()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
@@ -206,9 +207,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing. Other columns of docs don't matter. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    folder = scratch(spark)
+    folder, key = scratch(spark), hash_key()
     docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    scan = staged(docs.mapInArrow(_scan(window, anchor), "doc_id long, n_words long, kept_sha256 string, anchors array<long>"), folder, "scan")
+    scan = staged(docs.mapInArrow(_scan(window, anchor, key), "doc_id long, n_words long, kept_sha256 string, anchors array<long>"), folder, "scan")
 
     first = scan.where("doc_id is not null and n_words > 0").groupBy("kept_sha256").agg(F.min("doc_id").alias("first_id"), F.min_by("anchors", "doc_id").alias("anchors"))
     first = staged(first, folder, "first")
@@ -219,15 +220,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(1, -(-(some.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     some = some.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
 
-    windows = some.select("doc_id", "text", "hot").mapInArrow(_windows(window, anchor), "w1 long, w2 long, doc_id long")
+    windows = some.select("doc_id", "text", "hot").mapInArrow(_windows(window, anchor, key), "w1 long, w2 long, doc_id long")
     owned = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi")).where("doc_id < hi")
     owned = owned.groupBy("doc_id").agg(F.collect_list("w1").alias("owned"))
-    passages = staged(some.select("doc_id", "text").join(owned, "doc_id").mapInArrow(_passages(window, anchor), "owner long, start int, text string, anchors array<long>"), folder, "passages")
+    passages = staged(some.select("doc_id", "text").join(owned, "doc_id").mapInArrow(_passages(window, anchor, key), "owner long, start int, text string, anchors array<long>"), folder, "passages")
 
     reached = some.select("shard", F.explode("hot").alias("a")).distinct()
     routes = passages.select("owner", "start", F.explode("anchors").alias("a")).join(reached, "a").select("shard", "owner", "start").distinct()
     phrases = routes.join(passages.select("owner", "start", "text"), ["owner", "start"]).select(F.col("shard").alias("part"), "owner", F.col("text").alias("phrase"))
-    found = some.select("shard", "doc_id", "text").groupBy("shard").cogroup(phrases.groupBy("part")).applyInArrow(_locate(window), "doc_id long, kept_sha256 string, n_removed long, kept string")
+    found = some.select("shard", "doc_id", "text").groupBy("shard").cogroup(phrases.groupBy("part")).applyInArrow(_locate(window, key), "doc_id long, kept_sha256 string, n_removed long, kept string")
     found = staged(found.select("doc_id", "kept_sha256", "n_removed", F.sha2("kept", 256).alias("new_sha256"), *(["kept"] if with_text else [])), folder, "found")
 
     copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_words") >= window)

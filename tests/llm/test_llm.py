@@ -469,3 +469,48 @@ def test_pipeline_keeps_clean_documents(spark):
     assert toxic.join(kept, "doc_id", "left_anti").count() <= 0.02 * toxic.count()
     packed = corpus_pipeline.packing(spark, rows, DATA)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+def colliding(n):
+    """Words of 16 bytes whose hashes are equal under the public constants alone, without a key."""
+    from parley.llm import common
+
+    first = np.frombuffer("".join(f"{k:08x}" for k in range(2 * n)).encode(), np.uint8).reshape(-1, 8).view("<u8").ravel()
+    h = common.mix(first ^ (np.uint64(16) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(common.BYTES))) * np.uint64(common.BYTES)
+    a, b = h[:n], h[n:]
+    return [(x.tobytes() + u.tobytes(), y.tobytes() + (u ^ p ^ q).tobytes()) for x, y, p, q, u in zip(first[:n], first[n:], a, b, np.full(n, np.uint64(0x6161616161616161)))]
+
+
+def test_hashes_are_keyed():
+    from parley.llm.common import spans_hash
+
+    ends = np.array([16, 32])
+    for left, right in colliding(20):
+        raw = np.frombuffer(left + right, np.uint8)
+        for key, same in ((0, True), (1, False), (0x1234567, False)):
+            a, b = spans_hash(raw, ends - 16, ends, 0x5851F42D4C957F2D ^ key)
+            assert (a == b) == same
+
+
+#: fixed values: words that collide under the hash without a key
+COLLIDING = ("dffxktqn!!!!!;!!", '1l5j414z1blo)["`')
+
+
+def test_texts_of_colliding_words(spark):
+    pairs = []
+    for left, right in colliding(20_000):
+        if all(byte >= 0x21 and byte < 0x7F for byte in right):
+            pairs.append((left.decode(), right.decode()))
+    pairs.append(COLLIDING)
+    one, other = (" ".join(p[k] for p in pairs for _ in range(60)) for k in (0, 1))
+    table = docs(spark, one, other, other)
+    found = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(table).collect()}
+    assert found == {0: 0, 1: 1, 2: 1}
+    mine = " ".join(words(60, 77))
+    table = docs(spark, one, f"{mine} {other}", f"{other} {mine}")
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(table).collect()) == brute_repeats([one, f"{mine} {other}", f"{other} {mine}"], 50)
+
+
+def test_similar_documents_of_an_empty_table(spark):
+    assert jaccard_join.similar_documents(docs(spark)).collect() == []
+    assert jaccard_join.one_per_group(docs(spark)).collect() == []
