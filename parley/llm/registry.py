@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .block_search import OP11_SQL, op11_ranked_search
 from .chat_format import OP9_SQL, op9_chat_format
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op2_language_id
@@ -18,8 +19,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_toxicity, op4_lexical_packing, op5_sentencepiece, op6_ngram_jaccard_join,
-        op7_topk_search, op8_embedding_near_dedup, op9_chat_format, op10_warc_index, op13_best_fit_packing,
+        op7_topk_search, op8_embedding_near_dedup, op9_chat_format, op10_warc_index, op11_ranked_search, op13_best_fit_packing,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_topk_search": OP7_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_topk_search": OP7_SQL, "op9_chat_format": OP9_SQL, "op11_ranked_search": OP11_SQL}
