@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from . import changes, conversation, extras, feeds, integrity, relational, retrieval, storage  # noqa: E402, F401  they register themselves
+from . import changes, conversation, extras, feeds, integrity, relational, retrieval, storage, streams  # noqa: E402, F401  they register themselves

@@ -44,9 +44,17 @@ def _declared(name: str, table: DataFrame) -> DataFrame:
     return table.select(*(F.col(c).cast(types[c]) if c in types else F.col(c) for c in table.columns))
 
 
-def write_archive(tables: dict[str, DataFrame], folder: str, batch_id: str | None = None) -> str:
+def current_version(spark: SparkSession, folder: str) -> tuple[str, dict[str, int]]:
+    """The archive's current version, and its ledger: the last batch that each feed has put into it."""
+    lines = [r[0].strip() for r in spark.read.text(f"{folder}/CURRENT", wholetext=True).selectExpr("explode(split(value, '\\n'))").collect()]
+    return lines[0], {feed: int(batch) for feed, batch in (line.rsplit(" ", 1) for line in lines[1:] if line)}
+
+
+def write_archive(tables: dict[str, DataFrame], folder: str, batch_id: str | None = None, ledger: dict[str, int] | None = None) -> str:
     """A new version of the archive; readers see it when all its tables are there. The version's name.
 
+    ledger: the last batch of each feed that the version holds.
+
     Tables with a peer_id are clustered by it, so that a chat's rows lie in few files and row groups.
     """
     version = f"v-{batch_id or uuid.uuid4().hex}"
@@ -57,7 +65,7 @@ def write_archive(tables: dict[str, DataFrame], folder: str, batch_id: str | Non
         rows = table.repartitionByRange("peer_id", *(["message_id"] if "message_id" in table.columns else [])).sortWithinPartitions("peer_id") if "peer_id" in table.columns else table
         rows.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
     if spark is not None:
-        _put(spark, f"{folder}/CURRENT", version)
+        _put(spark, f"{folder}/CURRENT", "\n".join([version, *(f"{feed} {batch}" for feed, batch in (ledger or {}).items())]))
     return version
 
 
@@ -84,9 +92,9 @@ def write_report(findings: DataFrame, summary: DataFrame, folder: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
 
-def append(rows: DataFrame, folder: str, batch_id: int | None = None) -> None:
-    """Append to a log; a batch that was appended before replaces itself."""
+def append(rows: DataFrame, folder: str, batch_id: int | None = None, stream: str | None = None) -> None:
+    """Append to a log; a batch of a stream that was appended before replaces itself."""
     if batch_id is None:
         rows.write.mode("append").parquet(folder)
     else:
-        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{folder}/{f'stream={stream}/' if stream else ''}batch={batch_id}")

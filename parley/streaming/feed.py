@@ -1,19 +1,21 @@
 """Change feeds as Structured Streaming jobs over a versioned archive.
 
 A batch is applied as a whole: the new version of the tables is written, then the
-pointer moves. The version's name carries the batch id, so a batch that runs again after a crash
-finds its work done or does all of it anew.
+pointer moves. The version's name carries the feed and the batch id, and the pointer a ledger of each feed's last
+batch, so a batch that runs again after a crash finds its work done or does all of it anew.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import merge as m
 from ..sources.readers import read_archive
 from ..sources.schemas import ARCHIVE
-from ..sources.writers import append, has_table, write_archive
+from ..sources.writers import append, current_version, has_table, write_archive
 
 
 def dedupe_updates(updates: DataFrame, keys: tuple[str, ...] = ("peer_id", "message_id", "seq"), time: str = "event_time", late: str = "1 day") -> DataFrame:
@@ -46,6 +48,22 @@ def freeze_on_unsupported(updates: DataFrame, frozen: DataFrame | None = None) -
     return ready, updates.where("kind = 'unsupported'")
 
 
+def apply_ready(tables: dict[str, DataFrame], ready: DataFrame, *order: str) -> dict[str, DataFrame]:
+    """peers, messages and message_revisions after events that may be applied, a chat's in the order of those columns."""
+    at = F.struct(*order)
+    versions = ready.where("kind in ('new', 'edit')").withColumn("_at", at)
+    numbered = versions.withColumn("seq", F.row_number().over(Window.partitionBy("peer_id", "message_id").orderBy("_at")).cast("long"))
+    # events don't have all columns of a message: what they lack stays, and makes no revision
+    columns = [c for c in tables["messages"].columns if c in numbered.columns]
+    numbered = numbered.select(*columns, "seq")
+    _, revisions = m.merge_messages(tables["messages"].select(*columns), numbered)
+    messages = m.merge(tables["messages"], m.last_change(numbered, ["peer_id", "message_id"], ["seq"]).drop("seq"), ["peer_id", "message_id"], m.MESSAGES)
+    last = ready.where("kind in ('new', 'edit', 'delete') and message_id is not null").groupBy("peer_id", "message_id").agg(F.max_by("kind", at).alias("kind"))
+    messages = m.mark_deleted(messages, last.where("kind = 'delete'"))
+    peers = m.last_change(ready.where("peer is not null").select("peer.*", *order), ["peer_id"], list(order)).drop(*order)
+    return {"peers": m.merge_peers(tables["peers"], peers), "messages": messages, "message_revisions": revisions}
+
+
 def apply_update_slice(tables: dict[str, DataFrame], updates: DataFrame) -> dict[str, DataFrame]:
     """peers, messages, message_revisions, sync_state, unsupported_events and pending_updates after a batch of events in order of (slice_id, seq).
 
@@ -57,19 +75,12 @@ def apply_update_slice(tables: dict[str, DataFrame], updates: DataFrame) -> dict
     frozen = tables["sync_state"].where("uncertain").select("peer_id")
     ready, _ = freeze_on_unsupported(events, frozen)
     waiting = _stopped(events, frozen).where(f"not ({READY})").drop("blocked_from")
-    order = F.struct("slice_id", "seq")
-    versions = ready.where("kind in ('new', 'edit')").withColumn("_at", order)
-    numbered = versions.withColumn("seq", F.row_number().over(Window.partitionBy("peer_id", "message_id").orderBy("_at")).cast("long"))
-    columns = [c for c in tables["messages"].columns if c in numbered.columns]
-    messages, revisions = m.merge_messages(tables["messages"].select(*columns), numbered.select(*columns, "seq"))
-    last = ready.where("kind in ('new', 'edit', 'delete') and message_id is not null").groupBy("peer_id", "message_id").agg(F.max_by("kind", order).alias("kind"))
-    messages = m.mark_deleted(messages, last.where("kind = 'delete'"))
-    peers = m.last_change(ready.where("peer is not null").select("peer.*", "slice_id", "seq"), ["peer_id"], ["slice_id", "seq"]).drop("slice_id", "seq")
+    merged = apply_ready(tables, ready, "slice_id", "seq")
     state = ready.groupBy("peer_id").agg(F.max("pts").cast("int").alias("pts"))
     stopped = waiting.select("peer_id", F.lit(True).alias("uncertain")).distinct()
     state = state.join(stopped, "peer_id", "full").select("peer_id", "pts", F.coalesce("uncertain", F.lit(False)).alias("uncertain"))
-    return {
-        "peers": m.merge_peers(tables["peers"], peers), "messages": messages, "message_revisions": revisions, "sync_state": m.merge(tables["sync_state"], state, ["peer_id"], {"pts": m.COALESCE}),
+    return merged | {
+        "sync_state": m.merge(tables["sync_state"], state, ["peer_id"], {"pts": m.COALESCE}),
         "unsupported_events": dead.select(F.concat_ws(":", "peer_id", "slice_id", "seq").alias("event_id"), "peer_id", "kind", "affects_state"),
         "pending_updates": waiting,
     }
@@ -86,21 +97,25 @@ def recover_chats(tables: dict[str, DataFrame], chats: DataFrame) -> dict[str, D
     return {"sync_state": state.select(*tables["sync_state"].columns), "pending_updates": pending.select(*tables["pending_updates"].columns)}
 
 
-def stream_apply_updates(updates: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None):
-    """Start a query that applies a feed to the archive below folder. Updates of a channel are keyed by it like any chat's."""
-    spark = updates.sparkSession
+def stream_apply_updates(updates: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, stream: str | None = None):
+    """Start a query that applies a feed to the archive below folder. Updates of a channel are keyed by it like any chat's.
+
+    stream names the feed in the archive's ledger, so that several feeds can be applied to one archive, one after another; if
+    it isn't given, the checkpoint's place is the name. parley.streaming.chats has a form that only rewrites what a batch touches.
+    """
+    spark, stream = updates.sparkSession, stream or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        done = spark.read.text(f"{folder}/CURRENT").first()[0].strip()
-        if done == f"v-{batch_id}":
+        done, ledger = current_version(spark, folder)
+        if ledger.get(stream, -1) >= batch_id:
             return
         tables = {t: read_archive(spark, folder, t) for t in ("peers", "messages", "sync_state")}
         if has_table(spark, folder, "pending_updates"):
             tables["pending_updates"] = spark.read.schema(batch.schema).parquet(f"{folder}/{done}/pending_updates")
         after = apply_update_slice(tables, batch)
-        append(after["message_revisions"], f"{folder}/log/message_revisions", batch_id)
-        append(after["unsupported_events"], f"{folder}/log/unsupported_events", batch_id)
-        write_archive({t: after[t] for t in ("peers", "messages", "sync_state", "pending_updates")}, folder, str(batch_id))
+        append(after["message_revisions"], f"{folder}/log/message_revisions", batch_id, stream)
+        append(after["unsupported_events"], f"{folder}/log/unsupported_events", batch_id, stream)
+        write_archive({t: after[t] for t in ("peers", "messages", "sync_state", "pending_updates")}, folder, f"{stream}-{batch_id}", ledger | {stream: batch_id})
 
     return updates.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
