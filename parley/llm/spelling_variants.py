@@ -134,16 +134,17 @@ def near_words(words: DataFrame, folder: str, least: int = 64, most: int = 500_0
     """
     frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words, least, most, shortest, longest))
     index = staged(words.select("word", "n").mapInArrow(_signatures(frequent, shortest, longest), "word string, n long, list string, start int, end int"), folder, "index")
-    index = index.withColumn("size", F.length("word"))
+    shorter = F.split_part("list", F.lit(":"), F.lit(1)).cast("int").alias("class")
+    index = index.select("word", "n", F.xxhash64("list").alias("list"), shorter, F.length("word").alias("size"), "start", "end")
+    # what is cheap to compare comes first: the edit leaves the first or the last half of the shorter word alone
+    index = index.withColumns({"head": F.expr("hash(left(word, int(class / 2)))"), "tail": F.expr("hash(right(word, int(class / 2)))")})
+    halves = F.expr("a.head = b.head or a.tail = b.tail")
     # a gram left of the edit keeps its distance from the start, one right of it that from the end
     kept = F.expr("a.start = b.start or a.end = b.end")
     # each two words meet in the class of the shorter one
-    own = F.expr("least(a.size, b.size) = cast(split_part(a.list, ':', 1) as int)")
-    # the edit leaves the first or the last half of the shorter word alone, which is cheaper to look at than the distance
-    half = "int(least(a.size, b.size) / 2)"
-    halves = F.expr(f"left(a.word, {half}) = left(b.word, {half}) or right(a.word, {half}) = right(b.word, {half})")
-    same = (F.col("a.list") == F.col("b.list")) & (F.col("a.word") < F.col("b.word"))
-    met = index.alias("a").join(index.alias("b"), same & kept & own & halves & (F.levenshtein("a.word", "b.word", 1) == 1))
+    own = F.expr("least(a.size, b.size) = a.class and a.class = b.class")
+    same = F.expr("a.list = b.list") & halves & kept & own & F.expr("a.word < b.word")
+    met = index.alias("a").join(index.alias("b"), same & (F.levenshtein("a.word", "b.word", 1) == 1))
     near = staged(met.select(F.col("a.word").alias("a"), F.col("a.n").alias("na"), F.col("b.word").alias("b"), F.col("b.n").alias("nb")).distinct(), folder, "near")
     return near.union(near.select("b", "nb", "a", "na"))
 
