@@ -81,8 +81,8 @@ def export_summary(messages: DataFrame, links: DataFrame, page_size: int = 250)
 
 
 def shard_stats(entries: DataFrame) -> DataFrame:
-    """Per shard of a search index: entries, chats, first and last date."""
-    return entries.groupBy("shard_id").agg(F.count("*").alias("n_entries"), F.countDistinct("peer_id").alias("n_peers"), F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+    """Per shard of a search index: entries, chats (their number and ids, at most as many as a shard has entries), first and last date."""
+    return entries.groupBy("shard_id").agg(F.count("*").alias("n_entries"), F.countDistinct("peer_id").alias("n_peers"), F.array_sort(F.collect_set("peer_id")).alias("peer_ids"), F.min("date").alias("min_date"), F.max("date").alias("max_date"))
 
 
 def self_name(messages: DataFrame, peers: DataFrame) -> DataFrame:

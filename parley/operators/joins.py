@@ -113,7 +113,7 @@ def edited_without_revision(messages: DataFrame, revisions: DataFrame) -> DataFr
 def chronology_inversions(messages: DataFrame, peers: DataFrame, slack: int = 86400) -> DataFrame:
     """Messages dated more than `slack` before the newest one with a smaller id, and that one; groups and channels only.
 
-    A running maximum per chat, carried from block to block of ids: no pair is formed and no chat is one task.
+    A running maximum per chat, carried from range to range of ids: no pair is formed and no chat is one task.
     """
     rows = messages.join(peers.where(F.col("peer_type").isin("group", "channel")).select("peer_id"), "peer_id", "left_semi")
     dated = F.struct("date", (-F.col("message_id")).alias("m"))

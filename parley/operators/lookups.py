@@ -90,8 +90,8 @@ def latest_per(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def download_worklist(media: DataFrame, now: int, limit: int) -> DataFrame:
-    """Pending objects first, then due retries; fewest retries, oldest."""
-    due = (F.col("download_status") == "pending") | ((F.col("download_status") == "retry_wait") & (F.col("next_retry_at") <= now))
+    """Pending objects first, then due retries, which are those without a time too; fewest retries, oldest."""
+    due = (F.col("download_status") == "pending") | ((F.col("download_status") == "retry_wait") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)))
     rows = media.where(due).orderBy(F.when(F.col("download_status") == "pending", 0).otherwise(1), "retry_count", "created_at", "media_id")
     return rows.limit(limit).select("media_id", "download_status", "retry_count", "created_at")
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ids import message_anchor, page_file, peer_dir
+
 K1, B = 1.2, 0.75
 
 
@@ -186,17 +188,39 @@ def snippet(text: str | Column, words: list[str], size: int = 32) -> Column:
     return F.concat(F.when(start > 1, "... ").otherwise(""), F.array_join(shown, " "), F.when(F.size(parts) >= start + size, " ...").otherwise(""))
 
 
-def search_entries(messages: DataFrame, senders: DataFrame, names: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """One entry per shown message: sorted distinct tokens of text, sender and chat; media kinds; flags.
+def entry_senders(messages: DataFrame, peers: DataFrame, names: DataFrame) -> DataFrame:
+    """The sender's name as the index has it: the peer's own, `User <id>` without one, and the chat's where no sender is known."""
+    who = peers.select(F.col("peer_id").alias("sender_id"), F.col("name").alias("_own"))
+    rows = messages.select("peer_id", "message_id", "sender_id").join(who, "sender_id", "left").join(names, "peer_id", "left")
+    name = F.when(F.col("sender_id").isNotNull(), F.coalesce("_own", F.concat(F.lit("User "), F.col("sender_id").cast("string")))).otherwise(F.col("display_name"))
+    return rows.select("peer_id", "message_id", name.alias("sender_name"))
+
+
+def message_kinds(links: DataFrame, media: DataFrame) -> DataFrame:
+    """peer_id, message_id, kinds: the kinds of a message's media, each once."""
+    return links.join(media.select("media_id", "kind"), "media_id").groupBy("peer_id", "message_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
 
-    senders: (peer_id, message_id, sender_name); names: (peer_id, display_name); kinds: (peer_id, message_id, kinds).
+def search_entries(messages: DataFrame, senders: DataFrame, names: DataFrame, kinds: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """One entry per message that isn't empty or inaccessible: sorted distinct tokens of text, sender and chat; media kinds; flags; url.
+
+    Deleted messages and those without text have entries too. senders: (peer_id, message_id, sender_name); names: (peer_id,
+    display_name); kinds: (peer_id, message_id, kinds); pages: (peer_id, message_id, page_no), 0 where a message has none.
     """
-    rows = messages.where("state in ('active', 'edited') and text is not null").join(senders, ["peer_id", "message_id"], "left").join(names, "peer_id", "left")
-    if kinds is not None:
-        rows = rows.join(kinds, ["peer_id", "message_id"], "left")
-    tokens = F.array_sort(F.array_distinct(F.concat(tokenize("text"), F.coalesce(tokenize("sender_name"), F.array().cast("array<string>")), F.coalesce(tokenize("display_name"), F.array().cast("array<string>")))))
-    return rows.select("peer_id", "message_id", "date", "sender_name", F.col("display_name").alias("chat_name"), "text", "state", tokens.alias("tokens"),
-        *( [F.coalesce("kinds", F.array().cast("array<string>")).alias("media_kinds")] if kinds is not None else []), F.col("reply_to_msg_id").isNotNull().alias("is_reply"))
+    rows = messages.where("state is null or state not in ('empty', 'inaccessible')").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.join(senders, ["peer_id", "message_id"], "left").join(names, "peer_id", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.join(kinds, ["peer_id", "message_id"], "left") if kinds is not None else rows.withColumn("kinds", none)
+    if pages is not None:
+        rows = rows.join(pages.select("peer_id", "message_id", "page_no"), ["peer_id", "message_id"], "left")
+    page = F.coalesce("page_no", F.lit(0)) if pages is not None else F.lit(0)
+    url = F.concat(peer_dir("peer_id"), F.lit("/"), page_file(page), F.lit("#"), message_anchor("peer_id", "message_id"))
+    tokens = F.array_sort(F.array_distinct(F.concat(tokenize("text"), F.coalesce(tokenize("sender_name"), none), F.coalesce(tokenize("display_name"), none))))
+    forwarded = F.col("forward_json").isNotNull() if "forward_json" in messages.columns else F.lit(False)
+    return rows.select(
+        "peer_id", "message_id", "date", "sender_name", F.col("display_name").alias("chat_name"), "text", "state", tokens.alias("tokens"), F.coalesce("kinds", none).alias("media_kinds"),
+        F.col("reply_to_msg_id").isNotNull().alias("is_reply"), forwarded.alias("is_fwd"), url.alias("url"),
+    )
 
 
 def prefix_index(entries: DataFrame, longest: int = 3) -> DataFrame:
@@ -205,21 +229,26 @@ def prefix_index(entries: DataFrame, longest: int = 3) -> DataFrame:
     return tokens.select("shard_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("prefix")).distinct().select("prefix", "shard_id")
 
 
-def candidate_shards(prefixes: DataFrame, stats: DataFrame, query: str, start: int | None = None, end: int | None = None, longest: int = 3) -> DataFrame:
-    """Shards that hold every query token's prefix and overlap the date range."""
+def candidate_shards(prefixes: DataFrame, stats: DataFrame, query: str, start: int | None = None, end: int | None = None, longest: int = 3, peer: int | None = None) -> DataFrame:
+    """Shards that hold every query token's prefix, overlap the date range and have entries of the chat."""
     words = sorted({w[:longest] for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
     rows = stats
     if words:
         rows = rows.join(prefixes.where(F.col("prefix").isin(words)).groupBy("shard_id").agg(F.countDistinct("prefix").alias("_n")).where(F.col("_n") == len(words)), "shard_id").drop("_n")
+    if peer is not None:
+        rows = rows.where(F.array_contains("peer_ids", F.lit(peer).cast("long")))
     if start is not None:
         rows = rows.where(F.col("max_date") >= start)
     return rows if end is None else rows.where(F.col("min_date") <= end)
 
 
 def score_entries(entries: DataFrame, query: str) -> DataFrame:
-    """Entries with every query token as a token or its prefix. 100: the phrase stands in the text; 50: all exact; else 20 + 5 an exact one."""
+    """Entries with every query token as a token or its prefix. 100: the phrase stands in the text; 50: all exact; else 20 + 5 an exact one.
+
+    A query without letters or digits matches nothing.
+    """
     words = "".join(c if c.isalnum() else " " for c in query.lower()).split()
-    rows, exact = entries, F.lit(0)
+    rows, exact = entries.where(F.lit(bool(words))), F.lit(0)
     begins = lambda w: F.exists("tokens", lambda t: t.startswith(w))
     for w in words:
         rows = rows.where(begins(w))
@@ -232,12 +261,13 @@ def top_matches(scored: DataFrame, k: int = 50) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.desc("date"), "peer_id", "message_id").limit(k)
 
 
-def faceted_search(entries: DataFrame, query: str, k: int = 50, peer: int | None = None, sender: str | None = None, start: int | None = None, end: int | None = None, is_reply: bool | None = None, state: str | None = None) -> DataFrame:
+def faceted_search(entries: DataFrame, query: str, k: int = 50, peer: int | None = None, sender: str | None = None, start: int | None = None, end: int | None = None, is_reply: bool | None = None, state: str | None = None, is_fwd: bool | None = None, media: str | None = None) -> DataFrame:
     """Filters, then scores, then the best k. Without text every entry that passes the filters scores 1."""
     rows = entries
     for rule in (
         peer is not None and F.col("peer_id") == peer, sender is not None and F.contains(F.lower("sender_name"), F.lit((sender or "").lower())), start is not None and F.col("date") >= start,
         end is not None and F.col("date") <= end, is_reply is not None and F.col("is_reply") == F.lit(is_reply), state is not None and F.col("state") == state,
+        is_fwd is not None and F.col("is_fwd") == F.lit(is_fwd), media is not None and F.array_contains("media_kinds", media),
     ):
         if rule is not False:
             rows = rows.where(rule)

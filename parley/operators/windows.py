@@ -1,7 +1,9 @@
 """Pages, albums, clusters and separators over each chat's messages.
 
-A chat may hold a third of all rows, so no window spans a chat's messages. They are cut into blocks of
-2**16 ids; a window works within a block, and what the blocks before it have to say comes from a table with a row a block.
+A chat may hold a third of all rows and its ids may be far apart, so no window spans a chat's messages. The rows are cut
+into ranges of (chat, id) of about equal size, whose borders are quantiles. A window works within a range, and what a
+chat's ranges before it have to say, whatever can be summed up (a count, a maximum, a last value), comes from a table with a row
+for each chat and range.
 """
 
 from __future__ import annotations
@@ -12,16 +14,23 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 CLUSTER_GAP = 600
-BLOCK_BITS = 16
+#: How many ranges rows are cut into; None: as many as shuffles have partitions.
+RANGES: int | None = None
+
+
+def ranged(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """rows in ranges of keys and order, written that way; _block: a row's range."""
+    return staged(rows.repartitionByRange(*([RANGES] if RANGES else []), *keys, order).withColumn("_block", F.spark_partition_id()))
 
 
 def carried(rows: DataFrame, keys: tuple[str, ...], order: str = "message_id", **values: tuple) -> tuple[DataFrame, Window]:
-    """(rows with a column for each value, the window of a row's own block in order).
+    """(rows with a column for each value, the window of a row's own range in order).
 
-    values: name=(aggregate of a block, function that sums up the blocks before, or those after if a third item is true).
-    A block has at most 2**16 rows where order is unique for the keys.
+    values: name=(aggregate of a range, function that sums up the chat's ranges before, or those after if a third item is true).
+    Rows that have a _block already, from a pass before with these keys and this order, are not cut again.
     """
-    rows = rows.withColumn("_block", F.shiftright(order, BLOCK_BITS))
+    if "_block" not in rows.columns:
+        rows = ranged(rows, keys, order)
     blocks = rows.groupBy(*keys, "_block").agg(*(agg.alias(n) for n, (agg, *_) in values.items()))
     sequence = Window.partitionBy(*keys).orderBy("_block")
     spans = {n: sequence.rowsBetween(1, Window.unboundedFollowing) if after and after[0] else sequence.rowsBetween(Window.unboundedPreceding, -1) for n, (_, _, *after) in values.items()}
@@ -41,7 +50,7 @@ def running_total(rows: DataFrame, order: list[str], value: str, name: str) -> D
     ranges = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sums = ranges.groupBy("_part").agg(F.sum(value).alias("_sum"))
     starts = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_start"))
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return ranges.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside - F.col(value)).drop("_part", "_start")
 
 
@@ -82,7 +91,7 @@ def group_albums(messages: DataFrame) -> DataFrame:
     """Islands of consecutive rows with the same grouped_id: item_no, size and album flag per row."""
     rows, block = carried(messages, ("peer_id",), _last=(F.max_by(F.struct("grouped_id"), "message_id"), F.last))
     before = F.coalesce(F.lag(F.struct("grouped_id")).over(block), F.col("_last"))["grouped_id"]
-    rows = rows.withColumn("_new", (F.col("grouped_id").isNull() | ~F.col("grouped_id").eqNullSafe(before)).cast("int")).drop("_last", "_block")
+    rows = rows.withColumn("_new", (F.col("grouped_id").isNull() | ~F.col("grouped_id").eqNullSafe(before)).cast("int")).drop("_last")
     rows, block = carried(rows, ("peer_id",), _items=(F.sum("_new"), F.sum))
     rows = rows.withColumn("item_no", F.coalesce("_items", F.lit(0)) + F.sum("_new").over(block.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_items", "_block")
     # rows of no group are items of their own
@@ -105,13 +114,16 @@ def album_continuation(pages: DataFrame) -> DataFrame:
 
 
 def sender_clusters(pages: DataFrame, gap: int = CLUSTER_GAP) -> DataFrame:
-    """First and last of each run of one sender within a page: at most `gap` seconds apart, no service rows between."""
+    """First and last of each run of one sender within a page: at most `gap` seconds apart, no service rows between.
+
+    Where messages say in which direction they went (is_outgoing), a run has one direction.
+    """
     order = Window.partitionBy("peer_id", "page_no").orderBy("message_id")
-    key = F.struct("sender_id", "is_service", "date")
+    key = F.struct("sender_id", "is_service", "date", (F.col("is_outgoing") if "is_outgoing" in pages.columns else F.lit(False)).alias("is_outgoing"))
 
     def broken(step) -> Column:
         other = step(key).over(order)
-        return other.isNull() | other["is_service"] | F.col("is_service") | ~other["sender_id"].eqNullSafe(F.col("sender_id")) | (F.abs(other["date"] - F.col("date")) > gap)
+        return other.isNull() | other["is_service"] | F.col("is_service") | ~other["sender_id"].eqNullSafe(F.col("sender_id")) | ~other["is_outgoing"].eqNullSafe(key["is_outgoing"]) | (F.abs(other["date"] - F.col("date")) > gap)
 
     return pages.select("peer_id", "message_id", "page_no", "sender_id", "is_service", broken(F.lag).alias("first_of_cluster"), broken(F.lead).alias("last_of_cluster"))
 
@@ -146,14 +158,10 @@ def revision_order_check(revisions: DataFrame) -> DataFrame:
 def entry_shards(entries: DataFrame, size: int = 2500) -> DataFrame:
     """shard_id of each entry in the order of (peer_id, message_id), without a window over a table or a chat.
 
-    Entries are numbered within blocks of ids and moved by the entries before the block, whose running total is taken by ranges of blocks.
+    Entries are numbered within ranges of that order and moved by the entries of the ranges before.
     """
-    rows = entries.withColumn("_block", F.shiftright("message_id", BLOCK_BITS))
-    counts = rows.groupBy(F.col("peer_id").alias("_peer"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n"))
-    offsets = running_total(counts, ["_peer", "_b"], "_n", "_offset").drop("_n")
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("peer_id", "_block").orderBy("message_id")) - 1)
-    rows = rows.join(offsets, (F.col("peer_id") == F.col("_peer")) & (F.col("_block") == F.col("_b")))
-    return rows.withColumn("shard_id", F.floor((F.col("_offset") + F.col("_at")) / size).cast("int")).drop("_at", "_offset", "_peer", "_b", "_block")
+    rows = running_total(entries.withColumn("_one", F.lit(1)), ["peer_id", "message_id"], "_one", "_at")
+    return rows.withColumn("shard_id", F.floor(F.col("_at") / size).cast("int")).drop("_at", "_one")
 
 
 def prev_next_pages(pages: DataFrame) -> DataFrame:

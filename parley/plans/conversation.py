@@ -51,17 +51,18 @@ def _(a):
 
 CLUSTER = """
 c AS (SELECT peer_id, message_id, page_no, sender_id, is_service,
- lag(message_id) OVER o IS NULL OR lag(is_service) OVER o OR is_service OR lag(sender_id) OVER o IS DISTINCT FROM sender_id OR abs(lag(date) OVER o - date) > 100000000 AS first_of_cluster,
- lead(message_id) OVER o IS NULL OR lead(is_service) OVER o OR is_service OR lead(sender_id) OVER o IS DISTINCT FROM sender_id OR abs(lead(date) OVER o - date) > 100000000 AS last_of_cluster
+ lag(message_id) OVER o IS NULL OR lag(is_service) OVER o OR is_service OR lag(sender_id) OVER o IS DISTINCT FROM sender_id OR lag(is_outgoing) OVER o IS DISTINCT FROM is_outgoing OR abs(lag(date) OVER o - date) > 100000000 AS first_of_cluster,
+ lead(message_id) OVER o IS NULL OR lead(is_service) OVER o OR is_service OR lead(sender_id) OVER o IS DISTINCT FROM sender_id OR lead(is_outgoing) OVER o IS DISTINCT FROM is_outgoing OR abs(lead(date) OVER o - date) > 100000000 AS last_of_cluster
  FROM p WINDOW o AS (PARTITION BY peer_id, page_no ORDER BY message_id))"""
 
 
 def _clustered(a):
-    pages = win.assign_pages(a.messages.withColumn("sender_id", F.when(F.col("message_id") % 4 != 0, F.col("message_id") % 2)), 5)
+    rows = a.messages.withColumns({"sender_id": F.when(F.col("message_id") % 4 != 0, F.col("message_id") % 2), "is_outgoing": F.col("message_id") % 32 < 8})
+    pages = win.assign_pages(rows, 5)
     return win.sender_clusters(pages, gap=100_000_000)
 
 
-TWO = "m2 AS (SELECT * REPLACE (CASE WHEN message_id % 4 <> 0 THEN message_id % 2 END AS sender_id) FROM messages), " + PAGES.replace("FROM messages", "FROM m2")
+TWO = "m2 AS (SELECT * REPLACE (CASE WHEN message_id % 4 <> 0 THEN message_id % 2 END AS sender_id), message_id % 32 < 8 AS is_outgoing FROM messages), " + PAGES.replace("FROM messages", "FROM m2")
 
 
 @query("w6_sender_clusters", f"WITH {TWO}, {CLUSTER} SELECT * FROM c")
@@ -103,10 +104,11 @@ def _(a):
 
 @query("a16_shard_stats", """
 WITH s AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY peer_id, message_id) - 1) / 250) AS INTEGER) AS shard_id FROM messages)
-SELECT shard_id, count(*) AS n_entries, count(DISTINCT peer_id) AS n_peers, min(date) AS min_date, max(date) AS max_date FROM s GROUP BY shard_id
+SELECT shard_id, count(*) AS n_entries, count(DISTINCT peer_id) AS n_peers, string_agg(DISTINCT CAST(peer_id AS VARCHAR), ',' ORDER BY CAST(peer_id AS VARCHAR)) AS peers, min(date) AS min_date, max(date) AS max_date FROM s GROUP BY shard_id
 """)
 def _(a):
-    return agg.shard_stats(win.entry_shards(a.messages.select("peer_id", "message_id", "date"), 250))
+    found = agg.shard_stats(win.entry_shards(a.messages.select("peer_id", "message_id", "date"), 250))
+    return found.select("shard_id", "n_entries", "n_peers", F.array_join(F.array_sort(F.col("peer_ids").cast("array<string>")), ",").alias("peers"), "min_date", "max_date")
 
 
 @query("w11_prev_next_pages", f"WITH {PAGES} SELECT peer_id, page_no, lag(page_no) OVER o AS prev_page, lead(page_no) OVER o AS next_page FROM (SELECT DISTINCT peer_id, page_no FROM p) WINDOW o AS (PARTITION BY peer_id ORDER BY page_no)")

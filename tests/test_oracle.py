@@ -48,8 +48,8 @@ def test_query(name, spark, duck):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 @pytest.mark.parametrize("name", ["w1_assign_pages", "w4_group_albums", "w5_album_continuation", "w7_show_sender", "w10_entry_shards", "w11_prev_next_pages", "j14_chronology_inversions", "s3_read_export_html"])
 def test_chats_of_many_blocks(name, spark, duck, monkeypatch):
-    """The tables' ids fit in one block, so the blocks are made small: what is carried between them shows."""
-    monkeypatch.setattr(windows, "BLOCK_BITS", 1 if name in ("w11_prev_next_pages", "s3_read_export_html") else 8)
+    """Many more ranges than chats: what is carried between them shows."""
+    monkeypatch.setattr(windows, "RANGES", 400)
     found = registry.QUERIES[name](spark, DATA)
     cursor = duck.execute(registry.ORACLE_SQL[name])
     assert rows_of(found.columns, found.collect()) == rows_of([c[0] for c in cursor.description], cursor.fetchall())
