@@ -51,9 +51,8 @@ def _(a):
     return a.spark.read.parquet(log).select("peer_id", "message_id", "revision_no", "text")
 
 
-@query("s2_read_export_json", "SELECT peer_id, message_id, date, sender_id, text, reply_to_msg_id, edit_date, CASE WHEN edit_date IS NULL THEN 'active' ELSE 'edited' END AS state FROM messages WHERE NOT is_service")
-def _(a):
-    """Exports of fifty chats a file; longer chats go on in further files."""
+def _exports(a) -> str:
+    """The folder of exports of fifty chats a file; longer chats go on in further files."""
     rows = a.messages.where("not is_service").withColumns({"_file": F.concat_ws("_", F.floor(F.col("peer_id") / 50), F.shiftright("message_id", 16)), "_text": F.when(F.col("text").isNotNull(), F.array(F.struct(F.lit("plain").alias("type"), F.col("text").alias("text"))))})
     said = F.struct(
         F.col("message_id").alias("id"), F.lit("message").alias("type"), F.col("date").cast("string").alias("date_unixtime"), F.col("edit_date").cast("string").alias("edited_unixtime"), F.concat(F.lit("user"), F.col("sender_id").cast("string")).alias("from_id"),
@@ -62,7 +61,22 @@ def _(a):
     files = chats.groupBy("_file").agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.lit("personal_chat").alias("type"), F.col("peer_id").alias("id"), "messages")).alias("list")).alias("chats"))).alias("value"))
     folder = scratch(a.spark)
     files.write.partitionBy("_file").text(folder)
-    _, messages, _ = readers.read_export_json(a.spark, f"{folder}/*", NOW)
+    return folder
+
+
+S2_SQL = "SELECT peer_id, message_id, date, sender_id, text, reply_to_msg_id, edit_date, CASE WHEN edit_date IS NULL THEN 'active' ELSE 'edited' END AS state FROM messages WHERE NOT is_service"
+
+
+@query("s2_read_export_json", S2_SQL)
+def _(a):
+    _, messages, _ = readers.read_export_json(a.spark, f"{_exports(a)}/*", NOW)
+    return messages.select("peer_id", "message_id", "date", "sender_id", "text", "reply_to_msg_id", "edit_date", "state")
+
+
+@query("s2_large_export", S2_SQL)
+def _(a):
+    """Files cut into blocks of 64 KB."""
+    _, messages, _ = readers.read_large_export(a.spark, f"{_exports(a)}/*", NOW, 1 << 16)
     return messages.select("peer_id", "message_id", "date", "sender_id", "text", "reply_to_msg_id", "edit_date", "state")
 
 

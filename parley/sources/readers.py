@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.staging import staged
 from ..operators.windows import carried
+from .exports import split_export
 from .schemas import ARCHIVE, EXPORT, UPDATES
 
 
@@ -116,11 +118,28 @@ def service_label(action: str, actor: str, title: str) -> Column:
 
 
 def read_export_json(spark: SparkSession, path: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(peers, messages, media) of a single-chat or full export. Ids <= 0 are dropped; unknown dates become now."""
+    """(peers, messages, media) of a single-chat or full export. Ids <= 0 are dropped; unknown dates become now.
+
+    A file is one row of one task; read_large_export cuts files.
+    """
     raw = _export(spark, path)
     chats = raw.where("messages is not null").select("name", "type", "id", "messages").union(raw.where("chats is not null").select(F.explode("chats.list").alias("c")).select("c.name", "c.type", "c.id", "c.messages"))
-    chats = chats.select(export_peer_id("type", "id").alias("peer_id"), export_kind("type").alias("peer_type"), "name", "messages")
-    one = chats.select("peer_id", F.explode("messages").alias("m")).select("peer_id", "m.*").where("id > 0")
+    one = chats.select(export_peer_id("type", "id").alias("peer_id"), F.explode("messages").alias("m")).select("peer_id", "m.*")
+    return _imported(chats, one, now)
+
+
+def read_large_export(spark: SparkSession, path: str, now: int, split_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of files of any size, each of which is read by many tasks. Runs jobs when it is called."""
+    chats, messages = split_export(spark, path, split_bytes)
+    chats, messages = staged(chats), staged(messages)
+    peers = chats.select("file", "chat_no", export_peer_id("type", "id").alias("peer_id"))
+    return _imported(chats, messages.join(peers, ["file", "chat_no"]).select("peer_id", "m.*"), now)
+
+
+def _imported(chats: DataFrame, one: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """peers, messages and media of chats (name, type, id) and their messages (peer_id and the export's fields)."""
+    chats = chats.select(export_peer_id("type", "id").alias("peer_id"), export_kind("type").alias("peer_type"), "name")
+    one = one.where("id > 0")
     service = F.col("type") == "service"
     edited = F.col("edited_unixtime").cast("long")
     messages = one.select(
