@@ -9,8 +9,9 @@
    that span its place. Words are compared in classes of two neighbouring lengths, and no gram is longer than
    half of the class, so that each word has more grams than one edit can affect.
 4. Merge lists. A word's affected-gram bound is the most grams that one edit can touch. A near word keeps all others,
-   each at the same distance from the start or from the end; so of the word's bound + 1 rarest grams, one
-   is among the near word's bound + 1 rarest as well. Only these lists are merged.
+   each with the same characters before it or behind it; so of the word's bound + 1 rarest grams, one
+   is among the near word's bound + 1 rarest as well. Only these lists are merged, each divided by what stands
+   before the gram and by what stands behind it.
 5. Verify with the edit distance itself.
 
 A word's form is its near word of highest count; roots follow forms by pointer doubling.
@@ -19,8 +20,11 @@ A word's form is its near word of highest count; roots follow forms by pointer d
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,33 +86,43 @@ class Grams:
             spans[at + len(gram)] -= 1
         return max(itertools.islice(itertools.accumulate(spans), 1, characters + 1))
 
-    def rarest(self, word: str, length: int) -> list[tuple[str, int, int]]:
-        """The bound + 1 rarest grams, each with its distance from the start and from the end."""
+    def rarest(self, word: str, length: int) -> list[tuple[int, int]]:
+        """Where the bound + 1 rarest grams begin and end in the marked word."""
         grams = self.decompose(word, length)
         bound, count = self.affected(grams, len(word)), self.frequent.get
         # by frequency, where the dictionary tells it; below its threshold longer grams are rarer
         order = sorted((count(gram, 0), -len(gram), gram, at) for at, gram in enumerate(grams))
-        return [(gram, at, len(word) + 2 - at - len(gram)) for *_, gram, at in order[: bound + 1]]
+        return [(at, at + len(gram)) for *_, gram, at in order[: bound + 1]]
+
+    def lists(self, word: str) -> Iterator[tuple[int, str]]:
+        """The lists in which the word stands: their class, of which it has two, and their name.
+
+        A gram left of the edit has the same characters before it in both words, one right of it the same behind it. So
+        each gram's list is divided by either.
+        """
+        marked, cap, spans = MARK + word + MARK, None, []
+        for length in (len(word) - 1, len(word)):
+            if self.cap(length) != cap:
+                cap, spans = self.cap(length), self.rarest(word, length)
+            for start, end in spans:
+                yield length, f"{length}<{start}:{marked[:end]}"
+                yield length, f"{length}>{len(marked) - end}:{marked[start:]}"
 
 
 def _signatures(shared, shortest: int, longest: int):
-    """A row for each list that a word stands in, once for each of its two classes."""
+    """A row for each list that a word stands in, in each of its two classes; lists are told by hash, as what meets there is verified."""
 
     def run(batches):
         grams = Grams(shared.value, shortest, longest)
         for batch in batches:
             for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
-                out: list[list] = [[], [], [], [], []]
-                for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()):
-                    cap, found = None, []
-                    for length in (len(word) - 1, len(word)):
-                        if grams.cap(length) != cap:
-                            cap, found = grams.cap(length), grams.rarest(word, length)
-                        for gram, start, end in found:
-                            for column, value in zip(out, (word, n, f"{length}:{gram}", start, end)):
-                                column.append(value)
-                kinds = pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["word", "n", "list", "start", "end"])
+                words = part.column("word").to_pylist()
+                found = [list(grams.lists(word)) for word in words]
+                counts = [len(own) for own in found]
+                classes, names = zip(*itertools.chain.from_iterable(found)) if words else ((), ())
+                at = pa.array(np.repeat(np.arange(len(words)), counts))
+                keys = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("word").take(at), part.column("n").take(at), pa.array(keys, pa.int64()), pa.array(classes, pa.int32())], names=["word", "n", "list", "class"])
 
     return run
 
@@ -133,17 +147,12 @@ def near_words(words: DataFrame, folder: str, least: int = 64, most: int = 500_0
     words: word, of 3 characters or more, each once, and its n.
     """
     frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words, least, most, shortest, longest))
-    index = staged(words.select("word", "n").mapInArrow(_signatures(frequent, shortest, longest), "word string, n long, list string, start int, end int"), folder, "index")
-    shorter = F.split_part("list", F.lit(":"), F.lit(1)).cast("int").alias("class")
-    index = index.select("word", "n", F.xxhash64("list").alias("list"), shorter, F.length("word").alias("size"), "start", "end")
-    # what is cheap to compare comes first: the edit leaves the first or the last half of the shorter word alone
-    index = index.withColumns({"head": F.expr("hash(left(word, int(class / 2)))"), "tail": F.expr("hash(right(word, int(class / 2)))")})
-    halves = F.expr("a.head = b.head or a.tail = b.tail")
-    # a gram left of the edit keeps its distance from the start, one right of it that from the end
-    kept = F.expr("a.start = b.start or a.end = b.end")
+    # about 20,000 words a task, however small the table's files are
+    dealt = words.select("word", "n").repartition(max(1, -(-words.count() // 20_000)), "word")
+    index = staged(dealt.mapInArrow(_signatures(frequent, shortest, longest), "word string, n long, list long, class int"), folder, "index")
     # each two words meet in the class of the shorter one
-    own = F.expr("least(a.size, b.size) = a.class and a.class = b.class")
-    same = F.expr("a.list = b.list") & halves & kept & own & F.expr("a.word < b.word")
+    own = F.expr("a.class = b.class and (length(a.word) = a.class or length(b.word) = a.class)")
+    same = F.expr("a.list = b.list and a.word < b.word") & own
     met = index.alias("a").join(index.alias("b"), same & (F.levenshtein("a.word", "b.word", 1) == 1))
     near = staged(met.select(F.col("a.word").alias("a"), F.col("a.n").alias("na"), F.col("b.word").alias("b"), F.col("b.n").alias("nb")).distinct(), folder, "near")
     return near.union(near.select("b", "nb", "a", "na"))
