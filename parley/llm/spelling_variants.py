@@ -150,9 +150,11 @@ def near_words(words: DataFrame, folder: str, least: int = 64, most: int = 500_0
     # about 20,000 words a task, however small the table's files are
     dealt = words.select("word", "n").repartition(max(1, -(-words.count() // 20_000)), "word")
     index = staged(dealt.mapInArrow(_signatures(frequent, shortest, longest), "word string, n long, list long, class int"), folder, "index")
+    # the edit leaves the first or the last half of the shorter word alone, which is far cheaper to compare than the words
+    halves = {"head": F.expr("hash(left(word, int(class / 2)))"), "tail": F.expr("hash(right(word, int(class / 2)))"), "shorter": F.length("word") == F.col("class")}
+    index = index.withColumns(halves).select("list", "head", "tail", "shorter", "word", "n")
     # each two words meet in the class of the shorter one
-    own = F.expr("a.class = b.class and (length(a.word) = a.class or length(b.word) = a.class)")
-    same = F.expr("a.list = b.list and a.word < b.word") & own
+    same = F.expr("a.list = b.list and (a.head = b.head or a.tail = b.tail) and (a.shorter or b.shorter) and a.word < b.word")
     met = index.alias("a").join(index.alias("b"), same & (F.levenshtein("a.word", "b.word", 1) == 1))
     near = staged(met.select(F.col("a.word").alias("a"), F.col("a.n").alias("na"), F.col("b.word").alias("b"), F.col("b.n").alias("nb")).distinct(), folder, "near")
     return near.union(near.select("b", "nb", "a", "na"))
