@@ -92,7 +92,9 @@ def test_near_words_share_a_rare_gram(seed):
                 mine, theirs = grams.decompose(word, length), grams.decompose(other, length)
                 kept = sum((Counter(mine) & Counter(theirs)).values())
                 assert kept >= len(mine) - grams.affected(mine, len(word)) > 0 and kept >= len(theirs) - grams.affected(theirs, len(other)) > 0
-                assert any(c == length for c, _ in set(grams.lists(word)) & set(grams.lists(other))), (word, other)
+                theirs = {(c, name): parts for c, name, *parts in grams.lists(other)}
+                met = [(near, far, theirs[c, name]) for c, name, near, far in grams.lists(word) if c == length and (c, name) in theirs]
+                assert met and all(near == parts[0] or far == parts[1] for near, far, parts in met), (word, other)
 
 
 def test_dictionary_is_bounded(spark):
