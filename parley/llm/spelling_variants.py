@@ -20,7 +20,6 @@ A word's form is its near word of highest count; roots follow forms by pointer d
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,12 +94,12 @@ class Grams:
         order = sorted((count(gram, 0), -len(gram), gram, at) for at, gram in enumerate(grams))
         return [(at, at + len(gram)) for *_, gram, at in order[: bound + 1]]
 
-    def lists(self, word: str) -> Iterator[tuple[int, str, str, str]]:
-        """The lists in which the word stands: their class, of which it has two, their name, and two parts of the word.
+    def lists(self, word: str) -> Iterator[tuple[int, str]]:
+        """The lists in which the word stands: their class, of which it has two, and their name.
 
         A gram left of the edit has the same characters before it in both words, one right of it the same behind it. So
         each gram's list is divided by either. What remains of the words differs by the edit, which leaves the first or
-        the last half of the shorter remainder alone: near words have one of the parts in common.
+        the last half of the shorter remainder alone. So each list is divided once more, by either half.
         """
         marked, cap, spans, size = MARK + word + MARK, None, [], len(word)
         for length in (size - 1, size):
@@ -108,10 +107,14 @@ class Grams:
                 cap, spans = self.cap(length), self.rarest(word, length)
             for start, end in spans:
                 half = max(0, length - end + 1) // 2
-                yield length, f"{length}<{start}:{marked[:end]}", word[end - 1 : end - 1 + half], word[size - half :]
+                yield length, f"{length}<{start}:{marked[:end]}:{word[end - 1 : end - 1 + half]}"
+                if half:
+                    yield length, f"{length}<{start}:{marked[:end]}::{word[size - half :]}"
                 rest = max(0, start - 1)
                 half = max(0, length - size + rest) // 2
-                yield length, f"{length}>{len(marked) - end}:{marked[start:]}", word[rest - half : rest], word[:half]
+                yield length, f"{length}>{len(marked) - end}:{marked[start:]}:{word[rest - half : rest]}"
+                if half:
+                    yield length, f"{length}>{len(marked) - end}:{marked[start:]}::{word[:half]}"
 
 
 def _signatures(shared, shortest: int, longest: int):
@@ -124,11 +127,10 @@ def _signatures(shared, shortest: int, longest: int):
                 words = part.column("word").to_pylist()
                 found = [list(grams.lists(word)) for word in words]
                 counts = [len(own) for own in found]
-                classes, names, near, far = zip(*itertools.chain.from_iterable(found)) if words else ((), (), (), ())
+                classes, names = zip(*itertools.chain.from_iterable(found)) if words else ((), ())
                 at = pa.array(np.repeat(np.arange(len(words)), counts))
                 keys = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
-                near, far = (pa.array(np.fromiter((zlib.crc32(x.encode()) for x in texts), np.uint32, len(texts)).view(np.int32)) for texts in (near, far))
-                yield pa.RecordBatch.from_arrays([part.column("word").take(at), part.column("n").take(at), pa.array(keys, pa.int64()), pa.array(classes, pa.int32()), near, far], names=["word", "n", "list", "class", "near", "far"])
+                yield pa.RecordBatch.from_arrays([part.column("word").take(at), part.column("n").take(at), pa.array(keys, pa.int64()), pa.array(classes, pa.int32())], names=["word", "n", "list", "class"])
 
     return run
 
@@ -155,10 +157,10 @@ def near_words(words: DataFrame, folder: str, least: int = 64, most: int = 500_0
     frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words, least, most, shortest, longest))
     # about 20,000 words a task, however small the table's files are
     dealt = words.select("word", "n").repartition(max(1, -(-words.count() // 20_000)), "word")
-    index = staged(dealt.mapInArrow(_signatures(frequent, shortest, longest), "word string, n long, list long, class int, near int, far int"), folder, "index")
-    # each two words meet in the class of the shorter one; parts are far cheaper to compare than the words
-    index = index.select("list", "near", "far", (F.length("word") == F.col("class")).alias("shorter"), "word", "n")
-    same = F.expr("a.list = b.list and (a.near = b.near or a.far = b.far) and (a.shorter or b.shorter) and a.word < b.word")
+    index = staged(dealt.mapInArrow(_signatures(frequent, shortest, longest), "word string, n long, list long, class int"), folder, "index")
+    # each two words meet in the class of the shorter one
+    index = index.select("list", (F.length("word") == F.col("class")).alias("shorter"), "word", "n")
+    same = F.expr("a.list = b.list and (a.shorter or b.shorter) and a.word < b.word")
     met = index.alias("a").join(index.alias("b"), same & (F.levenshtein("a.word", "b.word", 1) == 1))
     near = staged(met.select(F.col("a.word").alias("a"), F.col("a.n").alias("na"), F.col("b.word").alias("b"), F.col("b.n").alias("nb")).distinct(), folder, "near")
     return near.union(near.select("b", "nb", "a", "na"))
