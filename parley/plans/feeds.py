@@ -147,6 +147,13 @@ def _(a):
     return a.table("documents").select("doc_id", text.utf16_length("text").alias("n"))
 
 
+@query("x15_utf16_slice", "SELECT doc_id, substr(text, 4, 10) AS part FROM documents WHERE len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) = 0")
+def _(a):
+    """Texts without characters of two units, in which places are those of SQL."""
+    rows = a.table("documents").where(text.utf16_length("text") == F.length("text"))
+    return rows.select("doc_id", text.utf16_slice("text", F.lit(3), F.lit(10)).alias("part"))
+
+
 @query("x16_html_escape", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped, true AS back FROM pages")
 def _(a):
     rows = a.table("pages").select("page_id", "html", text.html_escape("html").alias("e"))

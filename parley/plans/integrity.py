@@ -262,14 +262,33 @@ def _(a):
     return links.extract_media_refs(_marked(a), "page_id")
 
 
-@query("l3_broken_links", """
-WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, ' href="([^"]*)"', 1)) AS href FROM pages), f AS (SELECT page_id, href FROM h WHERE href <> '#' AND NOT regexp_matches(lower(href), '^(http:|https:|mailto:|tel:|tg:|ftp:|data:|javascript:|//)'))
-SELECT page_id, CAST(count(*) AS BIGINT) AS n FROM f WHERE starts_with(href, '/') GROUP BY page_id
+LINKS_SQL = """
+h AS (SELECT page_id, unnest(regexp_extract_all(html, ' href="([^"]*)"', 1)) AS href FROM pages),
+f AS (SELECT page_id, href FROM h WHERE href <> '#' AND NOT regexp_matches(lower(href), '^(http:|https:|mailto:|tel:|tg:|ftp:|data:|javascript:|//)'))"""
+
+
+@query("l3_broken_links", f"""
+WITH {LINKS_SQL}, p AS (SELECT CAST(page_id AS VARCHAR) AS page FROM pages)
+SELECT page_id, CASE WHEN starts_with(href, '#') THEN 'missing_anchor' ELSE 'missing_page' END AS reason, count(*) AS n FROM f WHERE ltrim(href, '/') NOT IN (SELECT page FROM p) GROUP BY ALL
 """)
 def _(a):
     pages = a.table("pages").select("page_id", "html")
     found = links.broken_links(links.extract_links(pages, "page_id"), pages, links.extract_anchors(pages, "page_id"), "page_id")
-    return found.where(F.startswith("href", F.lit("/"))).groupBy("page_id").agg(F.count("*").alias("n"))
+    return found.groupBy("page_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query("l3_reasons", f"""
+WITH {LINKS_SQL} SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'missing_page' WHEN 1 THEN 'missing_anchor' WHEN 2 THEN 'escapes_root' ELSE 'bad_characters' END AS reason, count(*) AS n FROM f WHERE page_id % 5 <> 4 GROUP BY ALL
+""")
+def _(a):
+    """The pages' links, made to anchors, ways out of the root, bad characters or existing pages by their page."""
+    pages = a.table("pages").select("page_id", "html")
+    k, word = F.col("page_id") % 5, F.replace(F.col("href"), F.lit("/"), F.lit(""))
+    made = F.when(k == 0, F.concat(F.lit("none/"), word)).when(k == 1, F.concat(F.lit("#"), word)).when(k == 2, F.concat(F.lit("x/../../"), word)).when(k == 3, F.concat(F.lit("a\\b"), word)).otherwise(F.concat(F.lit("./"), F.col("page_id").cast("string")))
+    internal = F.col("href").startswith("/") & ~F.col("href").startswith("//")
+    rows = links.extract_links(pages, "page_id").where(internal).withColumn("href", made)
+    found = links.broken_links(rows, pages, links.extract_anchors(pages, "page_id"), "page_id")
+    return found.groupBy("page_id", "reason").agg(F.count("*").alias("n"))
 
 
 @query("l4_bundle_counts", "SELECT peer_id, n + 1 AS n_pages, n AS found FROM (SELECT peer_id, CAST(ceil(count(*) / 5.0) AS BIGINT) AS n FROM messages GROUP BY peer_id) WHERE peer_id % 3 = 0")

@@ -80,6 +80,16 @@ def _(a):
     return messages.select("peer_id", "message_id", "date", "sender_id", "text", "reply_to_msg_id", "edit_date", "state")
 
 
+@query("s9_read_export_owner", "SELECT min(peer_id) AS user_id, arg_min(nullif(trim(concat_ws(' ', name, username)), ''), peer_id) AS name FROM (SELECT peer_id, coalesce(name, '') AS name, coalesce(username, '') AS username FROM peers) GROUP BY peer_id // 500")
+def _(a):
+    """An account's export for each five hundred chats, whose owner is the first of them."""
+    owner = F.min(F.struct(F.col("peer_id").alias("user_id"), F.coalesce("name", F.lit("")).alias("first_name"), F.coalesce("username", F.lit("")).alias("last_name")))
+    files = a.peers.groupBy(F.floor(F.col("peer_id") / 500).alias("_file")).agg(owner.alias("personal_information")).select("_file", F.to_json(F.struct("personal_information")).alias("value"))
+    folder = scratch(a.spark)
+    files.write.partitionBy("_file").text(folder)
+    return readers.read_export_owner(a.spark, f"{folder}/*")
+
+
 @query("s3_read_export_html", """
 SELECT CAST(peer_id AS VARCHAR) AS folder, message_id, CASE WHEN is_service THEN NULL ELSE 'P' || CAST(peer_id AS VARCHAR) END AS sender_name, text, first_value(CASE WHEN n // 5 % 2 = 0 THEN date ELSE date - date % 86400 END) OVER (PARTITION BY peer_id, n // 5 ORDER BY message_id) AS date, is_service
 FROM (SELECT *, row_number() OVER (PARTITION BY peer_id ORDER BY message_id) - 1 AS n FROM messages WHERE message_id > 0)
