@@ -1,8 +1,8 @@
 """Each chat's place in its feed as keyed state of a stream: order, gaps, freezes and recoveries.
 
 A chat's events are applied in the order of (slice_id, seq), and only if their counter follows on from the last one: pts - pts_count is
-the chat's pts. What comes early waits in the state. If the missing events don't come within `patience`, a
-timer reports the gap and the chat goes on behind it. An unsupported event that affects state freezes the chat from its
+the chat's pts, which is 0 at first. What comes early waits in the state. If the missing events don't come within `patience`, a
+timer reports the gap and the chat goes on behind it; where no event came before, the chat begins there and nothing is reported. An unsupported event that affects state freezes the chat from its
 slice on, until an event of the kind `recovered` says up to which pts a snapshot has brought the archive. Events up to the chat's pts
 are replays and are dropped.
 """
@@ -128,9 +128,10 @@ class ChatFeed(StatefulProcessor):
             arrived = early[k][-1] if k in early else self.now
             values = dict(zip(COLUMNS, event))
             pts, count = values["pts"], values["pts_count"] or 0
-            if not waits and pts is not None and self.pts is not None and pts - count > self.pts:
+            # counters begin at 0: what an unknown chat shows first may not be its beginning
+            if not waits and pts is not None and pts - count > (0 if self.pts is None else self.pts):
                 waits = arrived > until
-                if not waits:
+                if not waits and self.pts is not None:
                     yield self._action("gap", event, before=self.pts)
             if waits:
                 first = min(first, arrived)

@@ -82,6 +82,19 @@ def test_a_gap_is_left_behind_when_its_time_is_up(spark, tmp_path, archive):
     assert held(archive)[:4] == messages(1, 4, 5, 9)
 
 
+def test_a_chat_may_show_its_later_events_first(spark, tmp_path, archive):
+    source = Feed(spark, tmp_path)
+    source.put(event(4), event(3, chat=2))
+    source.run(archive, patience=3_600_000)
+    assert held(archive) == []
+    source.put(event(1), event(2))
+    source.run(archive)
+    # chat 2 begins where it can be seen to begin
+    assert held(archive) == messages(1, 2, 4) + messages(3, chat=2)
+    assert [(r.peer_id, r.before, r.pts) for r in archive.read_log("gaps").collect()] == [(1, 2, 4)]
+    assert state(archive) == {1: (4, False), 2: (3, False)}
+
+
 def test_a_freeze_outlasts_restarts_until_recovery(spark, tmp_path, archive):
     source = Feed(spark, tmp_path)
     source.put(event(1), event(2, kind="unsupported", affects_state=True, message_id=None), event(3), event(1, chat=2), event(2, chat=2, kind="unsupported", message_id=None), event(3, chat=2))
