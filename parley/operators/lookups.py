@@ -97,7 +97,7 @@ def download_worklist(media: DataFrame, now: int, limit: int) -> DataFrame:
 
 
 def best_photo_size(sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """Per photo the size with the largest area, then the most bytes, then the first."""
-    rank = F.struct((F.col("width").cast("long") * F.col("height")).alias("area"), F.coalesce("bytes", F.lit(0)).alias("b"), (-F.col("ordinal")).alias("o"), F.col("width").alias("w"))
+    """Per photo the size with the largest area, then the most bytes, then the first; the wider and then the higher of those, so that no order of rows decides."""
+    rank = F.struct((F.col("width").cast("long") * F.col("height")).alias("area"), F.coalesce("bytes", F.lit(0)).alias("b"), (-F.col("ordinal")).alias("o"), F.col("width").alias("w"), F.col("height").alias("h"))
     rest = [c for c in sizes.columns if c not in keys]
     return sizes.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(*keys, "_r.*")

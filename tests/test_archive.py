@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from parley.functions import ids, text
-from parley.operators import audit, fingerprints, graph, joins, links, merge, search, windows
+from parley.operators import audit, fingerprints, graph, joins, links, lookups, merge, search, windows
 from parley.sources import readers, writers
 from parley.sources.schemas import UPDATES
 from parley.streaming import feed
@@ -272,3 +272,11 @@ def test_walks_of_any_length(spark):
     depth = {(r.peer_id, r.message_id): r.depth for r in graph.reply_depth(found).collect()}
     assert depth == {(1, k): k - 1 for k in range(1, 60)} | {(2, k): None for k in (1, 2, 3, 4, 5, 9)} | {(2, 10): 0}
     assert [(r.message_id, r.n_members, r.tail_count) for r in graph.reply_cycles(found, rows).collect()] == [(1, 5, 1)]
+
+
+def test_sizes_without_area_are_told_apart(spark):
+    """Which of them is taken doesn't depend on the order of rows."""
+    sizes = [(1, 3, 0, 54, 2), (1, 3, 0, 51, 2), (1, 3, 0, 7, 2)]
+    for rows in (sizes, sizes[::-1]):
+        found = lookups.best_photo_size(spark.createDataFrame(rows, "photo_id long, ordinal int, width long, height long, bytes long").coalesce(1), ["photo_id"])
+        assert [tuple(r) for r in found.collect()] == [sizes[0]]
