@@ -5,7 +5,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from parley.plans import registry, storage
+from parley.plans import fixtures, registry, storage
 from parley.plans.fixtures import Archive
 from parley.sources import writers
 
@@ -48,3 +48,13 @@ def test_chats_of_an_index_share_files(spark, tmp_path):
     assert len([f for _, _, names in os.walk(tmp_path / "chats") for f in names if f.endswith(".parquet")]) <= 8
     back = spark.read.parquet(str(tmp_path / "chats"))
     assert back.count() == 5000 and sorted(r.message_id for r in back.where("peer_id = 7").collect()) == [7, 1007, 2007, 3007, 4007]
+
+
+def test_partitions_of_links_follow_the_size_of_files(spark, tmp_path, monkeypatch):
+    """Few bytes of shuffle may be many links: their partitions are not put together by the bytes."""
+    monkeypatch.setattr(fixtures, "PART_BYTES", 1 << 10)
+    lines = "SELECT 70000 * (1 + i % 5999) AS l_orderkey, i % 700 AS l_partkey, CAST(1 + i % 7 AS INTEGER) AS l_linenumber FROM range(20000) r(i)"
+    parts = "SELECT i AS p_partkey, CAST(1 + i % 50 AS INTEGER) AS p_size FROM range(700) r(i)"
+    mine, theirs = compared(spark, tmp_path, "j2_primary_media_items", lineitem=lines, part=parts, **CHATS)
+    assert mine == theirs and len(mine) > 10000
+    assert Archive(spark, str(tmp_path)).links.select(F.spark_partition_id()).distinct().count() > 10
