@@ -131,7 +131,6 @@ def read_export_json(spark: SparkSession, path: str, now: int) -> tuple[DataFram
 def read_large_export(spark: SparkSession, path: str, now: int, split_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same of files of any size, each of which is read by many tasks. Runs jobs when it is called."""
     chats, messages = split_export(spark, path, split_bytes)
-    chats, messages = staged(chats), staged(messages)
     peers = chats.select("file", "chat_no", export_peer_id("type", "id").alias("peer_id"))
     return _imported(chats, messages.join(peers, ["file", "chat_no"]).select("peer_id", "m.*"), now)
 

@@ -42,3 +42,12 @@ def test_blocks_are_read_apart(spark, tmp_path):
     size = (tmp_path / "result.json").stat().st_size
     assert pieces.select("_block").distinct().count() >= size // 20_000
     assert readers.read_large_export(spark, str(tmp_path), 5, 20_000)[1].count() == 400
+
+
+def test_small_blocks_share_files(spark, tmp_path):
+    """A file for each block would make a large export's first step one of files."""
+    (tmp_path / "result.json").write_text(json.dumps(chat(3, 3000, random.Random(1))))
+    pieces = exports._pieces(spark, str(tmp_path), 10_000)
+    blocks, files = pieces.select("_block").distinct().count(), len(pieces.inputFiles())
+    assert blocks > 64 and files <= max(blocks // 16 + 1, 4 * spark.sparkContext.defaultParallelism)
+    assert pieces.groupBy("at").count().where("count > 1").isEmpty()
