@@ -46,16 +46,22 @@ def visible_bytes() -> dict[int, int]:
 
 
 VISIBLE = visible_bytes()
+SPACE = chr(VISIBLE[0x20])
+#: Words that a worker keeps between tasks.
+LASTING = 400_000
 
 
 class WordTokenizer:
     """ids of a byte-level BPE tokenizer, which splits a text into words by its pattern before it merges.
 
     No word of the pattern goes on over a single space or line end, so texts fall apart there, and what lies between
-    is encoded once while the memory of `most` parts lasts. Texts with the string of a special token are
-    encoded as a whole.
+    is encoded once while the memory of `most` parts lasts. A word with marks behind it is the word's ids and the marks'.
+    Texts with the string of a special token are encoded as a whole.
     """
 
+    #: The pattern cuts between letters and marks; an apostrophe may begin a word of its own, so there is none here.
+    MARKED = regex.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+
     def __init__(self, path: str, pattern: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
@@ -70,19 +76,31 @@ class WordTokenizer:
 
     def _learn(self, new: list[str]) -> None:
         # letters, with a space before or not, are one word of the pattern: the model merges them directly
-        plain, rest = [], []
+        known, plain, rest, marked = self.known, set(), set(), []
         for part in new:
-            (plain if part.removeprefix(" ").isalpha() else rest).append(part)
+            if part.removeprefix(" ").isalpha():
+                plain.add(part)
+            elif found := self.MARKED.fullmatch(part):
+                word, mark = found.groups()
+                marked.append((part, word, mark))
+                plain.add(word)
+                rest.add(mark)
+            else:
+                rest.add(part)
         merge = self.tokenizer.model.tokenize
         for part in plain:
-            self.known[part] = array("I", [t.id for t in merge(part.encode().decode("latin-1").translate(VISIBLE))]).tobytes()
-        self.known.update(zip(rest, batch_ids(self.tokenizer, rest, threads=False)))
+            if part not in known:
+                shown = part.replace(" ", SPACE) if part.isascii() else part.encode().decode("latin-1").translate(VISIBLE)
+                known[part] = array("I", [t.id for t in merge(shown)]).tobytes()
+        rest = [part for part in rest if part not in known]
+        known.update(zip(rest, batch_ids(self.tokenizer, rest, threads=False)))
+        known.update((part, known[word] + known[mark]) for part, word, mark in marked)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [any(s in t for s in self.special) for t in texts]
         split = [[] if w else self.split(t) for t, w in zip(texts, whole)]
         if len(self.known) > self.most:
-            self.known = forget(self.known)
+            self.known = forget(self.known, LASTING)
         found = remembered(self.known, split, self._learn)
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(ids), np.uint32) for t, w, ids in zip(texts, whole, found)]
 
@@ -253,7 +271,7 @@ def _encode(path: str, pattern: str, kind: str):
             found = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             ids = [np.append(e, np.uint32(END_ID)).astype(kind).tobytes() for e in found]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())})
-        encoder.known = forget(encoder.known)
+        encoder.known = forget(encoder.known, LASTING)
 
     return run
 

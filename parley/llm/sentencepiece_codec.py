@@ -142,9 +142,9 @@ def remembered(known: dict[str, bytes], split: list[list[str]], learn) -> list[l
 LASTING = 200_000
 
 
-def forget(known: dict[str, bytes]) -> dict[str, bytes]:
+def forget(known: dict[str, bytes], lasting: int = LASTING) -> dict[str, bytes]:
     """The words that were met first: what a worker keeps between tasks, and when its memory is full."""
-    return dict(itertools.islice(known.items(), LASTING))
+    return dict(itertools.islice(known.items(), lasting))
 
 
 class Codec:

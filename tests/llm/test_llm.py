@@ -514,3 +514,16 @@ def test_texts_of_colliding_words(spark):
 def test_similar_documents_of_an_empty_table(spark):
     assert jaccard_join.similar_documents(docs(spark)).collect() == []
     assert jaccard_join.one_per_group(docs(spark)).collect() == []
+
+
+def test_marked_words_are_a_word_and_marks():
+    """A word is merged once, whatever marks stand behind it; the ids stay the library's."""
+    import public_tokenizers
+
+    from parley.llm import packing
+
+    own = packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    texts = ["Haus, Haus. Haus!! Übungen*** Übungen", "don't. don't's, x's' 's. a_b~ ª. º ɏ, ɐ, no-one's", "", " ", "(ab) ab) 'll. 'll ab'd.", "1. 2, a1. Жар. Жар"]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.known[" Haus"] + own.known["!!"] == own.known[" Haus!!"] and " Übungen" in own.known
