@@ -13,6 +13,8 @@ told apart by SHA-256 or XXH3-128.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import secrets
 import tempfile
 import uuid
@@ -56,6 +58,15 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Let the system have the memory that Python has freed. The driver goes on after a model was fitted on it, and the allocators would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the wanted columns, so that extra ones can't clash with ours."""
     return docs.select(*(F.col(f"`{c}`") for c in columns))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, lists, sliced, table, text_rows, unused
+from .common import fold, give_back, lists, sliced, table, text_rows, unused
 
 BITS = 15
 LETTER = regex.compile(r"\p{L}")
@@ -116,13 +116,25 @@ def fit(docs: DataFrame, n_max: int = 3, sample_per_lang: int = 600) -> dict:
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_per_lang / n))).otherwise(share)
     dice = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
-    rows = docs.where(dice < share).mapInArrow(_features(n_max), "doc_id long, lang string, at array<int>, counts array<int>").toPandas().sort_values("doc_id")
+    rows = docs.where(dice < share).mapInArrow(_features(n_max), "doc_id long, lang string, at array<int>, counts array<int>").toArrow()
     langs = sorted(sizes)
-    data = [(at, weigh(at, np.asarray(c), idf), langs.index(lang)) for lang, at, c in zip(rows["lang"], rows["at"], rows["counts"]) if len(at)]
+    # buckets are views of the table's own
+    ats, counts = (rows.column(c).combine_chunks() for c in ("at", "counts"))
+    ends, flat, counted = ats.offsets.to_numpy(), ats.values.to_numpy(), counts.values.to_numpy()
+    spoken = rows.column("lang").to_pylist()
+    data = []
+    for k in np.argsort(rows.column("doc_id").to_numpy(), kind="stable").tolist():
+        if ends[k + 1] > ends[k]:
+            at = flat[ends[k] : ends[k + 1]]
+            data.append((at, weigh(at, counted[ends[k] : ends[k + 1]], idf), langs.index(spoken[k])))
+    del rows, counts, counted
     learn, aside = [r for k, r in enumerate(data) if k % 10], data[::10]
     w = ftrl(learn, len(langs)) if learn else np.zeros(((1 << BITS) + 1, len(langs)))
     logits = np.array([x @ w[at] + 0.1 * w[-1] for at, x, _ in aside]).reshape(-1, len(langs))
-    return {"langs": langs, "idf": idf, "weights": w, "temperature": temperature(logits, np.array([y for *_, y in aside], int)), "n_max": n_max}
+    model = {"langs": langs, "idf": idf, "weights": w, "temperature": temperature(logits, np.array([y for *_, y in aside], int)), "n_max": n_max}
+    del ats, flat, data, learn, aside
+    give_back()
+    return model
 
 
 def _predict(model, columns: list[str]):

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -67,13 +68,34 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern, self.most, self.known = regex.compile(pattern), most, {}
+        self.pattern, self.most, self.known = regex.compile(pattern), most, {"": b""}
+
+    @staticmethod
+    def spaced(text: str) -> bool:
+        """Whether the pattern must split the text, as single spaces and line ends alone don't tell where its words begin."""
+        return text[-1:] in (" ", "\n") or any(s in text for s in SPACED)
 
     def split(self, text: str) -> list[str]:
-        if text[-1:] in (" ", "\n") or any(s in text for s in SPACED):
+        if self.spaced(text):
             return self.pattern.findall(text)
         return [w for w in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if w]
 
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that fall apart at single spaces and line ends. Arrow splits them and numbers their words, so that Python only sees each word once."""
+        words = pc.split_pattern(pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), "\n", "\0\n\0"), " ", "\0 "), "\0")
+        numbered = words.values.dictionary_encode()
+        own = numbered.dictionary.to_pylist()
+        self._learn([w for w in own if w not in self.known])
+        ids = list(map(self.known.__getitem__, own))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        ids = np.frombuffer(b"".join(ids), np.uint32)
+        word = numbered.indices.to_numpy()
+        size = sizes[word]
+        ends = np.append(0, np.cumsum(size))
+        ids = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], size)]
+        cuts = ends[words.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
     def _learn(self, new: list[str]) -> None:
         # letters, with a space before or not, are one word of the pattern: the model merges them directly
         known, plain, rest, marked = self.known, set(), set(), []
@@ -97,12 +119,16 @@ class WordTokenizer:
         known.update((part, known[word] + known[mark]) for part, word, mark in marked)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [any(s in t for s in self.special) for t in texts]
-        split = [[] if w else self.split(t) for t, w in zip(texts, whole)]
         if len(self.known) > self.most:
             self.known = forget(self.known, LASTING)
-        found = remembered(self.known, split, self._learn)
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(ids), np.uint32) for t, w, ids in zip(texts, whole, found)]
+        whole = [any(s in t for s in self.special) for t in texts]
+        spaced = [not w and self.spaced(t) for t, w in zip(texts, whole)]
+        plain = iter(self._encode_plain([t for t, w, s in zip(texts, whole, spaced) if not w and not s]))
+        found = iter(remembered(self.known, [self.split(t) for t, s in zip(texts, spaced) if s], self._learn))
+        return [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(next(found)), np.uint32) if s else next(plain)
+            for t, w, s in zip(texts, whole, spaced)
+        ]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -276,6 +302,14 @@ def _encode(path: str, pattern: str, kind: str):
     return run
 
 
+def _vocabulary(path: str, pattern: str):
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([tokenizer(path, pattern).tokenizer.get_vocab_size()], pa.int64())})
+
+    return run
+
+
 def _documents(batch: pa.RecordBatch, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(raw, kind) for raw in batch.column("ids").to_pylist()]
 
@@ -353,7 +387,8 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     folder = scratch(spark)
-    vocabulary = max(tokenizer(path, pattern).tokenizer.get_vocab_size(), END_ID + 1)
+    # asked of a task, so that the driver doesn't keep a tokenizer
+    vocabulary = max(spark.range(1, numPartitions=1).mapInArrow(_vocabulary(path, pattern), "n long").first()[0], END_ID + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     docs = text_rows(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     encoded = staged(docs.mapInArrow(_encode(path, pattern, kind), "doc_id long, ids binary"), folder, "encoded")

@@ -14,13 +14,15 @@ Scoring is one pass over the documents with no shuffle.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTES, SECOND, Words, fold, lists, sliced, spans_hash, table, text_rows, unused
+from .common import BYTES, SECOND, Words, fold, give_back, lists, sliced, spans_hash, table, text_rows, unused
 
 BITS = 18
 OUTER = np.zeros(256, bool)
@@ -63,6 +65,12 @@ class Machine:
         s = v.sum(0)
         return float(self.bias + self.w[at].sum() + 0.5 * (s @ s - (v * v).sum()))
 
+    def train(self, rows: list[tuple[np.ndarray, int]], least_ratio: float) -> None:
+        """Learn the terms that tell the classes apart, alone or in pairs."""
+        self.known = likelihood_ratio(rows) >= least_ratio
+        self.known[telling_pairs(rows, least_ratio)] = True
+        self.learn(rows)
+
     def learn(self, rows: list[tuple[np.ndarray, int]], epochs: int = 10, rate: float = 0.15, shrink_w: float = 2e-4, shrink_v: float = 2e-3) -> None:
         rows = [(at[self.known[at]], y) for at, y in rows]
         gw, gv, gb = np.full(len(self.w), 1e-2, np.float32), np.full(self.v.shape, 1e-1, np.float32), 1e-2
@@ -98,14 +106,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 3000, least_
     share = F.when(F.col("toxic") == 1, min(1.0, sample_per_class / sizes.get(1, 1))).otherwise(min(1.0, sample_per_class / sizes.get(0, 1)))
     dice = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) / (1 << 30)
     # the sample's ids are bounded by its size, so they are sent to the texts, not the texts to them
-    rows = text_rows(docs, "doc_id", "text").join(F.broadcast(labels.where(dice < share)), "doc_id").mapInArrow(_features, "doc_id long, toxic int, at array<int>").toPandas().sort_values("doc_id")
-    data = list({(np.asarray(at).tobytes(), int(y)): (np.asarray(at, np.int64), int(y)) for at, y in zip(rows["at"], rows["toxic"])}.values())
-    machine.known = likelihood_ratio(data) >= least_ratio
-    machine.known[telling_pairs(data, least_ratio)] = True
-    machine.learn(data)
+    rows = text_rows(docs, "doc_id", "text").join(F.broadcast(labels.where(dice < share)), "doc_id").mapInArrow(_features, "doc_id long, toxic int, at array<int>").toArrow()
+    machine.train(distinct_rows(rows), least_ratio)
+    del rows
+    give_back()
     return machine
 
 
+def distinct_rows(rows: pa.Table) -> list[tuple[np.ndarray, int]]:
+    """The terms and label of each row by doc_id, copies once; terms are views of the table's own."""
+    at, toxic = (rows.column(c).combine_chunks() for c in ("at", "toxic"))
+    ends, flat = at.offsets.to_numpy(), at.values.to_numpy()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    found = {}
+    for k in order.tolist():
+        terms_of, y = flat[ends[k] : ends[k + 1]], toxic[k].as_py()
+        found[hashlib.sha256(terms_of.tobytes()).digest(), y] = (terms_of, y)
+    return list(found.values())
+
+
 def ratio_of(seen: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     """Twice the log likelihood ratio of `presence depends on the class`, from the counts of either class."""
     total, all_rows, ratio = seen[0] + seen[1], max(size.sum(), 1), 0.0
@@ -137,7 +156,9 @@ def telling_pairs(rows: list[tuple[np.ndarray, int]], least_ratio: float, block:
     size = np.bincount(marks, minlength=2).astype(float)
     if not size.all():
         return np.zeros(0, np.int64)
-    found = np.bincount(np.concatenate([at for at, _ in rows]), minlength=1 << BITS).astype(float)
+    found = np.zeros(1 << BITS)
+    for at, _ in rows:
+        found[at] += 1
     # the most that a pair with the term can reach: all of its rows in one class
     reach = np.maximum(ratio_of([np.minimum(found, size[0]), 0 * found], size), ratio_of([0 * found, np.minimum(found, size[1])], size))
     kept = np.flatnonzero(reach >= least_ratio)
