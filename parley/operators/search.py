@@ -9,7 +9,7 @@ import functools
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +19,29 @@ from ..functions.ids import message_anchor, page_file, peer_dir
 K1, B = 1.2, 0.75
 
 
-@F.pandas_udf(T.StringType())
-def _fold(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
+#: Texts that are Python strings at a time: a batch has thousands, which take several times their bytes.
+FOLDED_ROWS = 32
+
+
+#: Combining marks of 16 bits; a class with longer ones as well would be searched range by range.
+_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c)) + "]+")
+_LONG = re.compile("[\U00010000-\U0010ffff]")
+
+
+def folded(text: str) -> str:
+    """The text in lower case, decomposed, without combining marks."""
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text.lower()))
+    return _LONG.sub(lambda c: "" if unicodedata.combining(c[0]) else c[0], text)
+
+
+def fold_texts(texts: pa.Array) -> pa.Array:
+    parts = (texts[at : at + FOLDED_ROWS].to_pylist() for at in range(0, len(texts), FOLDED_ROWS))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else folded(t) for t in part], pa.string()) for part in parts)])
+
+
+@F.arrow_udf(T.StringType())
+def _fold(text: pa.Array) -> pa.Array:
+    return fold_texts(text)
 
 
 def fold_diacritics(text: str | Column) -> Column:
@@ -62,7 +82,7 @@ def query_terms(query: str) -> list[tuple[str, bool]]:
     """(token, is_prefix) of a query, all of them wanted; `word*` is a prefix."""
     found = []
     for part in query.split():
-        word = "".join(c for c in unicodedata.normalize("NFKD", part.lower()) if not unicodedata.combining(c))
+        word = folded(part)
         prefix, word = word.endswith("*"), "".join(c if c.isalnum() else " " for c in word)
         found += [(w, prefix) for w in word.split()]
     return found

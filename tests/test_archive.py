@@ -280,3 +280,19 @@ def test_sizes_without_area_are_told_apart(spark):
     for rows in (sizes, sizes[::-1]):
         found = lookups.best_photo_size(spark.createDataFrame(rows, "photo_id long, ordinal int, width long, height long, bytes long").coalesce(1), ["photo_id"])
         assert [tuple(r) for r in found.collect()] == [sizes[0]]
+
+
+def test_folding_holds_few_texts_at_a_time():
+    """A batch's texts are several times their bytes as Python strings, so only some are there at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "ÀB", "a\U0001d165b", "ﬁ"] + ["Ā" + "é" * 10_000] * 2000)
+    tracemalloc.start()
+    found = search.fold_texts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[:4].to_pylist() == [None, "ab", "ab", "fi"] and found[-1].as_py() == "a" + "e" * 10_000 and len(found) == 2004
+    assert peak < 8 << 20
+    assert search.fold_texts(pa.array([], pa.string())).to_pylist() == []
