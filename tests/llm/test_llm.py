@@ -527,3 +527,21 @@ def test_marked_words_are_a_word_and_marks():
     for text, ids in zip(texts, own.encode(texts)):
         assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
     assert own.known[" Haus"] + own.known["!!"] == own.known[" Haus!!"] and " Übungen" in own.known
+
+
+def test_words_numbered_by_arrow_have_the_vocabularys_ids():
+    import public_tokenizers
+
+    encoder = packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    for texts in ([], ["", ""], ["a  b"], ["a  b", "c d", "", "x\ny", "c d"], ["\0", "a\nb", "don't stop, it's 5.3€ ok!"], ["<|endoftext|> a", "日本 語"]):
+        assert [ids.tolist() for ids in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(encoder.known)[0] == ""
+
+
+def test_sampled_rows_are_views_and_copies_count_once():
+    import pyarrow as pa
+
+    rows = pa.table({"doc_id": pa.array([3, 1, 2]), "toxic": pa.array([1, 0, 1], pa.int32()), "at": pa.array([[5, 6], [7], [5, 6]], pa.list_(pa.int32()))})
+    for table in (rows, pa.concat_tables([rows.slice(1, 2), rows.slice(0, 1)])):
+        assert [(at.tolist(), y) for at, y in toxicity.distinct_rows(table)] == [([7], 0), ([5, 6], 1)]
+    assert toxicity.distinct_rows(rows.slice(0, 0)) == []
