@@ -17,8 +17,8 @@
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,7 +47,8 @@ def visible_bytes() -> dict[int, int]:
 
 
 VISIBLE = visible_bytes()
-SPACE = chr(VISIBLE[0x20])
+#: The same by byte, as code points; 0xFF, which is in no text, becomes the space that no such word has.
+SHOWN = np.array([VISIBLE.get(b, b) for b in range(255)] + [0x20], "<u4")
 #: Words that a worker keeps between tasks.
 LASTING = 400_000
 
@@ -60,13 +61,19 @@ class WordTokenizer:
     Texts with the string of a special token are encoded as a whole.
     """
 
-    #: The pattern cuts between letters and marks; an apostrophe may begin a word of its own, so there is none here.
-    MARKED = regex.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+    #: The pattern cuts between letters and these; an apostrophe may begin a word of its own, so it isn't one.
+    MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+    LATIN = regex.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
     def __init__(self, path: str, pattern: str, most: int = 800_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # the same model without the pattern: it merges words that are known to be one, written as the vocabulary shows bytes
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.width = np.zeros(self.merger.get_vocab_size(), np.int64)
+        for token, k in self.merger.get_vocab().items():
+            self.width[k] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern, self.most, self.known = regex.compile(pattern), most, {"": b""}
 
@@ -80,50 +87,59 @@ class WordTokenizer:
             return self.pattern.findall(text)
         return [w for w in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if w]
 
-    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of texts that fall apart at single spaces and line ends. Arrow splits them and numbers their words, so that Python only sees each word once."""
-        words = pc.split_pattern(pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), "\n", "\0\n\0"), " ", "\0 "), "\0")
+    def _encode_plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of texts that fall apart at single spaces and line ends. Arrow splits them, numbers their words and puts the ids in their places, so that Python only sees each word once."""
+        words = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 "), "\0")
         numbered = words.values.dictionary_encode()
-        own = numbered.dictionary.to_pylist()
+        own = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._learn([w for w in own if w not in self.known])
-        ids = list(map(self.known.__getitem__, own))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        ids = np.frombuffer(b"".join(ids), np.uint32)
-        word = numbered.indices.to_numpy()
-        size = sizes[word]
-        ends = np.append(0, np.cumsum(size))
-        ids = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], size)]
-        cuts = ends[words.offsets.to_numpy()]
+        found = pa.array(list(map(self.known.__getitem__, own)), pa.large_binary()).take(numbered.indices)
+        _, ends, ids = found.buffers()
+        ids = np.frombuffer(ids or b"", np.uint32)
+        cuts = np.frombuffer(ends, np.int64, len(found) + 1)[words.offsets.to_numpy()] >> 2
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
+    def _merged(self, words: list[str], chunk: int = 256) -> list[bytes]:
+        """The ids of words that the pattern doesn't split, many in a call. The vocabulary has all bytes, so the tokens' widths tell where a word ends."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the library looks at each call
+        raw = [w.encode() for w in words]
+        shown = [SHOWN[np.frombuffer(b"\xff".join(raw[a : a + chunk]), np.uint8)].tobytes().decode("utf-32-le") for a in range(0, len(raw), chunk)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.merger.encode_batch_fast(shown, add_special_tokens=False))])
+        ends = np.append(0, np.cumsum(self.width[ids]))
+        want = np.append(0, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))))
+        at = np.searchsorted(ends, want)
+        if ends[-1] != want[-1] or (ends[at] != want).any():
+            raise ValueError("a word whose bytes the vocabulary lacks")
+        ids, cuts = ids.tobytes(), (4 * at).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _learn(self, new: list[str]) -> None:
-        # letters, with a space before or not, are one word of the pattern: the model merges them directly
-        known, plain, rest, marked = self.known, set(), set(), []
+        # letters, with a space before or not, are one word of the pattern
+        known, plain, rest, marked = self.known, {}, {}, []
         for part in new:
-            if part.removeprefix(" ").isalpha():
-                plain.add(part)
-            elif found := self.MARKED.fullmatch(part):
-                word, mark = found.groups()
+            word = part.rstrip(self.MARKS)
+            if not word.removeprefix(" ").isalpha() or word != part and not word.isascii() and not self.LATIN.fullmatch(word):
+                rest[part] = None
+                continue
+            plain[word] = None
+            if word != part:
+                mark = part[len(word) :]
                 marked.append((part, word, mark))
-                plain.add(word)
-                rest.add(mark)
-            else:
-                rest.add(part)
-        merge = self.tokenizer.model.tokenize
-        for part in plain:
-            if part not in known:
-                shown = part.replace(" ", SPACE) if part.isascii() else part.encode().decode("latin-1").translate(VISIBLE)
-                known[part] = array("I", [t.id for t in merge(shown)]).tobytes()
-        rest = [part for part in rest if part not in known]
+                rest[mark] = None
+        plain, rest = ([w for w in words if w not in known] for words in (plain, rest))
+        known.update(zip(plain, self._merged(plain)))
         known.update(zip(rest, batch_ids(self.tokenizer, rest, threads=False)))
         known.update((part, known[word] + known[mark]) for part, word, mark in marked)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.known) > self.most:
             self.known = forget(self.known, LASTING)
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = column.to_pylist()
         whole = [any(s in t for s in self.special) for t in texts]
         spaced = [not w and self.spaced(t) for t, w in zip(texts, whole)]
-        plain = iter(self._encode_plain([t for t, w, s in zip(texts, whole, spaced) if not w and not s]))
+        plain = iter(self._encode_plain(column.filter(pa.array([not w and not s for w, s in zip(whole, spaced)], pa.bool_()))))
         found = iter(remembered(self.known, [self.split(t) for t, s in zip(texts, spaced) if s], self._learn))
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(next(found)), np.uint32) if s else next(plain)
@@ -294,7 +310,7 @@ def _encode(path: str, pattern: str, kind: str):
     def run(batches):
         encoder = tokenizer(path, pattern)
         for batch in sliced(batches, most=2 << 20):
-            found = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            found = encoder.encode(pc.fill_null(batch.column("text"), ""))
             ids = [np.append(e, np.uint32(END_ID)).astype(kind).tobytes() for e in found]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())})
         encoder.known = forget(encoder.known, LASTING)

@@ -538,6 +538,29 @@ def test_words_numbered_by_arrow_have_the_vocabularys_ids():
     assert list(encoder.known)[0] == ""
 
 
+def test_new_words_are_merged_many_in_a_call():
+    """A call of the library for some hundreds of new words, not one for each; the ids stay its own."""
+    import public_tokenizers
+
+    class Counted:
+        def __init__(self, of):
+            self.of, self.calls = of, 0
+
+        def __getattr__(self, name):
+            def call(*args, **options):
+                self.calls += 1
+                return getattr(self.of if hasattr(self.of, name) else self.of.model, name)(*args, **options)
+
+            return self if name == "model" else call
+
+    encoder = packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    library, letters = encoder.tokenizer, "aeinrstñóЖя日ǆß"
+    texts = [" ".join("".join(letters[(k * 7 + j * j * (k + 1)) % len(letters)] for j in range(1 + k % 23)) + ("", ".", ",")[k % 3] for k in range(n)) for n in (1500, 1, 300)]
+    encoder.tokenizer, encoder.merger = Counted(encoder.tokenizer), Counted(getattr(encoder, "merger", None))
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.tokenizer.calls + encoder.merger.calls <= 4 and len(encoder.known) > 800
+
+
 def test_sampled_rows_are_views_and_copies_count_once():
     import pyarrow as pa
 
