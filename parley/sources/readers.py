@@ -189,27 +189,34 @@ _HTML = pa.schema([("folder", pa.string()), ("file_no", pa.int32()), ("elem_no",
 _HTML_DDL = "folder string, file_no int, elem_no int, message_id long, is_service boolean, joined boolean, sender_name string, date_text string, text string, entities string, reply_to_msg_id long, media_path string, title string"
 
 
+_TITLE, _NAME = (re.compile(p, re.S) for p in (r'<div class="text bold">\s*(.*?)\s*</div>', r'<div class="from_name">\s*(.*?)\s*(?:<span|</div>)'))
+_SERVICE, _TEXT = (re.compile(p, re.S) for p in (r'<div class="body details">\s*(.*?)\s*</div>', r'<div class="text">\s*(.*?)\s*</div>'))
+_DATE, _REPLY = re.compile(r'class="pull_right date details" title="([^"]*)"'), re.compile(r'href="[^"]*#go_to_message(\d+)"')
+_PATH = re.compile(r'<a class="[^"]*(?:photo_wrap|media_\w+|video_file_wrap)[^"]*" href="([^"]*)"')
+
+
 def _elements(batches):
     import json
 
     for batch in batches:
-        rows = []
+        rows = {name: [] for name in _HTML.names}
         for folder, file_no, page in zip(*(batch.column(c).to_pylist() for c in ("folder", "file_no", "html"))):
-            title = re.search(r'<div class="text bold">\s*(.*?)\s*</div>', page, re.S)
+            title = _TITLE.search(page)
+            title = title and html_lib.unescape(title[1])
             marks = list(_DIV.finditer(page))
             for n, m in enumerate(marks):
-                part = page[m.end() : marks[n + 1].start() if n + 1 < len(marks) else len(page)]
-                find = lambda p: (x := re.search(p, part, re.S)) and x[1]  # noqa: B023, E731
-                service = "service" in m[1].split()
-                body = find(r'<div class="body details">\s*(.*?)\s*</div>') if service else find(r'<div class="text">\s*(.*?)\s*</div>')
-                text, entities = _plain(body) if body else (None, [])
-                name = find(r'<div class="from_name">\s*(.*?)\s*(?:<span|</div>)')
-                rows.append({
-                    "folder": folder, "file_no": file_no, "elem_no": n, "message_id": int(m[2]), "is_service": service, "joined": "joined" in m[1].split(), "sender_name": name and html_lib.unescape(name),
-                    "date_text": find(r'class="pull_right date details" title="([^"]*)"'), "text": text, "entities": json.dumps(entities) if entities else None, "reply_to_msg_id": (r := find(r'href="[^"]*#go_to_message(\d+)"')) and int(r),
-                    "media_path": find(r'<a class="[^"]*(?:photo_wrap|media_\w+|video_file_wrap)[^"]*" href="([^"]*)"'), "title": title and html_lib.unescape(title[1]),
-                })
-        yield pa.RecordBatch.from_pylist(rows, schema=_HTML)
+                at, end = m.end(), marks[n + 1].start() if n + 1 < len(marks) else len(page)
+                find = lambda p: (x := p.search(page, at, end)) and x[1]  # noqa: B023, E731
+                classes = m[1].split()
+                service = "service" in classes
+                body = find(_SERVICE if service else _TEXT)
+                text, entities = (_plain(body) if "<" in body else (html_lib.unescape(body).strip("\n"), [])) if body else (None, [])
+                name = find(_NAME)
+                reply, path = (find(_REPLY), find(_PATH)) if page.find("href", at, end) >= 0 else (None, None)
+                found = (folder, file_no, n, int(m[2]), service, "joined" in classes, name and html_lib.unescape(name), find(_DATE), text, json.dumps(entities) if entities else None, reply and int(reply), path, title)
+                for column, value in zip(rows.values(), found):
+                    column.append(value)
+        yield pa.RecordBatch.from_pydict(rows, schema=_HTML)
 
 
 def export_date(text: str) -> Column:
@@ -261,7 +268,7 @@ def read_export_html(spark: SparkSession, root: str, now: int) -> DataFrame:
 def parse_export_pages(pages: DataFrame, now: int) -> DataFrame:
     """Messages of export pages (page, html): pages in order, senders carried over joined rows, dates (those of dividers too) carried forward.
 
-    Elements are cut out of each page in Python; what spans pages is carried from one stretch of elements to the next.
+    Elements are cut out of each page in Python, once, and written; what spans pages is carried from one stretch of elements to the next.
     """
     name = F.regexp_extract("page", r"([^/]*)$", 1)
     pages = pages.where(name.rlike(r"^messages\d*\.html$")).select(F.regexp_replace("page", "/?[^/]*$", "").alias("folder"), F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("int"), F.lit(1)).alias("file_no"), "html")
@@ -270,7 +277,8 @@ def parse_export_pages(pages: DataFrame, now: int) -> DataFrame:
     real, order = F.col("message_id") > 0, F.col("_order")
     date = F.when(real, export_date("date_text")).otherwise(date_divider(F.coalesce("text", F.lit(""))))
     sender = F.when(real & ~F.col("is_service"), F.col("sender_name"))
-    rows = rows.withColumns({"_date": date, "_sender": sender})
+    # ranges are cut by a sample, which would parse every page and date once more
+    rows = staged(rows.withColumns({"_date": date, "_sender": sender}))
     last, seen = lambda c: F.last(c, ignorenulls=True), lambda c: (F.max_by(c, F.when(F.col(c).isNotNull(), order)), lambda x: F.last(x, ignorenulls=True))
     rows, block = carried(rows, ("folder",), "_order", _date_before=seen("_date"), _sender_before=seen("_sender"))
     sofar = block.rowsBetween(Window.unboundedPreceding, 0)

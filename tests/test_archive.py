@@ -147,6 +147,22 @@ def test_html_export(spark, tmp_path):
     assert [(r.folder, r.kind, r.n_files) for r in readers.discover_exports(spark, str(tmp_path)).collect()] == [("club", "html", 2)]
 
 
+def test_export_pages_are_parsed_once(spark):
+    """Cutting their elements into ranges takes a sample, which must not parse the pages again."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    div = '<div class="message default" id="message{0}"><div class="from_name">A</div><div class="text">a &amp; {0}<br>b</div></div>'
+    pages = spark.createDataFrame([(f"c{k % 3}/messages{k or ''}.html", div.format(k + 1)) for k in range(12)], "page string, html string").repartition(4)
+    rows = readers.parse_export_pages(pages.mapInArrow(counted, pages.schema), 5).orderBy("message_id").collect()
+    assert [(r.folder, r.message_id, r.text, r.sender_name, r.date) for r in rows] == [(f"c{k % 3}", k + 1, f"a & {k + 1}\nb", "A", 5) for k in range(12)]
+    assert passed.value == 12
+
+
 def test_stream_gives_the_batch_result_and_stops_at_unsupported_events(spark, tmp_path):
     base = {"kind": "new", "slice_id": 1, "peer_id": 1, "date": 10, "state": "active", "pts_count": 1, "affects_state": False, "peer": {"peer_id": 1, "peer_type": "user", "name": "Ann"}}
     events = [
