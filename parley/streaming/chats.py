@@ -29,16 +29,17 @@ COLUMNS = [c.split()[0] for c in UPDATES.split(", peer struct")[0].split(", ")]
 #: When an event arrived: the time of its batch, which no event is behind.
 ARRIVED = "arrived"
 
+#: What decides an event's turn, and the rest of it as JSON: Python and the state pass that on as it is, which costs much less than a dozen columns and a struct.
+_EVENT = "kind string, slice_id long, seq long, peer_id long, pts long, pts_count long, affects_state boolean, rest string"
+FIELDS = [c.split()[0] for c in _EVENT.split(", ")]
+REST = [c for c in COLUMNS if c not in FIELDS]
+_REST = ", ".join([c for c in UPDATES.split(", peer struct")[0].split(", ") if c.split()[0] in REST] + [UPDATES[UPDATES.index("peer struct") :]])
+
 _PLACE = "pts long, frozen_from long, number long, timer long, uncertain boolean"
-_KEY, _EVENT, _EARLY = "slice_id long, seq long", UPDATES, f"{UPDATES}, arrived_ms long"
+_KEY, _EARLY = "slice_id long, seq long", f"{_EVENT}, arrived_ms long"
 ALL = -(1 << 63)
 
 
-def _plain(values: Iterable) -> tuple:
-    """Structs come out of the state as rows; they go in, and to Arrow, as dicts."""
-    return tuple(v.asDict() if isinstance(v, Row) else v for v in values)
-
-
 class ChatFeed(StatefulProcessor):
     """The state of one chat. A task holds the chat's events of one batch, and those that wait for a gap to close."""
 
@@ -61,17 +62,17 @@ class ChatFeed(StatefulProcessor):
             if row["kind"] == "recovered":
                 recovered.append(ALL if row["pts"] is None else row["pts"])
             elif not self._replayed(row["pts"]):
-                fresh[row["slice_id"], row["seq"]] = _plain(row[c] for c in COLUMNS)
+                fresh[row["slice_id"], row["seq"]] = tuple(row[c] for c in FIELDS)
         told = set()
         if recovered:
             # what froze the chat is settled by the snapshot; its counter still counts
-            waited = {k: tuple(False if c == "affects_state" else x for c, x in zip(COLUMNS, v)) for k, v in self._held(self.stopped)}
+            waited = {k: tuple(False if c == "affects_state" else x for c, x in zip(FIELDS, v)) for k, v in self._held(self.stopped)}
             fresh, told = waited | fresh, set(waited)
             self.stopped.clear()
             self.frozen_from = None
             if self.pts is None or max(recovered) > self.pts:
                 self.pts = max(recovered)
-            fresh = {k: v for k, v in fresh.items() if not self._replayed(v[COLUMNS.index("pts")])}
+            fresh = {k: v for k, v in fresh.items() if not self._replayed(v[FIELDS.index("pts")])}
         yield from self._go_on(fresh, told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -92,15 +93,15 @@ class ChatFeed(StatefulProcessor):
 
     @staticmethod
     def _held(state) -> Iterator[tuple[tuple, tuple]]:
-        return ((tuple(k), _plain(v)) for k, v in state.iterator()) if state.exists() else iter(())
+        return ((tuple(k), tuple(v)) for k, v in state.iterator()) if state.exists() else iter(())
 
     @staticmethod
     def _affects(event: tuple) -> bool:
-        return event[COLUMNS.index("kind")] == "unsupported" and bool(event[COLUMNS.index("affects_state")])
+        return event[FIELDS.index("kind")] == "unsupported" and bool(event[FIELDS.index("affects_state")])
 
     def _action(self, action: str, event: Iterable, before: int | None = None) -> Row:
         self.number += 1
-        return Row(action=action, number=self.number, before=before, uncertain=self.frozen_from is not None, **dict(zip(COLUMNS, event)))
+        return Row(action=action, number=self.number, before=before, uncertain=self.frozen_from is not None, **dict(zip(FIELDS, event)))
 
     def _go_on(self, fresh: dict[tuple, tuple], told: set, until: int = ALL) -> Iterator[Row]:
         """Apply what is due of the fresh events and of those that came early, and keep the rest.
@@ -115,7 +116,7 @@ class ChatFeed(StatefulProcessor):
         held = {k: event[:-1] for k, event in early.items()}
         for k, event in sorted((held | fresh).items()):
             stop = self.frozen_from is not None and k[0] >= self.frozen_from
-            if event[COLUMNS.index("kind")] == "unsupported" and k not in held and k not in told and not (stop and self.stopped.containsKey(k)):
+            if event[FIELDS.index("kind")] == "unsupported" and k not in held and k not in told and not (stop and self.stopped.containsKey(k)):
                 yield self._action("dead", event)
             if stop:
                 self.stopped.updateValue(k, event)
@@ -126,7 +127,7 @@ class ChatFeed(StatefulProcessor):
         waits, first = False, self.now
         for k, event in due.items():
             arrived = early[k][-1] if k in early else self.now
-            values = dict(zip(COLUMNS, event))
+            values = dict(zip(FIELDS, event))
             pts, count = values["pts"], values["pts_count"] or 0
             # counters begin at 0: what an unknown chat shows first may not be its beginning
             if not waits and pts is not None and pts - count > (0 if self.pts is None else self.pts):
@@ -154,8 +155,8 @@ class ChatFeed(StatefulProcessor):
         before = tuple(self.place.get()) if self.place.exists() else None
         self.uncertain = self.frozen_from is not None
         if before is None or (self.pts, self.uncertain) != (before[0], before[4]):
-            empty = [None] * len(COLUMNS)
-            empty[COLUMNS.index("pts")], empty[COLUMNS.index("peer_id")] = self.pts, self.chat
+            empty = [None] * len(FIELDS)
+            empty[FIELDS.index("pts")], empty[FIELDS.index("peer_id")] = self.pts, self.chat
             yield self._action("state", empty)
         self.place.update((self.pts, self.frozen_from, self.number, self.timer, self.uncertain))
 
@@ -167,9 +168,10 @@ def ordered_events(updates: DataFrame, patience_ms: int = 60_000, known: DataFra
     event with the chat's slice_id and seq of one that waits takes its place. Time is that of the batches, so no event is too late:
     a gap is left behind in the first batch that begins patience_ms after the one in which it showed.
     """
-    rows = updates.where("peer_id is not null").select(*COLUMNS, F.current_timestamp().alias(ARRIVED)).withWatermark(ARRIVED, f"{patience_ms} milliseconds").withColumn("arrived_ms", F.unix_millis(ARRIVED))
+    rows = updates.where("peer_id is not null").select(*FIELDS[:-1], F.to_json(F.struct(*REST)).alias("rest"), F.current_timestamp().alias(ARRIVED)).withWatermark(ARRIVED, f"{patience_ms} milliseconds").withColumn("arrived_ms", F.unix_millis(ARRIVED))
     initial = known.select("peer_id", F.col("pts").cast("long").alias("pts"), F.coalesce("uncertain", F.lit(False)).alias("uncertain")).groupBy("peer_id") if known is not None else None
-    return rows.groupBy("peer_id").transformWithState(ChatFeed(), ACTIONS, "Update", "EventTime", initial)
+    actions = rows.groupBy("peer_id").transformWithState(ChatFeed(), f"action string, number long, before long, uncertain boolean, {_EVENT}", "Update", "EventTime", initial)
+    return actions.withColumn("rest", F.from_json("rest", _REST)).select("action", "number", "before", "uncertain", *(F.col(c if c in FIELDS else f"rest.{c}").alias(c) for c in COLUMNS))
 
 
 def start(stream, checkpoint: str, trigger: dict | None):

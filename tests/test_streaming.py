@@ -216,3 +216,40 @@ def test_keys_without_values_and_chats_between_buckets(spark, tmp_path):
         archive.update({"sync_state": spark.createDataFrame([(chat,)], "peer_id long")}, lambda t, chat=chat: {"sync_state": t["sync_state"].union(spark.createDataFrame([(chat, 0)], "peer_id long, pts int"))}, "f", chat)
         assert archive.read("sync_state", [chat]).count() == 1
     assert archive.read("sync_state").count() == 9
+
+
+def test_a_chats_state_only_sees_what_decides_an_events_turn():
+    """The rest of an event goes through as it came, in one string."""
+    from pyspark.sql import Row
+
+    class Held(dict):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return self["value"]
+
+        def update(self, value):
+            self["value"] = value
+
+        def iterator(self):
+            return iter(self.items())
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def containsKey(self, key):
+            return key in self
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+        getMapState = getValueState
+
+    feed = chats.ChatFeed()
+    feed.init(Handle())
+    rows = [Row(kind=kind, slice_id=n, seq=n, peer_id=1, pts=n, pts_count=1, affects_state=True, rest=rest, arrived_ms=5) for n, kind, rest in ((2, "edit", '{"text":"\\"é"}'), (1, "new", "{}"), (3, "unsupported", None), (4, "new", "x"))]
+    found = list(feed.handleInputRows((1,), iter(rows), None))
+    assert [(r.action, r.pts, r.rest) for r in found] == [("dead", 3, None), ("apply", 1, "{}"), ("apply", 2, '{"text":"\\"é"}'), ("state", 2, None)]
+    assert feed.stopped[(4, 4)] == ("new", 4, 4, 1, 4, 1, True, "x")
