@@ -12,7 +12,7 @@ def _c(x: str | Column) -> Column:
 
 def reply_snippet(text: str | Column, state: str | Column, most: int = 100) -> Column:
     """The first line that isn't blank, cut with `...`; stand-ins for deleted messages and ones without text."""
-    line = F.filter(F.split(_c(text), "\n"), lambda x: F.trim(x) != "")[0]
+    line = F.get(F.filter(F.split(_c(text), "\n"), lambda x: F.trim(x) != ""), F.lit(0))
     cut = F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
     return F.when(_c(state) == "deleted", F.lit("Deleted message")).otherwise(F.coalesce(cut, F.lit("Attachment")))
 

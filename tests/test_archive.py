@@ -323,3 +323,19 @@ def test_many_small_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch
     found = registry.QUERIES["s5_scan_media_files"](spark, "/root/testdata/sf0.001").count()
     tasks = {f.name.split("-")[1] for f in (tmp_path / "files").rglob("part-*.txt")}
     assert found == sum(1 for _ in (tmp_path / "files").rglob("part-*.txt")) > 8 and len(tasks) > 1
+
+
+def test_snippets_of_texts_without_any_line(spark, tmp_path):
+    """A document of nothing but blanks and line ends has no first line to be taken."""
+    import duckdb
+
+    from parley.plans import registry
+
+    rows = [(1, ""), (2, " "), (3, "\n \n\n"), (4, None), (5, "\n  a \nb"), (6, "\t"), (7, "é" * 100), (8, "é" * 101), (9, "\r\nb")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, registry.QUERIES["x19_reply_snippet"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert found == sorted(con.execute(registry.ORACLE_SQL["x19_reply_snippet"]).fetchall())
+    assert [s for _, s in found[:5]] == ["Attachment"] * 4 + ["  a "]
