@@ -16,13 +16,13 @@ def _(a):
     return fd.dedupe_updates(twice).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _updates(a):
-    """The feed in slices of ten; one event in 97 is of an unknown kind."""
+def _updates(a, *more):
+    """The feed in slices of ten; one event in 97 is of an unknown kind. more: columns of the feed beside those of updates."""
     odd = F.col("event_id") % 97 == 5
     return a.feed.select(
         F.when(odd, "unsupported").otherwise(F.col("kind")).alias("kind"), F.floor(F.col("seq") / 10).alias("slice_id"), F.col("seq").cast("long").alias("seq"), "peer_id", F.when(~odd, F.col("message_id")).alias("message_id"), "date", "text",
         F.when(F.col("kind") == "edit", "edited").otherwise("active").alias("state"), F.when(F.col("kind") == "edit", F.col("date")).alias("edit_date"), "views", F.col("seq").cast("long").alias("pts"), F.lit(1).cast("long").alias("pts_count"), (F.col("event_id") % 2 == 0).alias("affects_state"),
-        F.struct("peer_id", F.lit("user").alias("peer_type"), F.concat(F.lit("p"), F.col("seq").cast("string")).alias("name"), F.lit(None).cast("string").alias("username"), F.col("date").alias("updated_at")).alias("peer"),
+        F.struct("peer_id", F.lit("user").alias("peer_type"), F.concat(F.lit("p"), F.col("seq").cast("string")).alias("name"), F.lit(None).cast("string").alias("username"), F.col("date").alias("updated_at")).alias("peer"), *more,
     )
 
 

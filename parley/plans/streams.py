@@ -53,7 +53,7 @@ def _turns(a) -> BucketArchive:
     """Most events, and after a restart the late ones; after another the recoveries."""
     folder = scratch(a.spark)
     archive = _archive(a, folder)
-    rows = staged(_updates(a).join(a.feed.select("peer_id", "seq", "event_id"), ["peer_id", "seq"]).where("event_id % 23 <> 7"))
+    rows = staged(_updates(a, "event_id").where("event_id % 23 <> 7"))
     late = "event_id % 5 = 0 and kind <> 'unsupported'"
     _run(a, archive, folder, "feed", rows.where(f"not ({late})"), HOUR)
     _run(a, archive, folder, "feed", rows.where(late), 0)

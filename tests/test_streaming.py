@@ -253,3 +253,94 @@ def test_a_chats_state_only_sees_what_decides_an_events_turn():
     found = list(feed.handleInputRows((1,), iter(rows), None))
     assert [(r.action, r.pts, r.rest) for r in found] == [("dead", 3, None), ("apply", 1, "{}"), ("apply", 2, '{"text":"\\"é"}'), ("state", 2, None)]
     assert feed.stopped[(4, 4)] == ("new", 4, 4, 1, 4, 1, True, "x")
+
+
+class Calls:
+    """A state of a group, whose calls are counted."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.value or [])) if isinstance(self.value, list) else self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def put(self, values):
+        self.calls.append("put")
+        self.value = list(values)
+
+    def appendList(self, values):
+        self.calls.append("appendList")
+        self.value = (self.value or []) + list(values)
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = []
+
+
+def group_feed():
+    """A feed's group with its states, its timers, and what a batch at a time and a timer make of it."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    states, timers = {"early": Calls(), "stopped": Calls(), "places": Calls()}, set()
+    states["early"].value, states["stopped"].value = [], []
+    group = chats.GroupFeed()
+    group.init(SimpleNamespace(getValueState=lambda name, _: states[name], getListState=lambda name, _: states[name], registerTimer=timers.add, deleteTimer=timers.remove))
+
+    def told(rows):
+        out = []
+        for row in rows:
+            columns = json.loads(row.actions)
+            out += zip(*(columns[c] for c in ("peer_id", "action", "before", "pts")))
+        return sorted(out, key=str)
+
+    def batch(now, *events):
+        columns = {c: [e.get(c) for e in events] for c in chats.FIELDS}
+        return told(group.handleInputRows((0,), iter([Row(chats=0, events=json.dumps(columns), arrived_ms=now)]), None))
+
+    def timer(at, watermark):
+        found = told(group.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+        timers.discard(at)
+        return found
+
+    return states, timers, batch, timer
+
+
+def test_a_group_calls_its_state_once_for_many_events():
+    """A call for each event that waits cost far more than the event."""
+    states, timers, batch, timer = group_feed()
+    wait = [event(n, chat=chat) for chat in (1, 2, 3) for n in range(2, 5_000)]
+    assert batch(5, *wait) == [(c, "state", None, None) for c in (1, 2, 3)] and timers == {5}
+    assert [sum(map(len, map(json.loads, (p for (p,) in states["early"].value))))] == [len(wait)]
+    found = batch(6, event(1, chat=2))
+    assert len(found) == 5_000 and found[-1] == (2, "state", None, 4_999) and timers == {5}
+    assert {name: state.calls for name, state in states.items()} == {"early": ["appendList", "get", "put"], "stopped": [], "places": ["get", "update"] * 2}
+
+
+def test_the_chats_of_a_group_have_their_own_time():
+    """A group has one timer, but what its chats wait for is left behind when each one's time is up."""
+    states, timers, batch, timer = group_feed()
+    assert batch(5, event(1), event(3), event(1, chat=2)) == [(1, "apply", None, 1), (1, "state", None, 1), (2, "apply", None, 1), (2, "state", None, 1)]
+    assert batch(9, event(4, chat=2)) == [] and batch(12, event(1, chat=3), event(7, chat=3)) and timers == {5}
+    # chats 1 and 2 at once, though the group's timer was chat 1's
+    assert timer(5, 9) == [(1, "apply", None, 3), (1, "gap", 1, 3), (1, "state", None, 3), (2, "apply", None, 4), (2, "gap", 1, 4), (2, "state", None, 4)]
+    assert timers == {12}
+    assert timer(12, 12) == [(3, "apply", None, 7), (3, "gap", 1, 7), (3, "state", None, 7)] and not timers
+    assert states["early"].value == []
+
+
+def test_what_a_groups_chat_has_stopped_is_its_own():
+    states, timers, batch, timer = group_feed()
+    stop = {"kind": "unsupported", "affects_state": True}
+    batch(5, event(1), event(2, **stop), event(3), event(1, chat=2), event(2, chat=2, **stop), event(3, chat=2))
+    assert batch(6, event(4), event(2, **stop)) == []
+    assert batch(7, event(9, kind="recovered", pts=2)) == [(1, "apply", None, 3), (1, "apply", None, 4), (1, "state", None, 4)]
+    assert [(e[3], e[2]) for (pack,) in states["stopped"].value for e in map(tuple, json.loads(pack))] == [(2, 1), (2, 1)]
+    assert batch(8, event(9, chat=2, kind="recovered", pts=1)) == [(2, "apply", None, 3), (2, "state", None, 3)]
+    assert states["stopped"].value == [] and not timers
