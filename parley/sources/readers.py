@@ -37,9 +37,9 @@ def _relative(file: Column, root: str) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), f"^.*{re.escape(tail)}/", "")
 
 
-def scan_media_files(spark: SparkSession, path: str) -> DataFrame:
-    """File inventory: rel_path, length, sha256, is_part."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def scan_media_files(spark: SparkSession, path: str, folders: list[str] | None = None) -> DataFrame:
+    """File inventory: rel_path, length, sha256, is_part. folders: those below path that count, if not all do."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path if folders is None else folders)
     rel = _relative(F.col("path"), path)
     return rows.select(rel.alias("rel_path"), "length", F.sha2("content", 256).alias("sha256"), F.endswith(rel, F.lit(".part")).alias("is_part"))
 

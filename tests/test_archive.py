@@ -339,3 +339,23 @@ def test_snippets_of_texts_without_any_line(spark, tmp_path):
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert found == sorted(con.execute(registry.ORACLE_SQL["x19_reply_snippet"]).fetchall())
     assert [s for _, s in found[:5]] == ["Attachment"] * 4 + ["  a "]
+
+
+def test_small_files_share_folders_and_keep_their_rows(spark, tmp_path, monkeypatch):
+    """A folder for each file cost more than the file; pages of one id, of negative ids and of none are files of their own."""
+    import hashlib
+
+    from parley.plans import registry, storage
+
+    rows = [(1, "a"), (1, "é"), (-5, "b\nc"), (None, ""), (7, None), *((n, f"page {n}") for n in range(100, 160))]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/in/pages.parquet")
+    monkeypatch.setattr(storage, "scratch", lambda _: f"file:{tmp_path}/files")
+    monkeypatch.setattr(storage, "TASK_FILES", 16)
+    found = registry.QUERIES["s5_scan_media_files"](spark, f"{tmp_path}/in").collect()
+    want = [(k, len((h + "\n").encode()), hashlib.sha256((h + "\n").encode()).hexdigest(), False) for k, h in rows if h is not None]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert 1 < sum(1 for p in (tmp_path / "files").rglob("*") if p.is_dir()) <= 8
+    # what an attempt that failed has left isn't counted
+    (tmp_path / "files/left").mkdir()
+    (tmp_path / "files/left/part-00000-0000000-page_id=1.txt").write_text("a")
+    assert len(readers.scan_media_files(spark, f"{tmp_path}/files", [str(p) for p in (tmp_path / "files").iterdir() if p.name != "left"]).collect()) == len(want)
