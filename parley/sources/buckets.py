@@ -128,11 +128,11 @@ class BucketArchive:
     def _bounds(self, held: dict) -> np.ndarray:
         return np.array([tuple(b[0]) for b in held["buckets"]] or [(LOWEST, LOWEST)], [("a", "<i8"), ("b", "<i8")])
 
-    def _write(self, table: str, rows: DataFrame, ordered: bool) -> list[list]:
-        """Files of rows (with _bucket, unless ordered by range) as buckets."""
+    def _write(self, table: str, rows: DataFrame, ordered: bool, touched: int = 1) -> list[list]:
+        """Files of rows (with _bucket, unless ordered by range) as buckets. touched: how many buckets rows belong to, which small tables would all leave to one task."""
         keys, place = keys_of(rows), f"data/{table}/{uuid.uuid4().hex}"
         own = [F.coalesce(F.col(k).cast("long"), F.lit(LOWEST)).alias(k) for k in keys] + ([] if len(keys) == 2 else [F.lit(LOWEST).alias("message_id")])
-        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if ordered else rows.repartition("_bucket").sortWithinPartitions("_bucket", *keys)
+        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if ordered else rows.repartition(min(touched, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "_bucket").sortWithinPartitions("_bucket", *keys)
         writer = rows.write.option("maxRecordsPerFile", self.bucket_rows)
         (writer if ordered else writer.partitionBy("_bucket")).parquet(f"{self.folder}/{place}")
         try:
@@ -177,7 +177,7 @@ class BucketArchive:
                 schema = T.StructType.fromJson(json.loads(held[t]["schema"]))
                 rows = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
                 placed = rows.mapInArrow(_placed(self._bounds(held[t]), keys_of(rows)), T.StructType([*rows.schema.fields, T.StructField("_bucket", T.IntegerType())]))
-                new = self._write(t, placed, False)
+                new = self._write(t, placed, False, len(touched[t]))
                 files += len(new)
                 manifest["tables"][t] = held[t] | {"buckets": sorted([b for k, b in enumerate(held[t]["buckets"]) if k not in touched[t]] + new)}
             manifest["feeds"][feed], manifest["number"] = batch, manifest["number"] + 1

@@ -344,3 +344,16 @@ def test_what_a_groups_chat_has_stopped_is_its_own():
     assert [(e[3], e[2]) for (pack,) in states["stopped"].value for e in map(tuple, json.loads(pack))] == [(2, 1), (2, 1)]
     assert batch(8, event(9, chat=2, kind="recovered", pts=1)) == [(2, "apply", None, 3), (2, "state", None, 3)]
     assert states["stopped"].value == [] and not timers
+
+
+def test_a_feed_goes_on_where_an_archive_began_it(spark, tmp_path, archive):
+    """The archive's chats only count for the first batch; a restart has no need of them."""
+    chats.commit_actions(archive, actions(spark, event(1), event(2)), "before", 0)
+    source = Feed(spark, tmp_path)
+    assert chats._initial(archive, str(tmp_path / "feed-checkpoint")).count() == 1
+    source.put(event(2, text="again"), event(3))
+    source.run(archive, patience=3_600_000)
+    assert chats._initial(archive, str(tmp_path / "feed-checkpoint")) is None
+    source.put(event(5), event(4))
+    source.run(archive, patience=3_600_000)
+    assert held(archive) == messages(1, 2, 3, 4, 5) and state(archive) == {1: (5, False)}
